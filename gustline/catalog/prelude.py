@@ -45,14 +45,14 @@ met AS (SELECT concat('met-', CAST(user_id % 3 AS VARCHAR)) AS met_id, date_trun
   avg(CASE WHEN event_type = 'click'    THEN value END) AS temperature,
   avg(CASE WHEN event_type = 'purchase' THEN value END) AS humidity,
   avg(CASE WHEN event_type = 'view'     THEN value END) / 10 AS dew_point FROM events GROUP BY 1, 2),
-pm AS (SELECT station_id, hour, round(avg(value), 6) AS pm25 FROM readings WHERE parameter = 'pm25' GROUP BY 1, 2),
+pm AS (SELECT station_id, hour, round(avg(value), 4) AS pm25 FROM readings WHERE parameter = 'pm25' GROUP BY 1, 2),
 gases AS (SELECT station_id, hour,
   avg(CASE WHEN parameter = 'temperature' THEN value END) / 100 AS no,
   avg(CASE WHEN parameter = 'humidity' THEN value END) / 100 AS no2,
   avg(CASE WHEN parameter = 'wind_speed' THEN value END) / 100 AS nox,
   avg(CASE WHEN parameter = 'wind_dir' THEN value END) / 100 AS o3 FROM readings GROUP BY 1, 2),
 daily AS (SELECT r_name AS station_id, o_orderdate AS ts,
-  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 1e6 AS pm25
+  CAST(sum(CAST(round(o_totalprice / 10) AS BIGINT)) AS DOUBLE) / 1e3 AS pm25
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 sparse AS (SELECT station_id, ts, CASE WHEN CAST(floor(pm25 * 100) AS BIGINT) % 4 <> 0 THEN pm25 END AS pm25 FROM daily),

@@ -174,9 +174,10 @@ def collapse_same_hour(df: DataFrame, order: Sequence[str] = ("ingested_at", "ev
     An aggregate, not a window: partial results shrink a busy station-hour before the shuffle.
     """
     seen = F.struct(*order)
-    cols = [c for c in df.columns if c not in keys and c not in order[1:]]
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), seen)).alias(c)
-    return df.groupBy(*keys).agg(*[last(c) for c in cols])
+    cols = [c for c in df.columns if c not in keys and c not in order]
+    out = df.groupBy(*keys).agg(F.max(seen).alias("_seen"), *[last(c) for c in cols])
+    return out.select(*keys, "_seen.*", *cols)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

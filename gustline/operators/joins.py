@@ -91,26 +91,29 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
 
 
 def nearest_met(targets: DataFrame, stations: DataFrame, met: DataFrame, values: Sequence[str],
-                hour: str = "hour", k: int = 4) -> DataFrame:
+                hour: str = "hour", k: int = 8, places: DataFrame | None = None) -> DataFrame:
     """Append the report of the nearest weather station that has one for the same hour.
 
-    ``targets``: station_id, hour; ``met``: met_id, hour, lat, lon, values, one row per id and hour.
-    Distances are static, so the ``k`` nearest weather stations of each station are found once and
-    their reports joined on (met_id, hour). Hours at which none of them reported are searched among
-    all reports of that hour. No report at all leaves nulls.
+    ``targets``: station_id, hour; ``met``: met_id, hour, lat, lon, values, one row per id and hour;
+    ``places``: met_id, lat, lon if known beforehand. Distances are static, so the ``k`` nearest
+    weather stations of each station are found once and their reports joined on (met_id, hour). If
+    there are more than ``k`` weather stations, hours at which none of the ``k`` reported are searched
+    among all reports of that hour. No report at all leaves nulls.
     """
     keys = ["station_id", hour]
     report = F.struct("met_id", *values).alias("_report")
-    order = F.struct("dist_m", "met_id")
     met = met.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    places = met.groupBy("met_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    if places is None:
+        places = met.groupBy("met_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     static = nearest_k(stations, places, k, "station_id", "met_id")
-    close = met.join(static, "met_id").groupBy(*keys).agg(F.min_by(report, order).alias("_report"))
-    missed = targets.select(*keys).distinct().join(close, keys, "left_anti").join(
-        stations.select("station_id", "lat", "lon"), "station_id")
-    other = nearest_k(missed, met, 1, "station_id", "met_id", by=[hour]).join(
-        met.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
-    return targets.join(close.unionByName(other), keys, "left").select("*", "_report.*").drop("_report")
+    close = met.join(static, "met_id").groupBy(*keys).agg(F.min_by(report, F.struct("dist_m", "met_id")).alias("_report"))
+    if places.limit(k + 1).count() > k:
+        missed = targets.select(*keys).distinct().join(close, keys, "left_anti").join(
+            stations.select("station_id", "lat", "lon"), "station_id")
+        other = nearest_k(missed, met, 1, "station_id", "met_id", by=[hour]).join(
+            met.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
+        close = close.unionByName(other)
+    return targets.join(close, keys, "left").select("*", "_report.*").drop("_report")
 
 
 def met_as_of(met: DataFrame, values: Sequence[str], until: Column, hour: str = "hour") -> DataFrame:

@@ -56,7 +56,7 @@ def met(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).filter("parameter = 'pm25'").groupBy("station_id", "hour").agg(
-        F.round(F.avg("value"), 6).alias("pm25"))
+        F.round(F.avg("value"), 4).alias("pm25"))
 
 
 def gases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +67,15 @@ def gases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense series: one value per region and day. Cents are summed as integers, so the sum is exact."""
+    """Dense series: one value per region and day. Tens are summed as integers, so the sum is exact."""
     t = lambda n: table(spark, sf_dir, n)
-    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    tens = F.sum(F.round(F.col("o_totalprice") / 10).cast("long"))
     return (
         t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy(F.col("r_name").alias("station_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-        .agg((cents.cast("double") / F.lit(1e6)).alias("pm25"))
+        .agg((tens.cast("double") / F.lit(1e3)).alias("pm25"))
     )
 
 
