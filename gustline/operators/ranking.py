@@ -73,58 +73,56 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], pro
     second pass counts the rows below the bracket, and only rows inside it are sorted. If a bracket
     should miss its rank, the counts show it and the whole range is taken for that percentile.
     """
-    by, slack = list(by), 2.0 / accuracy
-    data = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(c, i, p) for c in cols for i, p in enumerate(probs)]
+    by, slack, col = list(by), 2.0 / accuracy, F.col
+    data = df.select(*by, F.array(*[F.col("`" + c + "`").cast("double") for c in cols]).alias("_xs"))
+
+    def per_group(table: DataFrame) -> DataFrame:
+        """One row per group: what is known of each column, in column order."""
+        known = F.struct("_i", *[c for c in table.columns if c not in (*by, "_i")])
+        return table.groupBy(*by).agg(F.array_sort(F.collect_list(known)).alias("_t"))
+
+    def values(table: DataFrame | None = None) -> DataFrame:
+        """(group, _i, _x) per column, with the column's entry ``_t`` of ``table``."""
+        rows = data
+        if table is not None:
+            rows = data.join(table, by) if by else data.withColumn("_t", table.scalar())
+        kept = [] if table is None else [F.get("_t", col("_i")).alias("_t")]
+        rows = rows.select(*by, *([] if table is None else ["_t"]), F.posexplode("_xs").alias("_i", "_x"))
+        return rows.select(*by, "_i", "_x", *kept)
+
     lows, highs = [max(p - slack, 0.0) for p in probs], [min(p + slack, 1.0) for p in probs]
-    sketch = data.groupBy(*by).agg(*[e for c in cols for e in (
-        F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),
-        F.percentile_approx(c, lows, accuracy).alias(f"{c}__lows"),
-        F.percentile_approx(c, highs, accuracy).alias(f"{c}__highs"))])
-
-    def attach(table: DataFrame) -> DataFrame:
-        if by:
-            return data.join(table, by)
-        return data.withColumn("_t", table.select(F.struct("*")).scalar()).select(*data.columns, "_t.*")
-
-    col = F.col
-    lo = lambda c, i, p: col(f"{c}__min") if p - slack <= 0 else col(f"{c}__lows")[i]
-    hi = lambda c, i, p: col(f"{c}__max") if p + slack >= 1 else col(f"{c}__highs")[i]
-    kept = [f"{c}__{s}" for c in cols for s in ("n", "min", "max", "lows", "highs")]
-    counted = attach(sketch).groupBy(*by).agg(
-        *[F.first(k).alias(k) for k in kept],
-        *[F.count_if(col(c) < lo(c, i, p)).alias(f"{c}__{i}_below") for c, i, p in pairs],
-        *[F.count_if(col(c) <= hi(c, i, p)).alias(f"{c}__{i}_upto") for c, i, p in pairs])
-
-    def bracket(c: str, i: int, p: float) -> Column:
-        at = (col(f"{c}__n") - 1) * F.lit(float(p))
+    sketch = values().groupBy(*by, "_i").agg(
+        F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"),
+        F.percentile_approx("_x", lows, accuracy).alias("lows"), F.percentile_approx("_x", highs, accuracy).alias("highs"))
+    lo = lambda j, p: col("_t.lo") if p - slack <= 0 else col("_t.lows")[j]
+    hi = lambda j, p: col("_t.hi") if p + slack >= 1 else col("_t.highs")[j]
+    counted = values(per_group(sketch)).groupBy(*by, "_i").agg(
+        F.first("_t").alias("_t"),
+        *[F.count_if(col("_x") < lo(j, p)).alias(f"_below{j}") for j, p in enumerate(probs)],
+        *[F.count_if(col("_x") <= hi(j, p)).alias(f"_upto{j}") for j, p in enumerate(probs)])
+
+    def bracket(j: int, p: float) -> Column:
+        at = (col("_t.n") - 1) * F.lit(float(p))
         k = F.floor(at)
-        holds = (col(f"{c}__{i}_below") <= k) & (col(f"{c}__{i}_upto") >= F.least(k + 2, col(f"{c}__n")))
+        holds = (col(f"_below{j}") <= k) & (col(f"_upto{j}") >= F.least(k + 2, col("_t.n")))
         return F.struct(
-            F.when(holds, lo(c, i, p)).otherwise(col(f"{c}__min")).alias("lo"),
-            F.when(holds, hi(c, i, p)).otherwise(col(f"{c}__max")).alias("hi"),
-            F.when(holds, col(f"{c}__{i}_below")).otherwise(0).alias("_below"),
-            k.alias("_k"), (at - k).alias("_frac"))
-
-    brackets = counted.select(*by, *[bracket(c, i, p).alias(f"{c}__{i}_b") for c, i, p in pairs])
-    inside = attach(brackets).select(*by, F.explode(F.filter(F.array(*[
-        F.when((col(c) >= col(f"{c}__{i}_b.lo")) & (col(c) <= col(f"{c}__{i}_b.hi")), F.struct(
-            F.lit(f"{c}__{i}").alias("_slot"), col(c).alias("_x"), col(f"{c}__{i}_b._below").alias("_below"),
-            col(f"{c}__{i}_b._k").alias("_k"), col(f"{c}__{i}_b._frac").alias("_frac")))
-        for c, i, p in pairs]), lambda s: s.isNotNull())).alias("s")).select(*by, "s.*")
-    tally = inside.groupBy(*by, "_slot", "_x").agg(
-        F.count(F.lit(1)).alias("_rows"), F.first("_below").alias("_below"), F.first("_k").alias("_k"),
-        F.first("_frac").alias("_frac"))
-    running = Window.partitionBy(*by, "_slot").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tally.withColumn("_upto", col("_below") + F.sum("_rows").over(running))
-    at_k = ranked.groupBy(*by, "_slot").agg(
-        F.min(F.when(col("_upto") > col("_k"), col("_x"))).alias("x0"),
-        F.min(F.when(col("_upto") > col("_k") + 1, col("_x"))).alias("x1"),
-        F.first("_frac").alias("_frac"),
-    ).withColumn("v", col("x0") + F.when(col("_frac") > 0, (col("x1") - col("x0")) * col("_frac")).otherwise(0.0))
-    value = lambda c, i: F.max(F.when(col("_slot") == f"{c}__{i}", col("v")))
-    return at_k.groupBy(*by).agg(*[
-        F.array(*[value(c, i) for i in range(len(probs))]).alias(f"{c}__q") for c in cols])
+            F.lit(j).alias("j"), F.when(holds, lo(j, p)).otherwise(col("_t.lo")).alias("lo"),
+            F.when(holds, hi(j, p)).otherwise(col("_t.hi")).alias("hi"),
+            F.when(holds, col(f"_below{j}")).otherwise(0).alias("below"), k.alias("k"), (at - k).alias("frac"))
+
+    brackets = counted.select(*by, "_i", F.array(*[bracket(j, p) for j, p in enumerate(probs)]).alias("b"))
+    inside = values(per_group(brackets)).select(*by, "_i", "_x", F.explode(F.filter(
+        col("_t.b"), lambda s: (col("_x") >= s["lo"]) & (col("_x") <= s["hi"]))).alias("_b"))
+    slot = [*by, "_i", col("_b.j").alias("_j")]
+    tally = inside.groupBy(*slot, "_x").agg(F.count(F.lit(1)).alias("_rows"), F.first("_b").alias("_b"))
+    running = Window.partitionBy(*by, "_i", "_j").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tally.withColumn("_upto", col("_b.below") + F.sum("_rows").over(running))
+    reached = lambda more: F.min(F.when(col("_upto") > col("_b.k") + more, col("_x")))
+    found = ranked.groupBy(*by, "_i", "_j").agg(reached(0).alias("_x0"), reached(1).alias("_x1"), F.first("_b.frac").alias("_frac"))
+    value = col("_x0") + F.when(col("_frac") > 0, (col("_x1") - col("_x0")) * col("_frac")).otherwise(0.0)
+    at = lambda i, j: F.max(F.when((col("_i") == i) & (col("_j") == j), col("_v")))
+    return found.withColumn("_v", value).groupBy(*by).agg(*[
+        F.array(*[at(i, j) for j in range(len(probs))]).alias(f"{c}__q") for i, c in enumerate(cols)])
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

@@ -79,13 +79,13 @@ def fit_mean(train: DataFrame) -> Mean:
     return Mean(float(train.agg(F.avg(F.nanvl("y", F.lit(None)))).first()[0] or 0.0))
 
 
-def fit(family: str, train: DataFrame, horizon: int, trees: str = "boosted", **overrides):
+def fit(family: str, train: DataFrame, horizon: int, learner: str = "boosted", **overrides):
     """Fit a family with its settings for the horizon."""
     if family == "ha":
         return fit_mean(train)
     if family == "lr":
         return fit_ridge(train, overrides.get("alpha", RIDGE_ALPHA[horizon]))
-    if family == "rf" and trees == "boosted":
+    if family == "rf" and learner == "boosted":
         return fit_boosted(train, **(BOOSTED[horizon] | overrides))
     if family == "rf":
         return fit_forest(train, **(FOREST[horizon] | overrides))
@@ -159,7 +159,7 @@ def design(frame: DataFrame, features: Sequence[str], horizon: int, keys: Sequen
 
 
 def train(frame: DataFrame, families: Iterable[str] = ("ha", "lr", "rf"), horizons: Iterable[int] = recipes.HORIZONS,
-          features: Sequence[str] | None = None, trees: str = "boosted",
+          features: Sequence[str] | None = None, learner: str = "boosted",
           overrides: Mapping[str, dict] = {}) -> tuple[dict[str, Bundle], DataFrame]:
     """Fit families at horizons. Returns bundles and the scored rows (model, horizon, split, y, p).
 
@@ -174,7 +174,7 @@ def train(frame: DataFrame, families: Iterable[str] = ("ha", "lr", "rf"), horizo
             if tuple(cols) not in made:
                 made[tuple(cols)] = design(frame, cols, h)
             matrix, scaling = made[tuple(cols)]
-            model = fit(f, matrix.filter("split = 'train'"), h, trees, **overrides.get(f, {}))
+            model = fit(f, matrix.filter("split = 'train'"), h, learner, **overrides.get(f, {}))
             bundles[f].models[h], bundles[f].features[h], bundles[f].scaling[h] = model, cols, scaling
             scored.append(model.transform(matrix).select(
                 "station_id", "timestamp", F.lit(NAMES.get(f, f)).alias("model"), F.lit(h).alias("horizon"), "split", "y", "p"))
@@ -235,9 +235,9 @@ def search_ridge(frame: DataFrame, horizon: int, names: Iterable[str] = tuple(re
     return m.select(F.lit(horizon).alias("horizon"), "recipe", "alpha", "trial", F.col("r2").alias("val_r2"))
 
 
-def tree_trials(horizon: int, trees: str = "boosted", n: int | None = None, seed: int = 42) -> list[dict]:
+def tree_trials(horizon: int, learner: str = "boosted", n: int | None = None, seed: int = 42) -> list[dict]:
     """Settings to try: the horizon's own first, then a seeded draw from the grid around it."""
-    if trees == "boosted":
+    if learner == "boosted":
         base, n = BOOSTED[horizon], n or BOOSTED_TRIALS
         space = {k: sorted({*v, base[k]}) for k, v in SEARCH_BOOSTED.items()}
     else:
@@ -251,15 +251,15 @@ def tree_trials(horizon: int, trees: str = "boosted", n: int | None = None, seed
     return [base, *rest][:n]
 
 
-def search_trees(frame: DataFrame, horizon: int, name: str, trees: str = "boosted", trials: Sequence[dict] | None = None,
+def search_trees(frame: DataFrame, horizon: int, name: str, learner: str = "boosted", trials: Sequence[dict] | None = None,
                  seed: int = 42) -> DataFrame:
     """Validation r2 per tree setting: (horizon, recipe, setting, trial, val_r2)."""
     cols = clean.select_features(recipes.RECIPES[name], frame.columns, [])
     matrix, _ = design(frame, cols, horizon)
     train_rows, val = matrix.filter("split = 'train'"), matrix.filter("split = 'val'")
     out = None
-    for i, t in enumerate(trials or tree_trials(horizon, trees, seed=seed)):
-        model = fit_boosted(train_rows, seed=seed, share=0.7, **t) if trees == "boosted" else fit_forest(train_rows, seed=seed, **t)
+    for i, t in enumerate(trials or tree_trials(horizon, learner, seed=seed)):
+        model = fit_boosted(train_rows, seed=seed, share=0.7, **t) if learner == "boosted" else fit_forest(train_rows, seed=seed, **t)
         s = model.transform(val).select(F.lit(json.dumps(t)).alias("setting"), F.lit(i).alias("trial"), "y", "p")
         out = s if out is None else out.unionByName(s)
     m = aggregates.regression_metrics(out, ["setting", "trial"])
