@@ -239,7 +239,7 @@ def serving_columns(features: Sequence[str], ts: Column, current: str = "feature
     time, lags and rolling means from the history.
 
     A lag past the start of the history is the current value, a rolling mean repeats the previous
-    one. If the history ends with the record itself (``include_current``), that entry is cut off, so
+    one and averages the log values (training takes the log of the average). If the history ends with the record itself (``include_current``), that entry is cut off, so
     lag 1 is the previous record.
     """
     past = F.slice(history, 1, F.greatest(F.size(history) - 1, F.lit(0))) if include_current else F.col(history)
