@@ -57,10 +57,9 @@ def latency_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def robust_scale_params(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: struct(center, scale) per column, from exact quartiles; a zero range scales by 1."""
     q = ranking.exact_percentiles(df, [], cols, [0.25, 0.5, 0.75])
-    spread = lambda c: F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]
-    return q.select(*[F.struct(
-        F.coalesce(F.col(f"{c}__q")[1], F.lit(0.0)).alias("center"),
-        F.coalesce(F.nullif(spread(c), F.lit(0.0)), F.lit(1.0)).alias("scale")).alias(c) for c in cols])
+    quartiles = lambda c: f"`{c}__q`[0], `{c}__q`[1], `{c}__q`[2]"
+    return q.select(*[F.expr(f"""transform(array(struct({quartiles(c)})), q -> named_struct(
+        'center', coalesce(q.col2, 0D), 'scale', coalesce(nullif(q.col3 - q.col1, 0D), 1D)))[0]""").alias(c) for c in cols])
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], fit_on: Column | None = None) -> DataFrame:
@@ -68,7 +67,7 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_on: Column | None = Non
     params = robust_scale_params(df if fit_on is None else df.filter(fit_on), cols)
     out = df.withColumn("_s", params.select(F.struct("*")).scalar())
     return out.withColumns({
-        c: (F.col(c) - F.col("_s")[c]["center"]) / F.col("_s")[c]["scale"] for c in cols}).drop("_s")
+        c: F.expr(f"(`{c}` - _s.`{c}`.center) / _s.`{c}`.scale") for c in cols}).drop("_s")
 
 
 def best_trial(trials: DataFrame, by: Sequence[str], score: str = "val_r2", trial: str = "trial") -> DataFrame:

@@ -120,9 +120,14 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], pro
     reached = lambda more: F.min(F.when(col("_upto") > col("_b.k") + more, col("_x")))
     found = ranked.groupBy(*by, "_i", "_j").agg(reached(0).alias("_x0"), reached(1).alias("_x1"), F.first("_b.frac").alias("_frac"))
     value = col("_x0") + F.when(col("_frac") > 0, (col("_x1") - col("_x0")) * col("_frac")).otherwise(0.0)
-    at = lambda i, j: F.max(F.when((col("_i") == i) & (col("_j") == j), col("_v")))
-    return found.withColumn("_v", value).groupBy(*by).agg(*[
-        F.array(*[at(i, j) for j in range(len(probs))]).alias(f"{c}__q") for i, c in enumerate(cols)])
+    per_column = found.withColumn("_v", value).groupBy(*by, "_i").agg(F.map_from_entries(F.collect_list(
+        F.struct("_j", "_v"))).alias("_m"))  # one entry per probability
+    per_column = per_column.select(*by, "_i", F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)),
+                                                          lambda j: F.try_element_at("_m", j)).alias("_q"))
+    table = per_column.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_q"))).alias("_c"))
+    empty = f"array({', '.join(['cast(null as double)'] * len(probs))})"
+    return table.select(*by, *[
+        F.expr(f"coalesce(_c[{i}], {empty})").alias(f"{c}__q") for i, c in enumerate(cols)])
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:

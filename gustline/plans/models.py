@@ -148,7 +148,7 @@ def scaling_of(frame: DataFrame, features: Sequence[str]) -> dict[str, tuple[flo
 
 
 def apply_scaling(df: DataFrame, scaling: Mapping[str, tuple[float, float]]) -> DataFrame:
-    return df.withColumns({f: (clean.named(f) - F.lit(c)) / F.lit(s) for f, (c, s) in scaling.items()})
+    return df.withColumns({f: F.expr(f"(`{f}` - {c!r}D) / {s!r}D") for f, (c, s) in scaling.items()})
 
 
 def design(frame: DataFrame, features: Sequence[str], horizon: int, keys: Sequence[str] = frames.KEYS):
