@@ -37,7 +37,8 @@ readings AS (SELECT event_id, concat('st-', CAST(user_id % 8 AS VARCHAR)) AS sta
   FROM events),
 stations AS (SELECT DISTINCT concat('st-', CAST(user_id % 8 AS VARCHAR)) AS station_id,
   43.5e0 + 0.05e0 * (user_id % 8) AS lat, -79.8e0 + 0.06e0 * ((user_id % 8) * 5 % 8) AS lon,
-  CASE WHEN user_id % 8 = 0 THEN 'target' ELSE 'neighbor' END AS role, 'net-0' AS network FROM events),
+  CASE WHEN user_id % 8 = 0 THEN 'target' ELSE 'neighbor' END AS role,
+  CASE WHEN user_id % 8 < 4 THEN 'net-0' ELSE 'net-1' END AS network FROM events),
 met AS (SELECT concat('met-', CAST(user_id % 3 AS VARCHAR)) AS met_id, date_trunc('hour', ts) AS hour,
   min(43.6e0 + 0.1e0 * (user_id % 3)) AS lat, min(-79.7e0 + 0.13e0 * (user_id % 3)) AS lon,
   avg(CASE WHEN event_type = 'error'    THEN value END) AS wind_speed,
@@ -57,7 +58,7 @@ daily AS (SELECT r_name AS station_id, o_orderdate AS ts,
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 sparse AS (SELECT station_id, ts, CASE WHEN CAST(floor(pm25 * 100) AS BIGINT) % 4 <> 0 THEN pm25 END AS pm25 FROM daily),
 pairs AS (SELECT a.station_id AS src, b.station_id AS dst, {hav(*AB)} AS dist_m,
-  {north(*AB)} AS north, {east(*AB)} AS east, a.network
+  {north(*AB)} AS north, {east(*AB)} AS east
   FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {hav(*AB)} > 0),
 ranked_met AS (SELECT s.station_id, m.*, row_number() OVER (PARTITION BY s.station_id, m.hour
     ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn FROM stations s CROSS JOIN met m),

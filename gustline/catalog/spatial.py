@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import alerts, geo, scalar
-from ..operators import clean, diffusion, joins, ranking
+from ..functions import alerts, geo
+from ..operators import clean, diffusion, joins, series
+from ..session import materialize
 from ..sources import tables as src
 from .prelude import AB, east, edge_weight, hav, north
 from .registry import query
@@ -102,7 +103,7 @@ def j2_nearest_met_as_of(spark, d):
     """Strong-wind reports are rare, so most hours look back to an older report."""
     m = src.met(spark, d).filter("wind_speed > 60").withColumn("at", F.col("hour"))
     p = src.pm(spark, d)
-    held = joins.met_as_of(m, ["wind_speed", "at"], p.select(F.max("hour")).scalar())
+    held = materialize(joins.met_as_of(m, ["wind_speed", "at"], p.select(F.max("hour")).scalar()))
     out = joins.nearest_met(p, src.stations(spark, d), held, ["wind_speed", "at"])
     age = F.timestamp_diff("HOUR", F.col("at"), F.col("hour"))
     return out.filter("met_id IS NOT NULL").select("station_id", "hour", "met_id", age.alias("age_hours"), "wind_speed")
@@ -131,7 +132,6 @@ def j4_target_gases(spark, d):
 @query("j5_fill_from_scrape", """SELECT s.station_id, s.hour, coalesce(s.pm25, g.no) AS pm25
 FROM slots s LEFT JOIN gases g ON s.station_id = g.station_id AND s.hour = g.hour""", "pm25")
 def j5_fill_from_scrape(spark, d):
-    from ..operators import series
     spine = series.hourly_spine(src.pm(spark, d), ["station_id"], "hour")
     return joins.fill_missing_from(spine, src.gases(spark, d), ["station_id", "hour"], "pm25", "no")
 
@@ -190,15 +190,18 @@ def e1_adjacency(spark, d):
     return diffusion.adjacency(src.pairs(spark, d), src.slots(spark, d))
 
 
-@query("e2_dynamic_edges", f"""SELECT e.network, w.hour, e.src, e.dst, 1e4 * {edge_weight('dist_m', 'a')} AS weight FROM
-  (SELECT p.*, w.hour, (p.north*w.wind_u+p.east*w.wind_v)/sqrt(p.north*p.north+p.east*p.east) AS a
-   FROM pairs p CROSS JOIN (SELECT * FROM targets WHERE station_id = 'st-0') w) e
-  JOIN (SELECT DISTINCT hour FROM targets) w ON w.hour = e.hour""", "weight")
+@query("e2_dynamic_edges", f"""SELECT network, hour, src, dst, 1e4 * {edge_weight('dist_m', 'a')} AS weight FROM
+  (SELECT s.network, w.hour, p.src, p.dst, p.dist_m, (p.north*w.wind_u+p.east*w.wind_v)/sqrt(p.north*p.north+p.east*p.east) AS a
+   FROM pairs p JOIN stations s ON s.station_id = p.src JOIN stations t ON t.station_id = p.dst AND t.network = s.network
+   JOIN (SELECT network, hour, avg(wind_u) AS wind_u, avg(wind_v) AS wind_v FROM targets JOIN stations USING (station_id)
+     GROUP BY 1, 2) w ON w.network = s.network)""", "weight")
 def e2_dynamic_edges(spark, d):
-    """The wind at the network's target station holds for all its edges."""
-    s = src.stations(spark, d).select("station_id", "network", "role")
-    edges = src.pairs(spark, d).join(s.select(F.col("station_id").alias("src"), "network"), "src")
-    wind = src.targets(spark, d).join(s.filter("role = 'target'"), "station_id")
+    """The mean wind over a network's stations holds for all its edges."""
+    of = src.stations(spark, d).select("station_id", "network")
+    edges = src.pairs(spark, d).join(of.withColumnRenamed("station_id", "src"), "src").join(
+        of.withColumnRenamed("station_id", "dst"), ["dst", "network"])
+    wind = src.targets(spark, d).join(of, "station_id").groupBy("network", "hour").agg(
+        F.avg("wind_u").alias("wind_u"), F.avg("wind_v").alias("wind_v"))
     return diffusion.dynamic_edges(edges, wind).withColumn("weight", F.col("weight") * 1e4)
 
 

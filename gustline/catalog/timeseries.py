@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregates, clean, diffusion, joins, ranking, series
+from ..operators import aggregates, clean, joins, ranking, series
 from ..plans import frames, recipes
 from ..session import materialize
 from ..sources import tables as src
@@ -216,7 +216,7 @@ FROM daily CROSS JOIN (SELECT median(pm25) AS mid, quantile_cont(pm25, 0.25) AS
   FROM {_ORDERED} WHERE {_SPLIT} = 'train')""", "pm25|flat")
 def a10_robust_scale(spark, d):
     """The constant column has no range and is only centred."""
-    df = ranking.chronological_split(src.daily(spark, d), "ts", "station_id").withColumn("flat", F.lit(5.0))
+    df = materialize(ranking.chronological_split(src.daily(spark, d), "ts", "station_id")).withColumn("flat", F.lit(5.0))
     return aggregates.robust_scale(df, ["pm25", "flat"], F.col("split") == "train").drop("split")
 
 
@@ -356,7 +356,7 @@ _WIDTHS = (1, 3, 6, 12)
 
 def stored_predictions(spark, d):
     """Rolling means of several widths as forecasts of the dense series, per horizon and split."""
-    s = ranking.chronological_split(src.daily(spark, d), "ts", "station_id")
+    s = materialize(ranking.chronological_split(src.daily(spark, d), "ts", "station_id"))
     f = series.features(s, K, "ts", rolls={"pm25": _WIDTHS}, leads={"pm25": recipes.HORIZONS}, block_rows=512)
     rows = F.explode(F.array(*[
         F.struct(F.lit(f"roll{w}").alias("model"), F.lit(w).alias("trial"), F.lit(h).alias("horizon"),
@@ -407,7 +407,7 @@ def o3_leaderboard(spark, d):
 UNION ALL SELECT horizon, model, r2 FROM {_METRICS} WHERE split = 'test' AND trial >= 6""", "r2")
 def o5_merge_metrics(spark, d):
     """Validation metrics of all models, overwritten by the test metrics of some."""
-    m = stored_metrics(spark, d)
+    m = materialize(stored_metrics(spark, d))
     pick = lambda s: m.filter(F.col("split") == s).select("horizon", "model", "r2", "trial")
     return aggregates.merge_metrics(pick("val").drop("trial"), pick("test").filter("trial >= 6").drop("trial"))
 

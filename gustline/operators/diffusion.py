@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
+from ..functions.scalar import text_seed_order
+from ..session import materialize
 from . import joins, ranking, series
 
 DECAY_KM = 10.0
@@ -92,18 +94,14 @@ def recover(targets: DataFrame, readings: DataFrame, edges: DataFrame, hour: str
     ``targets``: one row per station and hour, gaps included, with wind_u and wind_v. The gap is the
     event time since the station's last reading.
     """
-    held = series.last_known_before(targets, ["station_id"], hour, value)
+    # Stored: looking back passes over it twice.
+    held = series.last_known_before(materialize(targets), ["station_id"], hour, value)
     full = spatial_estimate(held, readings, edges, hour, value)
     filled, method = choose_recovery(F.col(value), F.col("spatial_estimate"), F.col("last_value"),
                                      F.col("gap_hours"), threshold_hours)
     return full.withColumns({"recovered": filled, "method": method})
 
 
-def missing_sample_order(seed: int, keys: Sequence[str]) -> Column:
-    from ..functions.scalar import text_seed_order
-    return text_seed_order(seed, *[F.col(k) for k in keys])
-
-
 def inject_missing(df: DataFrame, rates: Sequence[float], seed: int, keys: Sequence[str],
                    name: str = "rate") -> DataFrame:
     """Exactly round(n·rate) rows per rate, labelled with it; the same rows for the same seed.
@@ -111,7 +109,7 @@ def inject_missing(df: DataFrame, rates: Sequence[float], seed: int, keys: Seque
     Rows rank by a hash of seed and key. The hash that ends each sample is found by counting, so no
     step sorts all rows.
     """
-    order = missing_sample_order(seed, keys)
+    order = text_seed_order(seed, *[F.col(k) for k in keys])
     size = lambda r: F.bround(F.col("n") * F.lit(float(r)))
     cuts = ranking.rank_cuts(df, [F.substring(order, 1, 2), F.substring(order, 3, 2)],
                              [order, *[F.col(k) for k in keys]],
@@ -135,7 +133,8 @@ def evaluate_recovery(targets: DataFrame, readings: DataFrame, edges: DataFrame,
     truth = targets.filter(F.col(value).isNotNull())
     base = spatial_estimate(truth, readings, edges, hour, value)
     if not mask_history:
-        base = series.last_known_before(base, ["station_id"], hour, value, gap=None)
+        # Stored: drawing the samples passes over it three times.
+        base = materialize(series.last_known_before(base, ["station_id"], hour, value, gap=None))
         blank = inject_missing(base, rates, seed, keys)
     else:
         marked = inject_missing(truth.select(*keys), rates, seed, keys).withColumn("_blank", F.lit(True))

@@ -46,20 +46,30 @@ def up_to(order: Sequence[Column], cut: Column) -> Column:
     return F.coalesce(key <= cut, F.lit(False))
 
 
+def _split_order(ts: str, key: str) -> list[Column]:
+    return [F.col(ts), F.md5(F.col(key).cast("string")), F.col(key)]
+
+
+def split_ends(df: DataFrame, ts: str, key: str, fractions: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
+    """One row: the order keys that end the training and the validation part."""
+    order = _split_order(ts, key)
+    cut = lambda f: F.floor(F.col("n").cast("double") * F.lit(f))
+    return rank_cuts(df, [order[0], F.substring(order[1], 1, 2)], order,
+                     {"train": cut(fractions[0]), "val": cut(fractions[1])})
+
+
 def chronological_split(df: DataFrame, ts: str, key: str, fractions: tuple[float, float] = (0.70, 0.85),
-                        name: str = "split") -> DataFrame:
+                        name: str = "split", now: bool = False) -> DataFrame:
     """Label the first 70 % of all rows in time ``train``, the next 15 % ``val``, the rest ``test``.
 
     Rows of the same time are ordered by the hash of ``key``, so a time shared by very many series
-    is itself split into small cells.
+    is itself split into small cells. ``now`` finds the two ends at once and labels with constants,
+    so later passes over a stored ``df`` do not search again.
     """
-    h = F.md5(F.col(key).cast("string"))
-    order = [F.col(ts), h, F.col(key)]
-    cut = lambda f: F.floor(F.col("n").cast("double") * F.lit(f))
-    cuts = rank_cuts(df, [F.col(ts), F.substring(h, 1, 2)], order,
-                     {"train": cut(fractions[0]), "val": cut(fractions[1])})
-    ends = cuts.select(F.struct("train", "val")).scalar()
-    return df.withColumn("_ends", ends).withColumn(
+    found, order = split_ends(df, ts, key, fractions), _split_order(ts, key)
+    if now:
+        found = df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
+    return df.withColumn("_ends", found.select(F.struct("train", "val")).scalar()).withColumn(
         name, F.when(up_to(order, F.col("_ends.train")), "train")
         .when(up_to(order, F.col("_ends.val")), "val").otherwise("test")).drop("_ends")
 

@@ -11,7 +11,9 @@ crosses a block border is handed over separately:
 * ``with_known`` carries the last known and next known value over block borders, so fills and
   interpolation, whose reach is unbounded, need one row per block from the rest of the series.
 
-All operators of one chain share one block layout: the rows move twice, however many features.
+All operators of one chain share one block layout: the rows move twice, however many features. The
+row-based operators take over a ``pos`` column that is already there, so a chain numbers its rows once;
+store the numbered frame (``session.materialize``) if several operators follow.
 """
 
 from __future__ import annotations
@@ -47,6 +49,11 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str
     )
 
 
+def positioned(df: DataFrame, keys: Sequence[str], ts: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``pos``, and what to drop afterwards: nothing if it came with it."""
+    return (df, []) if "pos" in df.columns else (with_position(df, keys, ts), ["pos"])
+
+
 def blocked(df: DataFrame, keys: Sequence[str], back: int = 0, ahead: int = 0,
             pos: str = "pos", rows: int = BLOCK_ROWS) -> tuple[DataFrame, Window]:
     """Rows with their block, plus copies of the ``back`` rows before and ``ahead`` rows after it.
@@ -87,7 +94,8 @@ def features(df: DataFrame, keys: Sequence[str], ts: str, lags: Mapping[str, Ite
     """Lags, rolling statistics and leads of one frame in one block layout."""
     back = max([k for ks in lags.values() for k in ks] + [r - 1 for rs in rolls.values() for r in rs] + [0])
     ahead = max([k for ks in leads.values() for k in ks] + [0])
-    b, w = blocked(with_position(df, keys, ts), keys, back, ahead, rows=block_rows)
+    df, extra = positioned(df, keys, ts)
+    b, w = blocked(df, keys, back, ahead, rows=block_rows)
     new: dict[str, Column] = {}
     for c, ks in lags.items():
         new.update(lag_columns(w, [c], ks))
@@ -96,7 +104,7 @@ def features(df: DataFrame, keys: Sequence[str], ts: str, lags: Mapping[str, Ite
             new.update(rolling_columns(w, [c], r, stats))
     for c, ks in leads.items():
         new.update({f"{c}_lead{k}": F.lead(c, k).over(w) for k in ks})
-    return core(b.withColumns(new)).drop("pos")
+    return core(b.withColumns(new)).drop(*extra)
 
 
 def with_known(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], block: Column,
@@ -173,11 +181,11 @@ def interpolate_by_row(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequen
     Reads the next known value, so it is not causal; ``fill`` is the causal choice. A row before the
     first known value stays null.
     """
-    out = with_position(df, keys, ts)
-    out = with_known(out, keys, "pos", cols, F.floor(F.col("pos") / block_rows), ahead=True)
+    df, extra = positioned(df, keys, ts)
+    out = with_known(df, keys, "pos", cols, F.floor(F.col("pos") / block_rows), ahead=True)
     here = F.col("pos")
     return _drop_known(out.withColumns({
-        c: F.coalesce(F.col(c), _between(c, here), F.col(f"{c}__prev.v")) for c in cols}), cols).drop("pos")
+        c: F.coalesce(F.col(c), _between(c, here), F.col(f"{c}__prev.v")) for c in cols}), cols).drop(*extra)
 
 
 def interpolate_by_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
@@ -215,16 +223,18 @@ def hourly_spine(df: DataFrame, keys: Sequence[str], ts: str, until: Column | No
 def history(df: DataFrame, keys: Sequence[str], ts: str, item: Column, length: int = 24,
             include_current: bool = True, name: str = "history", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The last ``length`` items of the series as an array, oldest first."""
-    b, w = blocked(with_position(df, keys, ts).withColumn("_item", item), keys, length, rows=block_rows)
+    df, extra = positioned(df, keys, ts)
+    b, w = blocked(df.withColumn("_item", item), keys, length, rows=block_rows)
     frame = w.rowsBetween(-(length - 1), 0) if include_current else w.rowsBetween(-length, -1)
-    return core(b.withColumn(name, F.collect_list("_item").over(frame))).drop("_item", "pos")
+    return core(b.withColumn(name, F.collect_list("_item").over(frame))).drop("_item", *extra)
 
 
 def shifted_target(df: DataFrame, keys: Sequence[str], ts: str, col: str, horizon: int,
                    name: str = "target_shifted", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The value ``horizon`` rows ahead; rows without one are dropped."""
-    b, w = blocked(with_position(df, keys, ts), keys, ahead=horizon, rows=block_rows)
-    out = core(b.withColumn(name, F.lead(col, horizon).over(w))).drop("pos")
+    df, extra = positioned(df, keys, ts)
+    b, w = blocked(df, keys, ahead=horizon, rows=block_rows)
+    out = core(b.withColumn(name, F.lead(col, horizon).over(w))).drop(*extra)
     return out.filter(F.col(name).isNotNull())
 
 
@@ -233,7 +243,7 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def generated_hours(df: DataFrame, order: Sequence[str], start: str = "2026-01-01", name: str = "timestamp",
-                    cells: int = 1024) -> DataFrame:
+                    cells: int = 65_536) -> DataFrame:
     """Hourly timestamps from ``start`` in row order, for a frame that carries none.
 
     Row numbers come from counts per hash cell of the order columns rather than from one global

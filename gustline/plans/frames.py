@@ -105,13 +105,14 @@ def rolling_feature_table(df: DataFrame, cols: Sequence[str], window: int = 3, m
     Imputation interpolates by row, then fills forward, then takes the series' median. The clip
     bounds come from the raw values.
     """
+    df = materialize(series.with_position(df, keys, ts))
     q = ranking.exact_percentiles(df, keys, cols, [0.01, 0.5, 0.99])
     out = series.interpolate_by_row(df, keys, ts, cols).join(q, list(keys), "left")
     clip = lambda c: F.greatest(F.col(f"{c}__q")[0], F.least(
         F.col(f"{c}__q")[2], F.coalesce(F.col(c), F.col(f"{c}__q")[1])))
     out = out.withColumns({c: clip(c) for c in cols}).drop(*[f"{c}__q" for c in cols])
     out = series.features(out, keys, ts, lags={c: range(1, max_lag + 1) for c in cols},
-                          rolls={c: [window] for c in cols}, stats=("mean", "std", "min", "max"))
+                          rolls={c: [window] for c in cols}, stats=("mean", "std", "min", "max")).drop("pos")
     out = out.withColumns({f"{c}_roll{window}": F.col(f"{c}_roll{window}_mean") for c in cols})
     out = out.withColumns({"hour": F.hour(ts), "dayofweek": F.weekday(ts)})
     return series.time_features(out, ts)
@@ -142,11 +143,12 @@ def prepare_training(df: DataFrame, keys: Sequence[str] = KEYS, backfill: bool =
     keys = list(keys)
     out = build_time(clean.lower_headers(df), keys).filter("timestamp IS NOT NULL")
     numeric = [c for c in (*TRAINING_NUMERIC, *recipes.GASES, "wind_u", "wind_v") if c in out.columns]
-    out = series.fill(clean.coerce(out, numeric), keys, "timestamp", numeric, backward=backfill, default=0.0)
+    out = materialize(series.with_position(clean.coerce(out, numeric), keys, "timestamp"))
+    out = series.fill(out, keys, "timestamp", numeric, backward=backfill, default=0.0)
     out = series.time_features(clean.with_wind(out, SPEED, DIRECTION, dir_scale=10), "timestamp")
     if target not in out.columns:
-        return out
-    b, w = series.blocked(series.with_position(out, keys, "timestamp"), keys, back=max(PM_LAGS))
+        return out.drop("pos")
+    b, w = series.blocked(out, keys, back=max(PM_LAGS))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # A lag reaches before the start only in the first block, whose first row starts the series.
     start, last = F.first(target).over(whole), F.max("pos").over(whole)
@@ -175,10 +177,10 @@ def design_matrix(frame: DataFrame, features: Sequence[str], horizon: int, keys:
     out = series.shifted_target(frame.select(*keys, "timestamp", *dict.fromkeys([*features, target])),
                                 keys, "timestamp", target, horizon, "y")
     out = out.na.drop(subset=[f"`{f}`" if "." in f else f for f in features])
-    out = log_skewed(out, features).select(*keys, "timestamp", "y", *features)
-    out = ranking.chronological_split(out, "timestamp", keys[0])
-    # Scaling passes over the matrix several times, so it is stored first.
-    return aggregates.robust_scale(materialize(out), features, F.col("split") == "train") if scale else out
+    # Splitting and scaling pass over the matrix several times, so it is stored first.
+    out = materialize(log_skewed(out, features).select(*keys, "timestamp", "y", *features))
+    out = ranking.chronological_split(out, "timestamp", keys[0], now=True)
+    return aggregates.robust_scale(out, features, F.col("split") == "train") if scale else out
 
 
 def sequences(df: DataFrame, features: Sequence[str], target: str, history: int = 24, label_offset: int = 0,
@@ -190,7 +192,8 @@ def sequences(df: DataFrame, features: Sequence[str], target: str, history: int
     target that is shifted already. Rows: keys, ts, ``window`` (array of feature arrays), ``label``.
     """
     item = F.array(*[clean.named(c).cast("double") for c in features])
-    b, w = series.blocked(series.with_position(df, keys, ts), keys, back=history, ahead=label_offset, rows=block_rows)
+    df, extra = series.positioned(df, keys, ts)
+    b, w = series.blocked(df, keys, back=history, ahead=label_offset, rows=block_rows)
     out = series.core(b.withColumn("_item", item).withColumns({
         "window": F.collect_list("_item").over(w.rowsBetween(-history, -1)),
         "label": F.lead(target, label_offset).over(w) if label_offset else F.col(target),
@@ -200,7 +203,7 @@ def sequences(df: DataFrame, features: Sequence[str], target: str, history: int
     if skip_nulls:
         hole = lambda x: x.isNull() | F.isnan(x)
         out = out.filter(~hole(F.col("label")) & ~F.exists(F.flatten("window"), hole))
-    return out.select(*keys, ts, "window", "label")
+    return out.select(*keys, ts, *(["pos"] if not extra else []), "window", "label")
 
 
 def node_table(targets: DataFrame, nodes: DataFrame, edges: DataFrame, replace: dict[str, str]) -> DataFrame:

@@ -153,7 +153,7 @@ def apply_scaling(df: DataFrame, scaling: Mapping[str, tuple[float, float]]) ->
 
 def design(frame: DataFrame, features: Sequence[str], horizon: int, keys: Sequence[str] = frames.KEYS):
     """(assembled and stored design matrix, scaling). Stored once: fits and scores pass over it often."""
-    raw = materialize(frames.design_matrix(frame, features, horizon, keys, scale=False))
+    raw = frames.design_matrix(frame, features, horizon, keys, scale=False)
     scaling = scaling_of(raw.filter("split = 'train'"), features)
     return assemble(apply_scaling(raw, scaling), features), scaling
 

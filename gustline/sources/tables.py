@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo
-from ..operators import aggregates, diffusion, joins, series
+from ..operators import diffusion, joins, series
+from ..session import materialize
 
 PARAMETERS = {"view": "pm25", "click": "temperature", "purchase": "humidity", "error": "wind_speed", "signup": "wind_dir"}
 MET_VALUES = ("wind_speed", "wind_dir", "temperature", "humidity", "dew_point")
@@ -40,7 +41,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(
         _station().alias("station_id"), (F.lit(43.5) + F.lit(0.05) * i).alias("lat"),
         (F.lit(-79.8) + F.lit(0.06) * (i * 5 % 8)).alias("lon"),
-        F.when(i == 0, "target").otherwise("neighbor").alias("role"), F.lit("net-0").alias("network")).distinct()
+        F.when(i == 0, "target").otherwise("neighbor").alias("role"), F.when(i < 4, "net-0").otherwise("net-1").alias("network")).distinct()
 
 
 def met(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +68,13 @@ def gases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense series: one value per region and day. Tens are summed as integers, so the sum is exact."""
+    """Dense series: one value per region and day. Tens are summed as integers, so the sum is exact.
+
+    Stored, because the series operators pass over their input more than once.
+    """
     t = lambda n: table(spark, sf_dir, n)
     tens = F.sum(F.round(F.col("o_totalprice") / 10).cast("long"))
-    return (
+    return materialize(
         t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))

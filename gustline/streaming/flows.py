@@ -195,7 +195,7 @@ class HourlyFeatures:
         full = full.withColumnsRenamed({v: k for k, v in names.items()})
         cols = [*names, "wind_u", "wind_v", "pm25", "upwind_pm25", "transport_potential", "wind_alignment"]
         made = full.select("station_id", "hour", clean.feature_map(cols).alias("features"), "method")
-        both = made.withColumn("_new", F.lit(True)).unionByName(emitted, allowMissingColumns=True)
+        both = materialize(made).withColumn("_new", F.lit(True)).unionByName(emitted, allowMissingColumns=True)
         return series.history(both, ["station_id"], "hour", F.col("features"), LOOKBACK).filter("_new").drop("_new")
 
 
