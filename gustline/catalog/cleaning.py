@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from .. import schemas
 from ..functions import scalar
-from ..operators import aggregates, clean, ranking, series
+from ..operators import aggregates, clean, series
 from ..session import materialize, scratch
 from ..sources import readers, sinks, tables as src
 from .registry import query

@@ -9,7 +9,7 @@ from ..plans import frames, models, recipes
 from ..session import materialize, scratch
 from ..sources import tables as src
 from .registry import query
-from .timeseries import _ORDERED, _SPLIT, W, prepared
+from .timeseries import prepared
 
 # Small settings that fit in a check run; the defaults are those of ``models``.
 QUICK = {"rf": {"trees": 10, "depth": 4}}
@@ -115,3 +115,79 @@ def f13_scoring(spark, d):
 def f14_forecast_and_alert(spark, d):
     frame, b = _bundle(spark, d)
     return models.forecast_and_alert(_records(frame), b["lr"]).drop("forecasts")
+
+
+# With one feature the penalized fit has a short SQL form, so fit, evaluation, composition, scoring and
+# alerts can be checked in full.
+
+_ONE = ["pm25"]
+_ALPHA = " ".join(f"WHEN {h} THEN {a}e0" for h, a in models.RIDGE_ALPHA.items())
+_XY = f"(SELECT *, ln(1 + greatest(x0, 0)) AS lx FROM (SELECT s.*, p.pm25 AS x0 FROM {_YSPLIT} s JOIN pm p ON s.station_id = p.station_id AND s.hour = p.hour))"
+_SCALE = f"""(SELECT h, median(lx) AS c, quantile_cont(lx, 0.75) - quantile_cont(lx, 0.25) AS r, avg(y) AS mean_y
+  FROM {_XY} WHERE split = 'train' GROUP BY 1)"""
+_COEF = f"""(SELECT h, any_value(c) AS c, any_value(r) AS r, any_value(my) AS my, any_value(mx) AS mx,
+  sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + CASE h {_ALPHA} END) AS slope FROM
+  (SELECT *, avg(x) OVER (PARTITION BY h) AS mx, avg(y) OVER (PARTITION BY h) AS my FROM
+    (SELECT t.h, t.y, (t.lx - q.c) / q.r AS x, q.c, q.r FROM {_XY} t JOIN {_SCALE} q ON t.h = q.h WHERE t.split = 'train')) GROUP BY 1)"""
+_FIT = "k.my + k.slope * ((ln(1 + greatest({0}, 0)) - k.c) / k.r - k.mx)"
+_LINEAR = f"""(SELECT t.station_id, t.hour AS timestamp, 'Linear Regression' AS model, t.h AS horizon, t.split, t.y, {_FIT.format('t.x0')} AS p
+  FROM {_XY} t JOIN {_COEF} k ON t.h = k.h)"""
+_MEAN = f"""(SELECT t.station_id, t.hour AS timestamp, 'Historical Average' AS model, t.h AS horizon, t.split, t.y, q.mean_y AS p
+  FROM {_XY} t JOIN {_SCALE} q ON t.h = q.h)"""
+_AHEAD = f"""(SELECT p.station_id, p.hour AS timestamp, p.pm25 AS current_pm25,
+  max(CASE WHEN k.h = 1 THEN greatest({_FIT.format('p.pm25')}, 0) END) AS h1, max(CASE WHEN k.h = 2 THEN greatest({_FIT.format('p.pm25')}, 0) END) AS h2,
+  max(CASE WHEN k.h = 3 THEN greatest({_FIT.format('p.pm25')}, 0) END) AS h3 FROM pm p CROSS JOIN {_COEF} k GROUP BY 1, 2, 3)"""
+
+
+def _one_frame(spark, d):
+    return materialize(frames.prepare_training(src.pm(spark, d).withColumnRenamed("hour", "timestamp")))
+
+
+@query("f3_ridge_one_feature", f"SELECT * FROM {_LINEAR}", "y|p")
+def f3_ridge_one_feature(spark, d):
+    return models.train(_one_frame(spark, d), ["lr"], features=_ONE)[1]
+
+
+@query("f6_evaluation_one_feature", f"""SELECT model, horizon, split, 1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)) AS r2, avg(abs(y-p)) AS mae,
+  avg((y-p)*(y-p)) AS mse, sqrt(avg((y-p)*(y-p))) AS rmse FROM (SELECT * FROM {_LINEAR} UNION ALL SELECT * FROM {_MEAN}) GROUP BY 1, 2, 3""",
+       "r2|mae|mse|rmse")
+def f6_evaluation_one_feature(spark, d):
+    return models.evaluate(models.train(_one_frame(spark, d), ["ha", "lr"], features=_ONE)[1])
+
+
+@query("f7_forecast_one_feature", f"SELECT station_id, timestamp, current_pm25, h1 AS forecast_pm25, h1, h2, h3 FROM {_AHEAD}",
+       "current_pm25|forecast_pm25|h1|h2|h3")
+def f7_forecast_one_feature(spark, d):
+    frame = _one_frame(spark, d)
+    bundle = models.train(frame, ["lr"], features=_ONE)[0]["lr"]
+    return models.forecast(_one_records(frame), bundle).select(
+        "station_id", "timestamp", "current_pm25", "forecast_pm25", *[F.col("forecasts")[h].alias(h) for h in ("h1", "h2", "h3")])
+
+
+def _one_records(frame):
+    f = frame.withColumn("features", clean.feature_map(_ONE)).select("station_id", "timestamp", "features")
+    return series.history(f, ["station_id"], "timestamp", F.col("features"), 24)
+
+
+@query("f9_composite_one_feature", f"""SELECT a.station_id, a.timestamp, m.mean_y AS forecast_pm25, a.h2, a.h3,
+  'composite:h1=ha,h2=lr,h3=lr' AS model_type FROM {_AHEAD} a JOIN {_SCALE} m ON m.h = 1""", "forecast_pm25|h2|h3")
+def f9_composite_one_feature(spark, d):
+    """Mean at +1 h, linear beyond, after saving and loading both families."""
+    frame = _one_frame(spark, d)
+    bundles, path = models.train(frame, ["ha", "lr"], features=_ONE)[0], scratch(spark, "models")
+    for name, b in bundles.items():
+        b.save(f"{path}/{name}", spark)
+    loaded = {name: models.Bundle.load(f"{path}/{name}", spark) for name in bundles}
+    mixed = models.composite(loaded, {1: "ha", 2: "lr", 3: "lr"})
+    return models.forecast(_one_records(frame), mixed).select(
+        "station_id", "timestamp", "forecast_pm25", F.col("forecasts")["h2"].alias("h2"), F.col("forecasts")["h3"].alias("h3"), "model_type")
+
+
+@query("f14_alert_one_feature", f"""SELECT station_id, timestamp, current_pm25, h1 AS forecast_pm25, CASE WHEN greatest(h1, current_pm25) >= 125.5e0 THEN 'critical'
+  WHEN greatest(h1, current_pm25) >= 35.5e0 THEN 'warning' ELSE 'normal' END AS level, greatest(h1, current_pm25) >= 35.5e0 AS alert FROM {_AHEAD}""",
+       "current_pm25|forecast_pm25")
+def f14_alert_one_feature(spark, d):
+    frame = _one_frame(spark, d)
+    bundle = models.train(frame, ["lr"], [1], features=_ONE)[0]["lr"]
+    return models.forecast_and_alert(_one_records(frame), bundle).select(
+        "station_id", "timestamp", "current_pm25", "forecast_pm25", "level", "alert")

@@ -8,7 +8,7 @@ from ..functions import alerts, geo
 from ..operators import clean, diffusion, joins, series
 from ..session import materialize
 from ..sources import tables as src
-from .prelude import AB, east, edge_weight, hav, north
+from .prelude import east, edge_weight, hav, north
 from .registry import query
 
 ADVICE_SQL = f"""CASE WHEN level = 'critical' THEN '{alerts.ADVICE["critical"]}'

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
-from .. import schemas
-from ..functions import geo
-from ..operators import aggregates, clean, diffusion, series
+from ..operators import aggregates, clean, series
+from ..plans import models
 from ..session import materialize, scratch
 from ..sources import readers, sinks, tables as src
 from ..streaming import flows
 from .cleaning import _NORM, _NORM_COLS, _NORM_D, _RAW_SQL, _normalized, _raws
+from .forecasting import _AHEAD, _ONE, _bundle, _one_frame, _one_records, _records
 from .prelude import edge_weight
 from .registry import query
 from .spatial import ADVICE_SQL, _EVAL, _predictions
@@ -160,7 +160,6 @@ def st4_hourly_features(spark, d):
 
 @query("st5_stream_scoring")
 def st5_stream_scoring(spark, d):
-    from .forecasting import _bundle, _records
     frame, bundles = _bundle(spark, d)
     records = _records(frame)
     stream = open_stream(spark, feed(records, "timestamp", "features"), records.schema)
@@ -223,3 +222,32 @@ def st10_latency(spark, d):
     alerts = flows.alerts.evaluate(stream, current=("current_pm25",))
     flows.drain(alerts, scratch(spark, "cp"), flows.stamp_latency_to(out))
     return aggregates.latency_summary(_flat_table(spark, out), ["station_id"], "ms")
+
+
+@query("st5_stream_scoring_one_feature", f"SELECT station_id, timestamp, current_pm25, h1 AS forecast_pm25, 'lr' AS model_type FROM {_AHEAD}",
+       "current_pm25|forecast_pm25")
+def st5_stream_scoring_one_feature(spark, d):
+    frame = _one_frame(spark, d)
+    bundle = models.train(frame, ["lr"], features=_ONE)[0]["lr"]
+    records = _one_records(frame)
+    stream = open_stream(spark, feed(records, "timestamp", "features"), records.schema, maxFilesPerTrigger=2)
+    out = scratch(spark, "predictions")
+    flows.drain(flows.score(stream, bundle), scratch(spark, "cp"), out)
+    return spark.read.parquet(out).select("station_id", "timestamp", "forecast_pm25", "current_pm25", "model_type")
+
+
+@query("src3_raw_stream", f"""SELECT source, event_id AS "offset", station_id, strftime(hour, '%Y-%m-%d %H') AS hour_utc, CASE WHEN source <> 'envcanada' THEN value END AS value
+FROM {_RAW_SQL}""", "value")
+def src3_raw_stream(spark, d):
+    """Raw records of each source as they arrive, typed by the source's schema."""
+    out = None
+    for source, raw in _raws(spark, d).items():
+        path, sink = scratch(spark, source), scratch(spark, "raw")
+        raw.drop("event_id").write.json(path, ignoreNullFields=False)
+        flows.drain(readers.raw_stream(spark, path, source, maxFilesPerTrigger=4), scratch(spark, "cp"), sink)
+        value = {"openaq": "value", "iqair": "pm25"}.get(source)
+        rows = spark.read.parquet(sink).select(
+            F.lit(source).alias("source"), "offset", "station_id", F.substring(F.replace("datetime_utc", F.lit("T"), F.lit(" ")), 1, 13).alias("hour_utc"),
+            (F.col(value) if value else F.lit(None).cast("double")).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -11,11 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import alerts, scalar
-from ..operators import aggregates, clean, ranking
-from ..session import materialize
+from ..functions import alerts
+from ..operators import aggregates, clean
 from . import frames, recipes
 
 # Settings per horizon.

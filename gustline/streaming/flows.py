@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from .. import schemas
-from ..functions import alerts, geo, scalar
+from ..functions import alerts
 from ..operators import clean, diffusion, joins, series
 from ..operators.ranking import top_per_group
 from ..session import materialize
