@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import chat, topk
+from . import bpe, chat, langid, secrets, topk
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,36 @@ def _escaped_sql(c: str) -> str:
     return c
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    """Language of every document; two thirds of them may teach."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    out = langid.predict(docs, model)
+    held = F.coalesce(langid.held_out("id"), F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "bits")
+
+
+@query("op3_bpe_round_trip")
+def op3_bpe_round_trip(spark, sf_dir):
+    """Ids of every document and the text decoded from them."""
+    return bpe.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf_dir):
+    """Secrets in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan_digests(docs, secrets.train(secrets.labelled_words(docs)))
+
+
 _SAID = "'</s>[INST] ok [/INST]'"
 OP6_SQL = f"""
 WITH said AS (
