@@ -225,7 +225,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     keep = keep or {}
     rows = df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in keep.items()], F.col(text_col).alias("text"))
     extra = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in keep)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, kept = df.sparkSession.sparkContext.broadcast(model), list(keep)
 
     def run(batches):
         m = shared.value
@@ -243,8 +243,8 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             else:
                 score, lang, rate = np.zeros(n), np.full(n, UNKNOWN, object), np.zeros(n)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), *[part.column(k) for k in keep], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)],
-                ["id", *keep, "lang_pred", "score", "bits"])
+                [part.column("id"), *[part.column(k) for k in kept], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)],
+                ["id", *kept, "lang_pred", "score", "bits"])
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}{extra}, lang_pred string, score double, bits double")
 
 

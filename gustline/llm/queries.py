@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import bpe, chat, langid, secrets, topk
+from . import bpe, chat, fingerprints, langid, packing, secrets, simhash, topk
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,6 +58,12 @@ def op3_bpe_round_trip(spark, sf_dir):
     return bpe.encoding_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    """Every document in sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
     """Secrets in every document."""
@@ -92,6 +98,13 @@ def op6_chat_formatting(spark, sf_dir):
     return chat.conversation_digests(rows.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
 
 
+@query("op7_simhash_near_duplicates")
+def op7_simhash_near_duplicates(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP9_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -108,3 +121,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op9_exact_topk(spark, sf_dir):
     """The 20 best of all vectors for every 20th."""
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.pmod("id", F.lit(20)) == 0)
+
+
+@query("op10_document_fingerprints")
+def op10_document_fingerprints(spark, sf_dir):
+    """Every document against its edited form and the next document."""
+    return fingerprints.neighbour_likeness(_table(spark, sf_dir, "documents"))
