@@ -96,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = stored(small.select("e.a", "e.b").filter("a <> b").distinct(), "links", new)
         drop_stored(spark, old)
         old = new
-        state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        state = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import bpe, chat, fingerprints, langid, packing, secrets, simhash, topk
+from . import bpe, chat, fingerprints, langid, lines, packing, secrets, simhash, topk
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -105,6 +105,12 @@ def op7_simhash_near_duplicates(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op8_line_dedup")
+def op8_line_dedup(spark, sf_dir):
+    """What every document keeps when equal and similar lines are removed."""
+    return lines.dedup_digests(_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
