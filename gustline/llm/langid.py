@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import LETTER, _classes
-from .common import text_slices
+from .common import slices, text_bytes, text_slices
 
 UNKNOWN = "und"
 ORDER = 3
 DOCS_PER_LANG = 1500
 MAX_LANGS = 200
 PAIRS = 2048
+LEAST_SCORE = 0.5
+MOST_BITS = 6.0
 
 
 @functools.cache
@@ -248,6 +250,31 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}{extra}, lang_pred string, score double, bits double")
 
 
+def keep_identified(df: DataFrame, model: Model | None, text_col: str = "text", least_score: float = LEAST_SCORE, most_bits: float = MOST_BITS) -> DataFrame:
+    """Rows of ``df`` whose text has a language: letters, a score of at least ``least_score``, at most ``most_bits`` bits a folded byte.
+
+    The second bound rejects letters in an order that no learned language explains. Without a model nothing is rejected but
+    texts without letters.
+    """
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        index = m.index() if m else None
+        for b in batches:
+            data, offsets = text_bytes(b.column(at))
+            for lo, hi in slices(offsets):
+                part, n = offsets[lo : hi + 1] - offsets[lo], hi - lo
+                folded, where, ok = fold(data[offsets[lo] : offsets[hi]], part)
+                if m:
+                    bits = m.lengths(folded, where, index)
+                    least = bits.min(axis=1)
+                    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+                    ok = ok & (score >= least_score) & (least <= most_bits * np.maximum(np.diff(where) - ORDER, 1))
+                yield b.slice(lo, n).filter(pa.array(ok))
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for a third of all ids; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import bpe, chat, fingerprints, langid, lines, packing, secrets, simhash, topk
+from . import bpe, chat, fingerprints, langid, lines, packing, repeats, secrets, simhash, topk
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -52,6 +52,12 @@ def op1_language_id(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "bits")
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    """Every document without the 50-byte windows of earlier ones."""
+    return repeats.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 @query("op3_bpe_round_trip")
 def op3_bpe_round_trip(spark, sf_dir):
     """Ids of every document and the text decoded from them."""

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, ragged, stored, text_slices
 
@@ -257,3 +257,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(points.filter("id is not null"), radius))
     named = points.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``df`` with one row of each near-duplicate component: the one with the smallest id (of rows sharing it, the smallest text).
+
+    Rows with a null id stay.
+    """
+    found = near_duplicates(df, id_col, text_col, words, radius)
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    rank = "stays"
+    while rank in df.columns:
+        rank += "_"
+    kept = df.join(stay, id_col, "left_semi").withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
+    return kept.unionByName(df.filter(F.col(id_col).isNull()))
