@@ -150,8 +150,8 @@ def j7_station_pairs(spark, d):
     return src.pairs(spark, d)
 
 
-@query("j8_k_nearest", """SELECT src, dst, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist_m, dst) AS rn
-FROM pairs) WHERE rn <= 3""", "dist_m")
+@query("j8_k_nearest", """SELECT src, dst, dist_m, north, east FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist_m, dst) AS rn
+FROM pairs) WHERE rn <= 3""", "dist_m|north|east")
 def j8_k_nearest(spark, d):
     return diffusion.knn_edges(src.stations(spark, d), 3)
 
@@ -276,3 +276,113 @@ def c3_alert_record(spark, d):
 @query("a11_alert_counts", f"SELECT level, count(*) AS n FROM {_EVAL} GROUP BY 1")
 def a11_alert_counts(spark, d):
     return alerts.evaluate(_predictions(spark, d)).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+# A station per user: many stations, with edges to the nearest three only.
+
+_MANY_KM = ("43.0e0 + 0.0131e0 * (user_id % 97) + 0.0011e0 * (user_id // 97)", "-80.0e0 + 0.0173e0 * (user_id * 7 % 101)")
+_MANY_M = ("43.5e0 + 0.00001e0 * (user_id % 37) + 0.00000013e0 * user_id", "-79.8e0 + 0.00001e0 * (user_id * 11 % 41) + 0.00000017e0 * user_id")
+
+
+def _many_stations_sql(at):
+    return f"(SELECT DISTINCT concat('u-', CAST(user_id AS VARCHAR)) AS station_id, {at[0]} AS lat, {at[1]} AS lon FROM events)"
+
+
+def _nearest_sql(at, k):
+    """Edges from the k nearest stations (src) to each station (dst)."""
+    ab = ("a.lat", "a.lon", "b.lat", "b.lon")
+    return f"""(SELECT * FROM (SELECT a.station_id AS src, b.station_id AS dst, {hav(*ab)} AS dist_m, {north(*ab)} AS north, {east(*ab)} AS east,
+  row_number() OVER (PARTITION BY b.station_id ORDER BY {hav(*ab)}, a.station_id) AS rn
+  FROM {_many_stations_sql(at)} a JOIN {_many_stations_sql(at)} b ON a.station_id <> b.station_id) WHERE rn <= {k})"""
+
+
+def _many_stations(spark, d, at):
+    lat, lon = (F.expr(x.replace("//", "div").replace("e0", "D")) for x in at)
+    user = F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("station_id")
+    return src.events(spark, d).select(user, lat.alias("lat"), lon.alias("lon")).distinct()
+
+
+def _many_pm(spark, d):
+    user = F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("station_id")
+    return src.events(spark, d).filter("event_type = 'view'").groupBy(user, F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.round(F.avg("value"), 4).alias("pm25"))
+
+
+def _windy(df):
+    """A wind that turns with hour and day."""
+    return df.withColumns({"wind_u": F.hour("hour") - F.lit(11.5), "wind_v": F.lit(15.5) - F.dayofmonth("hour")})
+
+
+_MANY_PM = """(SELECT concat('u-', CAST(user_id AS VARCHAR)) AS station_id, date_trunc('hour', ts) AS hour, round(avg(value), 4) AS pm25
+  FROM events WHERE event_type = 'view' GROUP BY 1, 2)"""
+_WINDY = "hour(hour) - 11.5e0 AS wind_u, 15.5e0 - day(hour) AS wind_v"
+_MANY_SPINE = f"(SELECT station_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM {_MANY_PM} GROUP BY 1)"
+_MANY_SLOTS = f"(SELECT s.station_id, s.hour, p.pm25, {_WINDY.replace('(hour)', '(s.hour)')} FROM {_MANY_SPINE} s LEFT JOIN {_MANY_PM} p ON s.station_id = p.station_id AND s.hour = p.hour)"
+_MANY_ESTIMATE = f"""(SELECT station_id, hour, sum({edge_weight('dist_m', 'a')} * v) / sum({edge_weight('dist_m', 'a')}) AS est,
+  max(sqrt(wind_u*wind_u + wind_v*wind_v) * a) AS transport, avg(a) AS align FROM
+  (SELECT t.station_id, t.hour, t.wind_u, t.wind_v, p.pm25 AS v, e.dist_m, (e.north*t.wind_u + e.east*t.wind_v)
+     / (sqrt(e.north*e.north + e.east*e.east) * sqrt(t.wind_u*t.wind_u + t.wind_v*t.wind_v)) AS a
+   FROM {_MANY_SLOTS} t JOIN {_nearest_sql(_MANY_KM, 3)} e ON e.dst = t.station_id JOIN {_MANY_PM} p ON p.station_id = e.src AND p.hour = t.hour) GROUP BY 1, 2)"""
+
+
+@query("a5_knn_diffusion", f"""SELECT t.station_id, t.hour, t.pm25, coalesce(est, 0) AS upwind_pm25, coalesce(transport, 0) AS transport_potential,
+  coalesce(align, 0) AS wind_alignment FROM {_MANY_PM} t LEFT JOIN {_MANY_ESTIMATE} e ON t.station_id = e.station_id AND t.hour = e.hour""",
+       "pm25|upwind_pm25|transport_potential|wind_alignment")
+def a5_knn_diffusion(spark, d):
+    """Every user a station, three neighbours each."""
+    pm = _many_pm(spark, d)
+    edges = diffusion.neighbour_edges(_many_stations(spark, d, _MANY_KM), 3)
+    return diffusion.diffusion_features(_windy(pm), pm, edges).select("station_id", "hour", "pm25", "upwind_pm25", "transport_potential", "wind_alignment")
+
+
+@query("r1_knn_recover", f"""SELECT h.station_id, h.hour,
+  coalesce(pm25, CASE WHEN gap_hours <= 3 AND est IS NOT NULL THEN est ELSE last_value END) AS recovered,
+  CASE WHEN pm25 IS NOT NULL THEN 'observed' WHEN gap_hours <= 3 AND est IS NOT NULL THEN 'spatial'
+       WHEN last_value IS NOT NULL THEN 'temporal' ELSE 'none' END AS method
+FROM (SELECT *, last_value(pm25 IGNORE NULLS) OVER w AS last_value,
+  epoch(hour - last_value(CASE WHEN pm25 IS NOT NULL THEN hour END IGNORE NULLS) OVER w) / 3600 AS gap_hours FROM {_MANY_SLOTS}
+  WINDOW w AS (PARTITION BY station_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) h
+LEFT JOIN {_MANY_ESTIMATE} e ON h.station_id = e.station_id AND h.hour = e.hour""", "recovered")
+def r1_knn_recover(spark, d):
+    pm = _many_pm(spark, d)
+    edges = diffusion.neighbour_edges(_many_stations(spark, d, _MANY_KM), 3)
+    return diffusion.recover(_windy(series.hourly_spine(pm, ["station_id"], "hour")), pm, edges).select("station_id", "hour", "recovered", "method")
+
+
+@query("j8_dense", f"SELECT src, dst, dist_m, north, east FROM {_nearest_sql(_MANY_M, 3)}", "dist_m|north|east")
+def j8_dense(spark, d):
+    """All stations within a few hundred metres."""
+    return diffusion.neighbour_edges(_many_stations(spark, d, _MANY_M), 3)
+
+
+_MOVING = """(SELECT concat('w-', CAST(user_id % 60 AS VARCHAR)) AS met_id, date_trunc('hour', ts) AS hour,
+  min(43.3e0 + 0.0107e0 * (user_id % 60) + 0.0031e0 * day(ts)) AS lat, min(-80.0e0 + 0.0113e0 * (user_id % 60 * 7 % 60) - 0.0017e0 * day(ts)) AS lon,
+  avg(value) AS wind_speed FROM events WHERE event_type = 'error' GROUP BY 1, 2)"""
+
+
+@query("j1_many_met", f"""SELECT pm.station_id, pm.hour, m.met_id, m.wind_speed FROM pm LEFT JOIN
+  (SELECT s.station_id, m.*, row_number() OVER (PARTITION BY s.station_id, m.hour ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn
+   FROM stations s CROSS JOIN {_MOVING} m) m ON pm.station_id = m.station_id AND pm.hour = m.hour AND m.rn = 1""", "wind_speed")
+def j1_many_met(spark, d):
+    """Sixty weather stations that are somewhere else every day; most are silent at most hours."""
+    i, day = F.col("user_id") % 60, F.dayofmonth("ts")
+    met = src.events(spark, d).filter("event_type = 'error'").groupBy(
+        F.concat(F.lit("w-"), i.cast("string")).alias("met_id"), F.date_trunc("hour", "ts").alias("hour")).agg(
+        F.min(F.lit(43.3) + F.lit(0.0107) * i + F.lit(0.0031) * day).alias("lat"),
+        F.min(F.lit(-80.0) + F.lit(0.0113) * (i * 7 % 60) - F.lit(0.0017) * day).alias("lon"), F.avg("value").alias("wind_speed"))
+    return joins.nearest_met(src.pm(spark, d), src.stations(spark, d), met, ["wind_speed"]).select("station_id", "hour", "met_id", "wind_speed")
+
+
+_HOLES = """(SELECT *, CASE WHEN f >= 125.5e0 OR c >= 125.5e0 THEN 'critical' WHEN f >= 35.5e0 OR c >= 35.5e0 THEN 'warning' ELSE 'normal' END AS level FROM
+  (SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 <> 0 THEN value END, 0), 0) AS c,
+    coalesce(nullif(CASE WHEN event_id % 5 <> 0 THEN qa END, 0), nullif(CASE WHEN event_id % 3 <> 0 THEN value END, 0), 0) AS f FROM readings))"""
+
+
+@query("c1_alert_level_nan", f"SELECT event_id, level, level <> 'normal' AS alert, c AS current_resolved, f AS forecast_resolved, {ADVICE_SQL} AS recommendation FROM {_HOLES}",
+       "current_resolved|forecast_resolved")
+def c1_alert_level_nan(spark, d):
+    """Every third current value and every fifth forecast is NaN."""
+    nan = F.lit(float("nan"))
+    r = src.readings(spark, d).select("event_id", F.when(F.col("event_id") % 3 == 0, nan).otherwise(F.col("value")).alias("pm25"),
+                                      F.when(F.col("event_id") % 5 == 0, nan).otherwise(F.col("qa").cast("double")).alias("forecast_pm25"))
+    return alerts.evaluate(r).select("event_id", "level", "alert", "current_resolved", "forecast_resolved", "recommendation")

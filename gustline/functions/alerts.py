@@ -37,13 +37,14 @@ def evaluate(df: DataFrame, current=("pm25", "pm2", "current_pm25"), forecast: s
     """Append the resolved values, level, flag and advice.
 
     The first usable of ``current`` counts, where 0 is as good as missing; a forecast of 0 or null
-    falls back to the current value.
+    falls back to the current value. NaN counts as missing: as a number it would be above every threshold.
     """
-    present = [F.col(c) for c in current if c in df.columns]
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    present = [known(c) for c in current if c in df.columns]
     now = truthy_or(*present) if present else F.lit(0.0)
     ahead = now
     if forecast and forecast in df.columns:
-        ahead = F.coalesce(F.nullif(F.col(forecast), F.lit(0.0)), now)
+        ahead = F.coalesce(F.nullif(known(forecast), F.lit(0.0)), now)
     lvl = level(F.col("_now"), F.col("_ahead"), warning)
     return (
         df.withColumns({"_now": now, "_ahead": ahead})

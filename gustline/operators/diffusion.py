@@ -72,9 +72,27 @@ def dynamic_edges(edges: DataFrame, wind: DataFrame, on: str = "network", hour:
 
 
 def knn_edges(stations: DataFrame, k: int = 3) -> DataFrame:
-    """Edges from each station to its ``k`` nearest others. Stations without coordinates have none."""
+    """Edges from each station to its ``k`` nearest others, with the displacement from src to dst.
+
+    Stations without coordinates have none.
+    """
     near = joins.nearest_k(stations, stations, k, "station_id", "station_id", exclude_self=True)
-    return near.select(F.col("station_id").alias("src"), F.col("neighbor_id").alias("dst"), "dist_m")
+    at = lambda key, n: stations.select(F.col("station_id").alias(key), F.col("lat").alias(f"la{n}"), F.col("lon").alias(f"lo{n}"))
+    placed = near.withColumnsRenamed({"station_id": "src", "neighbor_id": "dst"}).join(at("src", 1), "src").join(at("dst", 2), "dst")
+    north, east = geo.north_east_m(*[F.col(c) for c in ("la1", "lo1", "la2", "lo2")])
+    return placed.select("src", "dst", "dist_m", north.alias("north"), east.alias("east"))
+
+
+def neighbour_edges(stations: DataFrame, k: int = 3) -> DataFrame:
+    """Edges from the ``k`` nearest other stations to each station, as the diffusion and recovery operators take them.
+
+    Their number grows with the stations, not with the square. Co-located stations are no neighbours.
+    """
+    e = knn_edges(stations, k).filter("dist_m > 0")
+    at = lambda key, n: stations.select(F.col("station_id").alias(key), F.col("lat").alias(f"la{n}"), F.col("lon").alias(f"lo{n}"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist_m").join(at("src", 1), "src").join(at("dst", 2), "dst")
+    north, east = geo.north_east_m(*[F.col(c) for c in ("la1", "lo1", "la2", "lo2")])
+    return back.select("src", "dst", "dist_m", north.alias("north"), east.alias("east"))
 
 
 def choose_recovery(value: Column, spatial: Column, temporal: Column, gap_hours: Column,

@@ -16,6 +16,8 @@ from .ranking import top_per_group
 
 BASE_CELL_M = 1000.0
 LEVELS = 15  # 1 km, 2 km, ... 16,384 km: the last spans the globe
+FINE_LEVELS = 10  # 500 m down to 1 m, only around kilometre cells that hold many points
+DENSE = 32  # a cell with so many times the points asked for is searched at the fine levels too
 _CUBE = ["_x", "_y", "_z"]
 
 
@@ -59,7 +61,7 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     Each query searches at its own scale: the finest cube size at which its own cube already holds
     ``k`` points bounds the distance of the k-th neighbour by the cube's diagonal, and the 27 cubes of
     twice that size contain everything closer. So queries in dense places look at small cubes and
-    remote ones at large cubes. Of points at one and the same place only the first ``k`` ids can be
+    remote ones at large cubes; crowded kilometres and those around them are cut down to a metre. Of points at one and the same place only the first ``k`` ids can be
     answers, so copies of a place do not multiply.
     """
     by, need = list(by), k + int(exclude_self)
@@ -67,10 +69,15 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     pts = points.filter(usable).select(*by, F.col(point_id).alias("_pid"),
                                        F.col(lat).alias("_pla"), F.col(lon).alias("_plo"))
     pts = top_per_group(pts, [*by, "_pla", "_plo"], [F.col("_pid")], need)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level")
     size = lambda level: F.lit(BASE_CELL_M) * F.pow(F.lit(2.0), level)
     cubes = lambda la, lo: [c.alias(n) for n, c in zip(_CUBE, geo.cell(F.col(la), F.col(lo), size(F.col("_level"))))]
-    leveled = pts.select("*", levels).select("*", *cubes("_pla", "_plo"))
+    kilometre = pts.withColumn("_level", F.lit(0)).select("*", *cubes("_pla", "_plo"))
+    crowded = kilometre.groupBy(*by, *_CUBE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > DENSE * need)
+    zone = crowded.select(*by, F.inline(_around([F.col(c) for c in _CUBE]))).distinct().withColumn("_fine", F.lit(True))
+    deepest = F.when(F.col("_fine"), F.lit(-FINE_LEVELS)).otherwise(F.lit(0))
+    leveled = kilometre.join(zone, [*by, *_CUBE], "left").drop("_level", *_CUBE).select(
+        "*", F.explode(F.sequence(deepest, F.lit(LEVELS - 1))).alias("_level")).drop("_fine").select("*", *cubes("_pla", "_plo"))
+    levels = F.explode(F.sequence(F.lit(-FINE_LEVELS), F.lit(LEVELS - 1))).alias("_level")
     at = [*by, "_level", *_CUBE]
     dense = leveled.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= need).drop("_n")
     qs = queries.filter(usable).select(*by, F.col(query_id).alias("_qid"),
@@ -91,28 +98,26 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
 
 
 def nearest_met(targets: DataFrame, stations: DataFrame, met: DataFrame, values: Sequence[str],
-                hour: str = "hour", k: int = 8, places: DataFrame | None = None) -> DataFrame:
+                hour: str = "hour", k: int = 8) -> DataFrame:
     """Append the report of the nearest weather station that has one for the same hour.
 
-    ``targets``: station_id, hour; ``met``: met_id, hour, lat, lon, values, one row per id and hour;
-    ``places``: met_id, lat, lon if known beforehand. Distances are static, so the ``k`` nearest
-    weather stations of each station are found once and their reports joined on (met_id, hour). If
-    there are more than ``k`` weather stations, hours at which none of the ``k`` reported are searched
-    among all reports of that hour. No report at all leaves nulls.
+    ``targets``: station_id, hour; ``met``: met_id, hour, lat, lon, values, one row per id and hour. A
+    report counts at the place it names, so a weather station may move. The ``k`` nearest places of each
+    station are found once and their reports joined on (place, hour). Hours at which no report came from
+    any of them are searched among all reports of those hours. No report at all leaves nulls.
     """
     keys = ["station_id", hour]
     report = F.struct("met_id", *values).alias("_report")
-    met = met.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    if places is None:
-        places = met.groupBy("met_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    static = nearest_k(stations, places, k, "station_id", "met_id")
-    close = met.join(static, "met_id").groupBy(*keys).agg(F.min_by(report, F.struct("dist_m", "met_id")).alias("_report"))
-    if places.limit(k + 1).count() > k:
-        missed = targets.select(*keys).distinct().join(close, keys, "left_anti").join(
-            stations.select("station_id", "lat", "lon"), "station_id")
-        other = nearest_k(missed, met, 1, "station_id", "met_id", by=[hour]).join(
-            met.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
-        close = close.unionByName(other)
+    met = met.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_place", F.concat_ws("|", "lat", "lon"))
+    places = met.select("_place", "lat", "lon").distinct()
+    static = nearest_k(stations, places, k, "station_id", "_place")
+    close = met.join(static, "_place").groupBy(*keys).agg(F.min_by(report, F.struct("dist_m", "met_id")).alias("_report"))
+    missed = targets.select(*keys).distinct().join(close, keys, "left_anti").join(
+        stations.select("station_id", "lat", "lon"), "station_id")
+    then = met.join(missed.select(hour).distinct(), hour, "left_semi")
+    other = nearest_k(missed, then, 1, "station_id", "met_id", by=[hour]).join(
+        then.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
+    close = close.unionByName(other)
     return targets.join(close, keys, "left").select("*", "_report.*").drop("_report")
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalar
+from ..session import materialize
 
 BUCKET_SECONDS = 90 * 86400
 BLOCK_ROWS = 4096
@@ -242,21 +243,20 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns(scalar.cyclic(F.col(ts)))
 
 
-def generated_hours(df: DataFrame, order: Sequence[str], start: str = "2026-01-01", name: str = "timestamp",
-                    cells: int = 65_536) -> DataFrame:
-    """Hourly timestamps from ``start`` in row order, for a frame that carries none.
+def generated_hours(df: DataFrame, order: Sequence[str], start: str = "2026-01-01", name: str = "timestamp") -> DataFrame:
+    """Hourly timestamps from ``start`` along ``order``, for a frame that carries none.
 
-    Row numbers come from counts per hash cell of the order columns rather than from one global
-    window: any unique order does, since the frame has no time of its own.
+    Rows are dealt by ranges of the order columns and stored, so every range keeps its rows; a row's number is its
+    rank in its range plus the rows of the ranges before it. ``order`` should be unique.
     """
-    cell = F.pmod(F.xxhash64(*order), F.lit(cells))
-    out = df.withColumn("_cell", cell)
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = out.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # One row per range: the only window without a partition.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
-        out.withColumn("_rank", rank).join(offsets, "_cell")
+        ranges.withColumn("_rank", rank).join(offsets, "_range")
         .withColumn(name, F.timestamp_add("HOUR", F.col("_off") + F.col("_rank") - 1, F.lit(start).cast("timestamp")))
-        .drop("_cell", "_rank", "_off")
+        .drop("_range", "_rank", "_off")
     )

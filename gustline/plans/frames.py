@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import geo, scalar
 from ..operators import aggregates, clean, diffusion, joins, ranking, series
@@ -57,24 +57,31 @@ def neighbour_columns(targets: DataFrame, readings: DataFrame, ids: Sequence[str
 
 
 def build_time(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """A ``timestamp`` column from what the frame has: itself, date parts, or generated hours."""
+    """A ``timestamp`` column from what the frame has: itself, date parts, or generated hours.
+
+    Hours are generated along ``order`` (all columns if none is given; a frame has no row order of its own) when
+    there is no time or none of the times can be read.
+    """
     low = {c.strip().lower(): c for c in df.columns}
+    made = None
     if "timestamp" in low:
-        return df.withColumn("timestamp", scalar.utc_hour(clean.named(low["timestamp"])))
-    if {"year", "month", "day"} <= low.keys():
+        made = scalar.utc_hour(clean.named(low["timestamp"]))
+    elif {"year", "month", "day"} <= low.keys():
         hour = next((clean.named(low[c]) for c in ("time lst", "time", "hour", "clean_hour") if c in low), None)
-        return df.withColumn("timestamp", scalar.timestamp_from_parts(
-            *[clean.named(low[c]) for c in ("year", "month", "day")], hour))
-    return series.generated_hours(df, order or df.columns)
+        made = scalar.timestamp_from_parts(*[clean.named(low[c]) for c in ("year", "month", "day")], hour)
+    if made is not None and not df.filter(made.isNotNull()).isEmpty():
+        return df.withColumn("timestamp", made)
+    by = list(order) or [c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
+    return series.generated_hours(df, by)
 
 
 def city_codes(df: DataFrame, city: str = "city_name") -> DataFrame:
     """0-based alphabetical code of each city.
 
-    Cities are counted per two-letter prefix and ranked inside it, so even the list of cities is
-    never sorted in one task.
+    The distinct cities are dealt by ranges and stored, so even their list is never sorted in one task.
     """
-    cities = df.select(city).filter(F.col(city).isNotNull()).distinct().withColumn("_p", F.substring(city, 1, 2))
+    cities = df.select(city).filter(F.col(city).isNotNull()).distinct()
+    cities = materialize(cities.repartitionByRange(city).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cities.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(
         "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -89,13 +96,14 @@ def modelling_frame(df: DataFrame, city: str = "city_name") -> DataFrame:
     Fills stay inside a city: a city's first hours do not take the previous city's values.
     """
     out = build_time(clean.alias_headers(df)).filter("timestamp IS NOT NULL")
+    codes = city_codes(out, city)
     numeric = [c for c in clean.HOURLY_NUMERIC if c in out.columns]
     out = series.fill(clean.coerce(out, numeric), [city], "timestamp", numeric, default=0.0)
     if "Wind Spd Definition km/h" in out.columns and "Wind Dir Definition 10's deg" in out.columns:
         out = clean.with_wind(out, "Wind Spd Definition km/h", "Wind Dir Definition 10's deg", dir_scale=10)
     out = out.withColumns({"hour": F.hour("timestamp"), "dayofweek": F.weekday("timestamp")})
     out = series.time_features(out, "timestamp")
-    return out.join(city_codes(out, city), city, "left")
+    return out.join(codes, city, "left")
 
 
 def rolling_feature_table(df: DataFrame, cols: Sequence[str], window: int = 3, max_lag: int = 6,
@@ -134,14 +142,14 @@ TRAINING_NUMERIC = (
 
 
 def prepare_training(df: DataFrame, keys: Sequence[str] = KEYS, backfill: bool = True,
-                     target: str = "pm25") -> DataFrame:
+                     target: str = "pm25", order: Sequence[str] = ()) -> DataFrame:
     """Typed and filled training frame with wind, calendar, lags and rolling means of the target.
 
     With ``backfill`` gaps at the start take the first later value, as do the first lags; without,
-    they become 0.
+    they become 0. ``order`` names the row order of a frame that has no times.
     """
     keys = list(keys)
-    out = build_time(clean.lower_headers(df), keys).filter("timestamp IS NOT NULL")
+    out = build_time(clean.lower_headers(df), [c.strip().lower() for c in order]).filter("timestamp IS NOT NULL")
     numeric = [c for c in (*TRAINING_NUMERIC, *recipes.GASES, "wind_u", "wind_v") if c in out.columns]
     out = materialize(series.with_position(clean.coerce(out, numeric), keys, "timestamp"))
     out = series.fill(out, keys, "timestamp", numeric, backward=backfill, default=0.0)
@@ -249,7 +257,8 @@ def serving_columns(features: Sequence[str], ts: Column, current: str = "feature
     skewed = set(scalar.LOG_SKEWED)
     shape = lambda name, c: scalar.log_clip(F.coalesce(c, F.lit(0.0))) if name in skewed else c
     now = lambda name: shape(name, F.try_element_at(F.col(current), F.lit(name)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    # NaN is a missing value, as null is
+    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0))
 
     def back(name: str, k: int) -> Column:
         step = F.try_element_at(past, F.lit(-k))

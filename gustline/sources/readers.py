@@ -27,6 +27,11 @@ INSTRUMENT_VARIANTS = {
 }
 
 
+# Header names of the archive's columns, best first.
+ARCHIVE_NAMES = {"datetime": ("datetime", "date.utc"), "parameter": ("parameter", "param"), "value": ("value",)}
+ARCHIVE_COLUMNS = 16
+
+
 def read_hourly_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a stated schema; headers trimmed and lower-cased. ``schema`` names the file's columns."""
     return clean.lower_headers(spark.read.schema(schema).csv(path, header=True, enforceSchema=True))
@@ -36,18 +41,28 @@ def read_archive(spark: SparkSession, root: str, location_id: int, start_date: s
     """Archived readings of one location from a date on: (datetime, parameter, value).
 
     Layout ``locationid=/year=/month=`` with one, possibly gzipped, CSV per day. Location and month
-    prune directories; rows before the start inside the first month are filtered. Rows without a
-    time, parameter or number are dropped.
+    prune directories; rows before the start inside the first month are filtered. Columns are found by
+    the names in each file's own header, in any order and case, among ``ARCHIVE_COLUMNS`` columns at
+    most; a file without them gives no rows. Rows without a time, parameter or number are dropped.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("datetime", "parameter", "value")] + [
+    cells = [f"c{i}" for i in range(ARCHIVE_COLUMNS)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells] + [
         T.StructField(c, T.IntegerType()) for c in ("locationid", "year", "month")])
     y, m = int(start_date[:4]), int(start_date[5:7])
-    df = spark.read.schema(schema).csv(root, header=True, recursiveFileLookup=False)
+    df = spark.read.schema(schema).csv(root, header=False, recursiveFileLookup=False)
     in_time = (F.col("year") > y) | ((F.col("year") == y) & (F.col("month") >= m))
-    df = df.filter((F.col("locationid") == location_id) & in_time)
-    return df.select(
-        F.col("locationid"), F.col("datetime").try_cast("timestamp").alias("datetime"), "parameter",
-        scalar.number(F.col("value")).alias("value"),
+    df = df.filter((F.col("locationid") == location_id) & in_time).select(
+        "locationid", F.array(*cells).alias("row"), F.col("_metadata.file_path").alias("file"))
+    names = F.transform("row", lambda c: F.lower(F.trim(c)))
+    place = lambda field: F.coalesce(*[F.nullif(F.array_position(names, n), F.lit(0)) for n in ARCHIVE_NAMES[field]])
+    df = df.withColumns({f"_{f}": place(f) for f in ARCHIVE_NAMES})
+    is_header = F.col("_datetime").isNotNull() & F.col("_parameter").isNotNull() & F.col("_value").isNotNull()
+    headers = df.filter(is_header).select("file", *[F.col(f"_{f}").cast("int").alias(f"{f}_at") for f in ARCHIVE_NAMES]).dropDuplicates(["file"])
+    rows = df.filter(~is_header).select("file", "locationid", "row").join(headers, "file")
+    cell = lambda field: F.get("row", F.col(f"{field}_at") - 1)
+    return rows.select(
+        "locationid", cell("datetime").try_cast("timestamp").alias("datetime"), cell("parameter").alias("parameter"),
+        scalar.number(cell("value")).alias("value"),
     ).filter(F.col("datetime") >= F.lit(start_date).cast("timestamp")).na.drop()
 
 
@@ -67,8 +82,7 @@ def raw_stream(spark: SparkSession, path: str, source: str, fmt: str = "json", *
 
 def sensor_map(payloads: DataFrame, col: str = "payload") -> DataFrame:
     """Locations payload to (location_id, latitude, longitude, sensor_id, parameter); unnamed sensors drop out."""
-    loc = F.from_json(F.col(col), schemas.LOCATIONS_PAYLOAD)["results"][0]
-    return payloads.select(loc.alias("l")).select(
+    return payloads.select(F.explode(F.from_json(F.col(col), schemas.LOCATIONS_PAYLOAD)["results"]).alias("l")).select(
         F.col("l.id").alias("location_id"), F.col("l.coordinates.latitude").alias("latitude"),
         F.col("l.coordinates.longitude").alias("longitude"), F.explode("l.sensors").alias("s"),
     ).select("location_id", "latitude", "longitude", F.col("s.id").alias("sensor_id"),

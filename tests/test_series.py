@@ -78,9 +78,10 @@ def test_spine_shows_gaps(spark):
 
 
 def test_generated_hours_are_gapless(spark):
-    out = series.generated_hours(spark.range(500), ["id"], cells=7)
+    out = series.generated_hours(spark.range(500).orderBy(F.desc("id")), ["id"])
     hours = sorted(r[0] for r in out.select(F.unix_timestamp("timestamp") / 3600).collect())
     assert hours == [hours[0] + i for i in range(500)]
+    assert [r[0] for r in out.orderBy("timestamp").select("id").collect()] == list(range(500))
 
 
 def test_sequences_match_a_loop(data):
