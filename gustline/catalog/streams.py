@@ -11,7 +11,7 @@ from ..sources import readers, sinks, tables as src
 from ..streaming import flows
 from .cleaning import _NORM, _NORM_COLS, _NORM_D, _RAW_SQL, _normalized, _raws
 from .forecasting import _AHEAD, _ONE, _bundle, _one_frame, _one_records, _records
-from .prelude import edge_weight
+from .prelude import edge_weight, hav
 from .registry import query
 from .spatial import ADVICE_SQL, _EVAL, _predictions
 
@@ -57,42 +57,73 @@ def st1_normalize_stream(spark, d):
 _COLLAPSE = ", ".join(f"max_by({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("pm25", "humidity"))
 _WIDE_SQL = """(SELECT event_id, station_id, ts, hour, 'openaq' AS source, CASE WHEN parameter = 'pm25' THEN value END AS pm25,
   CASE WHEN parameter = 'humidity' THEN value END AS humidity FROM readings)"""
+_CLOSED = "(SELECT date_trunc('hour', max(ts)) - INTERVAL 3 HOUR FROM readings)"
 
 
 def _wide(spark, d):
     value = lambda p: F.when(F.col("parameter") == p, F.col("value")).alias(p)
-    return src.readings(spark, d).select("event_id", "station_id", "ts", F.lit("openaq").alias("source"), value("pm25"), value("humidity"))
+    return src.readings(spark, d).select("event_id", "station_id", "ts", F.lit("openaq").alias("source"), value("pm25"), value("humidity"),
+                                         F.col("ts").alias("ingested_at"))
+
+
+def _collapsed(spark, d, parts, rows=None):
+    """The wide readings in several runs of one checkpoint, a run for each condition of ``parts``."""
+    rows = _wide(spark, d) if rows is None else rows
+    path, out, cp = scratch(spark, "readings"), scratch(spark, "hourly"), scratch(spark, "cp")
+    flow = flows.HourlyCollapse(["pm25", "humidity"], out)
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(path)
+        flows.drain(open_stream(spark, path, rows.schema), cp, flow)
+    return out
+
+
+def _open_hours(spark, out):
+    return sinks.read_state(spark, f"{out}/state", "open", "station_id string, source string, hour timestamp, n long")
 
 
 @query("st2_hourly_collapse", f"""SELECT station_id, source, hour AS timestamp, {_COLLAPSE} FROM {_WIDE_SQL}
-WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2, 3""", "pm25|humidity")
+WHERE hour <= {_CLOSED} GROUP BY 1, 2, 3""", "pm25|humidity")
 def st2_hourly_collapse(spark, d):
-    """Hours that the watermark has closed; the newest stay open in append mode."""
-    rows = _wide(spark, d)
-    stream = open_stream(spark, feed(rows, "ts", "readings"), rows.schema)
-    out = scratch(spark, "hourly")
-    flows.drain(flows.collapse_hours(stream, ["pm25", "humidity"]), scratch(spark, "cp"), out)
-    return spark.read.parquet(out)
+    """Hours that event time has closed, from batches cut inside hours; the newest stay open."""
+    t, at = F.col("ts"), [F.lit(x).cast("timestamp") for x in ("2024-01-09 10:20:00", "2024-01-20 17:45:00")]
+    out = _collapsed(spark, d, [t < at[0], (t >= at[0]) & (t < at[1]), t >= at[1]])
+    return _flat_table(spark, f"{out}/hours").select("station_id", "source", "timestamp", "pm25", "humidity")
+
+
+_EDGE = "TIMESTAMP '2024-01-20'"
 
 
-@query("st2_late_rejects", """SELECT event_id AS "offset", 'late' AS error FROM readings WHERE ts < TIMESTAMP '2024-01-20'
-AND hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events WHERE ts >= TIMESTAMP '2024-01-20')""", "")
+@query("st2_late_rejects", f"""SELECT event_id AS "offset", 'late' AS error FROM readings WHERE ts < {_EDGE} AND hour <= {_CLOSED}""", "")
 def st2_late_rejects(spark, d):
     """The last ten days arrive first, so all earlier readings are late."""
-    rows, path = _wide(spark, d), scratch(spark, "late")
-    bad, state, cp = scratch(spark, "rejects"), scratch(spark, "seen"), scratch(spark, "cp")
     edge = F.lit("2024-01-20").cast("timestamp")
-    for part in (F.col("ts") >= edge, F.col("ts") < edge):
-        rows.filter(part).write.mode("append").parquet(path)
-        flows.drain(open_stream(spark, path, rows.schema), cp, flows.late_to_rejects(bad, state))
-    return _flat_table(spark, bad).select("offset", "error")
+    out = _collapsed(spark, d, [F.col("ts") >= edge, F.col("ts") < edge])
+    return _flat_table(spark, f"{out}/rejects").select("offset", "error")
+
+
+_STAMPED = f"(SELECT *, event_id % 500 = 7 AS ahead, {_CLOSED} AS closed FROM readings)"
+
+
+@query("st2_accounting", f"""SELECT CASE WHEN ahead THEN 'future' WHEN ts < {_EDGE} AND hour <= closed THEN 'late' WHEN hour <= closed THEN 'emitted' ELSE 'open' END AS fate,
+  count(*) AS n FROM (SELECT * EXCLUDE closed, (SELECT date_trunc('hour', max(ts)) - INTERVAL 3 HOUR FROM readings WHERE event_id % 500 <> 7) AS closed FROM {_STAMPED}) GROUP BY 1""")
+def st2_accounting(spark, d):
+    """Late rows, and rows stamped far ahead of their arrival: every input row has exactly one fate."""
+    rows = _wide(spark, d)
+    rows = rows.withColumn("ts", F.when(F.col("event_id") % 500 == 7, F.col("ts") + F.expr("interval 400 days")).otherwise(F.col("ts")))
+    edge = F.lit("2024-01-20").cast("timestamp")
+    out = _collapsed(spark, d, [F.col("ingested_at") >= edge, F.col("ingested_at") < edge], rows)
+    count = lambda df, fate: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(fate, "n")
+    rejected = _flat_table(spark, f"{out}/rejects").groupBy(F.col("error").alias("fate")).agg(F.count(F.lit(1)).alias("n"))
+    emitted = count(_flat_table(spark, f"{out}/hours"), F.lit("emitted").alias("fate"))
+    still = count(_open_hours(spark, out), F.lit("open").alias("fate"))
+    return rejected.unionByName(emitted).unionByName(still).filter("n > 0")
 
 
 _W = "PARTITION BY station_id ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW"
 
 
 @query("st3_rolling_history", f"""SELECT station_id, hour AS timestamp, pm25, CAST(count(*) OVER ({_W}) AS INT) AS n,
-  first_value(pm25) OVER ({_W}) AS oldest FROM pm""", "pm25|oldest")
+  array_to_string(list_transform(list(pm25) OVER ({_W}), lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS history FROM pm""", "pm25")
 def st3_rolling_history(spark, d):
     """Two runs of one checkpoint: the second continues from the state of the first."""
     rows = src.pm(spark, d).withColumnRenamed("hour", "timestamp")
@@ -100,29 +131,49 @@ def st3_rolling_history(spark, d):
     edge = F.lit("2024-01-16").cast("timestamp")
     for part in (F.col("timestamp") < edge, F.col("timestamp") >= edge):
         rows.filter(part).write.mode("append").parquet(path)
-        flows.drain(flows.rolling_history(open_stream(spark, path, rows.schema)), cp, out)
-    return spark.read.parquet(out)
+        flows.drain(open_stream(spark, path, rows.schema), cp, flows.RollingHistory(out))
+    shown = F.array_join(F.transform("history", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return _flat_table(spark, f"{out}/records").select("station_id", "timestamp", "pm25", F.size("history").alias("n"), shown.alias("history"))
 
 
 def canonical(spark, d):
-    """Hourly PM of the stations and weather reports in one measurement stream."""
-    pm = src.pm(spark, d).join(src.stations(spark, d).select("station_id", "lat", "lon"), "station_id").select(
-        "station_id", F.lit("openaq").alias("source"), F.col("hour").alias("timestamp"), F.col("lat").alias("latitude"),
-        F.col("lon").alias("longitude"), "pm25")
-    met = src.met(spark, d).select(
-        F.col("met_id").alias("station_id"), F.lit("envcanada").alias("source"), F.col("hour").alias("timestamp"),
-        F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), *src.MET_VALUES)
-    return pm.unionByName(met, allowMissingColumns=True)
-
-
-_SPINE2 = """(SELECT station_id, unnest(generate_series(min(hour), (SELECT max(hour) FROM met), INTERVAL 1 HOUR)) AS hour FROM pm GROUP BY 1)"""
-_SLOTS2 = f"""(SELECT s.station_id, s.hour, pm.pm25, coalesce(w.wind_u, 0) AS wind_u, coalesce(w.wind_v, 0) AS wind_v
-  FROM {_SPINE2} s LEFT JOIN pm ON s.station_id = pm.station_id AND s.hour = pm.hour
-  LEFT JOIN wind w ON s.station_id = w.station_id AND s.hour = w.hour)"""
+    """Single PM readings and weather reports in one measurement stream, several a station and hour, and one from the future."""
+    r = src.events(spark, d).select("event_id", F.date_trunc("hour", "ts").alias("timestamp"), F.col("ts").alias("ingested_at"), "user_id", "event_type", "value")
+    value = lambda kind, scale=1: F.when(F.col("event_type") == kind, F.col("value") / scale)
+    none = F.lit(None).cast("double")
+    pm = r.filter("event_type = 'view'").join(
+        src.stations(spark, d).select("station_id", "lat", "lon"), F.concat(F.lit("st-"), (F.col("user_id") % 8).cast("string")) == F.col("station_id")).select(
+        "station_id", F.lit("openaq").alias("source"), "timestamp", "ingested_at", "event_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+        F.col("value").alias("pm25"), *[none.alias(c) for c in src.MET_VALUES])
+    i = F.col("user_id") % 3
+    met = r.select(
+        F.concat(F.lit("met-"), i.cast("string")).alias("station_id"), F.lit("envcanada").alias("source"), "timestamp", "ingested_at", "event_id",
+        (F.lit(43.6) + F.lit(0.1) * i).alias("latitude"), (F.lit(-79.7) + F.lit(0.13) * i).alias("longitude"), none.alias("pm25"),
+        value("error").alias("wind_speed"), value("signup").alias("wind_dir"), value("click").alias("temperature"),
+        value("purchase").alias("humidity"), value("view", 10).alias("dew_point"))
+    ahead = pm.orderBy("event_id").limit(1)
+    ahead = ahead.withColumns({"timestamp": F.col("timestamp") + F.expr("interval 500 days"), "pm25": F.lit(999.0)})
+    return pm.unionByName(met).unionByName(ahead)
+
+
+_LAST_PM = "(SELECT station_id, hour, max_by(value, (ts, event_id)) AS pm25 FROM readings WHERE parameter = 'pm25' GROUP BY 1, 2)"
+_OF = lambda kind, scale="": f"max_by(value{scale}, (ts, event_id)) FILTER (WHERE event_type = '{kind}')"
+_LAST_MET = f"""(SELECT concat('met-', CAST(user_id % 3 AS VARCHAR)) AS met_id, date_trunc('hour', ts) AS hour, min(43.6e0 + 0.1e0 * (user_id % 3)) AS lat,
+  min(-79.7e0 + 0.13e0 * (user_id % 3)) AS lon, {_OF('error')} AS wind_speed, {_OF('signup')} AS wind_dir FROM events GROUP BY 1, 2)"""
+_LAST_HOUR = "(SELECT date_trunc('hour', max(ts)) - INTERVAL 3 HOUR FROM events)"
+_SPINE2 = f"""(SELECT station_id, unnest(generate_series(min(hour), {_LAST_HOUR}, INTERVAL 1 HOUR)) AS hour FROM {_LAST_PM} GROUP BY 1)"""
+_WIND2 = f"""(SELECT station_id, hour, coalesce(wind_speed, 0) * cos(radians(coalesce(wind_dir, 0))) AS wind_u,
+  coalesce(wind_speed, 0) * sin(radians(coalesce(wind_dir, 0))) AS wind_v FROM (
+  SELECT t.station_id, t.hour, m.wind_speed, m.wind_dir, row_number() OVER (PARTITION BY t.station_id, t.hour ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn
+  FROM {_SPINE2} t JOIN stations s USING (station_id) CROSS JOIN (SELECT DISTINCT met_id FROM met) k
+  ASOF JOIN {_LAST_MET} m ON m.met_id = k.met_id AND m.hour <= t.hour) WHERE rn = 1)"""
+_SLOTS2 = f"""(SELECT s.station_id, s.hour, p.pm25, coalesce(w.wind_u, 0) AS wind_u, coalesce(w.wind_v, 0) AS wind_v
+  FROM {_SPINE2} s LEFT JOIN {_LAST_PM} p ON s.station_id = p.station_id AND s.hour = p.hour
+  LEFT JOIN {_WIND2} w ON s.station_id = w.station_id AND s.hour = w.hour)"""
 _INFL2 = f"""(SELECT t.station_id, t.hour, t.wind_u, t.wind_v, p.pm25 AS v, e.dist_m,
   CASE WHEN sqrt(t.wind_u*t.wind_u + t.wind_v*t.wind_v) > 0 THEN (e.north*t.wind_u + e.east*t.wind_v)
     / (sqrt(e.north*e.north + e.east*e.east) * sqrt(t.wind_u*t.wind_u + t.wind_v*t.wind_v)) ELSE 0 END AS a
-  FROM {_SLOTS2} t JOIN pairs e ON e.dst = t.station_id JOIN pm p ON p.station_id = e.src AND p.hour = t.hour)"""
+  FROM {_SLOTS2} t JOIN pairs e ON e.dst = t.station_id JOIN {_LAST_PM} p ON p.station_id = e.src AND p.hour = t.hour)"""
 _EST2 = f"""(SELECT station_id, hour, sum({edge_weight('dist_m', 'a')} * v) / sum({edge_weight('dist_m', 'a')}) AS est,
   max(sqrt(wind_u*wind_u + wind_v*wind_v) * a) AS transport, avg(a) AS align FROM {_INFL2} GROUP BY 1, 2)"""
 _HELD2 = f"""(SELECT *, last_value(pm25 IGNORE NULLS) OVER w AS last_value,
@@ -135,13 +186,13 @@ TICKS = f"""(SELECT *, count(*) OVER (PARTITION BY station_id ORDER BY hour ROWS
    FROM {_HELD2} h LEFT JOIN {_EST2} e ON h.station_id = e.station_id AND h.hour = e.hour))"""
 
 
-def _ticks(spark, d, edges=("2024-01-11", "2024-01-21")):
-    """The month in three runs of one checkpoint."""
+def _ticks(spark, d, edges=("2024-01-11 09:40:00", "2024-01-21 18:15:00")):
+    """The month in three runs of one checkpoint, cut inside hours."""
     rows = materialize(canonical(spark, d))
     stations, pairs = materialize(src.stations(spark, d)), materialize(src.pairs(spark, d))
     path, out, cp = scratch(spark, "canonical"), scratch(spark, "ticks"), scratch(spark, "cp")
     at = [F.lit(e).cast("timestamp") for e in edges]
-    t = F.col("timestamp")
+    t = F.col("ingested_at")
     for part in (t < at[0], (t >= at[0]) & (t < at[1]), t >= at[1]):
         rows.filter(part).write.mode("append").parquet(path)
         flows.drain(open_stream(spark, path, rows.schema), cp, flows.HourlyFeatures(stations, pairs, out))
@@ -215,13 +266,22 @@ def st9_bounded_replay(spark, d):
 
 @query("st10_latency")
 def st10_latency(spark, d):
-    """Predictions stamped on ingest, alerts timed at the sink, summed up per station."""
+    """Predictions stamped on ingest, timed when their alerts have been written, summed up per station."""
     p = materialize(_predictions(spark, d)).withColumn("ingested_at", F.current_timestamp())
     stream = open_stream(spark, feed(p, "timestamp", "predictions"), p.schema)
     out = scratch(spark, "latency")
     alerts = flows.alerts.evaluate(stream, current=("current_pm25",))
-    flows.drain(alerts, scratch(spark, "cp"), flows.stamp_latency_to(out))
-    return aggregates.latency_summary(_flat_table(spark, out), ["station_id"], "ms")
+    flows.drain(alerts, scratch(spark, "cp"), flows.timed_alerts_to(out))
+    return aggregates.latency_summary(_flat_table(spark, f"{out}/latency"), ["station_id"], "ms")
+
+
+@query("st10_latency_given_stamps", """SELECT station_id, avg(ms) AS mean, median(ms) AS median, quantile_cont(ms, 0.95) AS p95, min(ms) AS "min", max(ms) AS "max"
+FROM (SELECT station_id, (qa * 37 % 1000) / 1.0e0 AS ms FROM readings) GROUP BY 1""", "mean|median|p95|min|max")
+def st10_latency_given_stamps(spark, d):
+    """The same summary over stamps that are known."""
+    end = F.col("ts") + F.make_dt_interval(secs=(F.col("qa") * 37 % 1000 / 1000).cast("decimal(18,6)"))
+    rows = src.readings(spark, d).select("station_id", flows.latency_ms(F.col("ts"), end).alias("ms"))
+    return aggregates.latency_summary(rows, ["station_id"], "ms")
 
 
 @query("st5_stream_scoring_one_feature", f"SELECT station_id, timestamp, current_pm25, h1 AS forecast_pm25, 'lr' AS model_type FROM {_AHEAD}",

@@ -8,6 +8,10 @@ from ..functions import scalar
 from ..operators import clean
 from ..session import materialize
 
+KINDS = ("predictions", "alerts", "measurements", "history", "readings", "met", "emitted", "open", "clock")
+# A version is read by the batch after it, and once more if that batch is repeated.
+KEPT_VERSIONS = 3
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -37,7 +41,7 @@ def upsert_by_date(records: DataFrame, path: str, seq: str = "event_id") -> None
     be overwritten while it is being read.
     """
     spark = records.sparkSession
-    new = keyed(records)
+    new = materialize(keyed(records))  # read twice: for its dates and for the merge
     dates = [r[0] for r in new.select("date").distinct().collect()]  # bounded by the calendar
     if not dates:
         return
@@ -58,25 +62,38 @@ def upsert_latest(records: DataFrame, path: str, kind: str, version: int, order=
     spark = records.sparkSession
     old = read_state(spark, path, kind, records.schema, before=version)
     latest = clean.latest_per_key(old.unionByName(records), ["station_id"], list(order))
-    out = f"{path}/{kind}/v={version:09d}"
-    latest.select(*records.columns).write.mode("overwrite").parquet(out)
-    return out
+    return write_state(latest.select(*records.columns), path, kind, version)
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the stored versions, newest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((int(s.getPath().getName()[2:]) for s in fs.listStatus(path)), reverse=True) if fs.exists(path) else []
 
 
 def read_state(spark: SparkSession, path: str, kind: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Current state of one kind; empty with the schema if there is none."""
-    if kind not in ("predictions", "alerts", "measurements", "history"):
+    """Current state of one kind; empty with the schema if there is none.
+
+    Reads the newest version whose table carries the writer's success marker; writers must leave it on.
+    """
+    if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
-    jvm, root = spark.sparkContext._jvm, f"{path}/{kind}"
-    if not _exists(spark, root):
-        return spark.createDataFrame([], schema)
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = sorted(
-        v for v in (s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root)))
-        if _exists(spark, f"{root}/{v}/_SUCCESS") and (before is None or int(v[2:]) < before))
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{done[-1]}")
+    root = f"{path}/{kind}"
+    for v in _versions(spark, root):
+        if (before is None or v < before) and _exists(spark, f"{root}/v={v:09d}/_SUCCESS"):
+            return spark.read.schema(schema).parquet(f"{root}/v={v:09d}")
+    return spark.createDataFrame([], schema)
+
+
+def write_state(df: DataFrame, path: str, kind: str, version: int, keep: int = KEPT_VERSIONS) -> str:
+    """Write one version of a state table and delete all but the newest ``keep`` ones."""
+    spark, out = df.sparkSession, f"{path}/{kind}/v={version:09d}"
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(out)
+    for v in _versions(spark, f"{path}/{kind}")[keep:]:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/v={v:09d}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -7,12 +7,11 @@ shared folder of the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import alerts
 from ..operators import clean, diffusion, joins, series
@@ -20,7 +19,8 @@ from ..operators.ranking import top_per_group
 from ..session import materialize
 from ..sources import sinks
 
-WATERMARK = "2 hours"
+WATERMARK_HOURS = 2
+AHEAD_HOURS = 1
 LOOKBACK = 24
 
 
@@ -53,129 +53,167 @@ def normalize_to(source: str, measurements: str, rejects: str) -> Callable[[Data
     return sink
 
 
-# --- hourly collapse ------------------------------------------------------------------------------
+# --- event time ------------------------------------------------------------------------------------
 
-def collapse_hours(stream: DataFrame, values: list[str], watermark: str = WATERMARK) -> DataFrame:
-    """Hourly windows per station and source, last non-null value per column, emitted once closed."""
-    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
-    return stream.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour"), "station_id", "source").agg(
-        *[last(c) for c in values]).select(
-        "station_id", "source", F.col("window.start").alias("timestamp"), *values)
+CLOCK = T.StructType([T.StructField("newest", T.TimestampType()), T.StructField("closed", T.TimestampType())])
 
 
-def late_to_rejects(path: str, state: str, hours: int = 2) -> Callable[[DataFrame, int], None]:
-    """Per batch: rows whose hour had closed before the batch began go to the rejects.
+class Clock:
+    """Decides once a batch which hours have closed and which rows still count.
 
-    The windowed aggregation drops such rows silently. The newest time seen so far is kept as a
-    one-row table per batch.
+    An hour closes when event time has passed its end by ``watermark_hours``. Rows of hours that had closed before the batch are
+    late; rows that claim to be more than ``ahead_hours`` later than their ingest time are from the future and do
+    not move the clock. Both go to the rejects with that reason.
     """
-    seen_schema = T.StructType([T.StructField("station_id", T.StringType()), T.StructField("seen", T.TimestampType())])
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = sinks.read_state(spark, state, "measurements", seen_schema, before=batch_id).agg(F.max("seen")).scalar()
-        closes = F.date_trunc("hour", "ts") + F.expr("interval 1 hour")
-        limit = F.col("_before") - F.make_dt_interval(hours=F.lit(hours))
-        late = batch.withColumn("_before", before).filter(closes <= limit)
+    def __init__(self, path: str, topic: str, watermark_hours: int = WATERMARK_HOURS, ahead_hours: int = AHEAD_HOURS):
+        self.path, self.topic, self.watermark, self.ahead = path, topic, watermark_hours, ahead_hours
+
+    def __call__(self, batch: DataFrame, batch_id: int, ts: str, event_id: str = "event_id") -> tuple[DataFrame, object, object]:
+        """(rows that count, hour closed before, hour closed now); the hours are None until there is one."""
+        spark, hour = batch.sparkSession, F.date_trunc("hour", ts)
+        old = sinks.read_state(spark, f"{self.path}/state", "clock", CLOCK, before=batch_id).first()
+        closed, newest = (old["closed"], old["newest"]) if old else (None, None)
+        ingested = F.coalesce("ingested_at", F.current_timestamp()) if "ingested_at" in batch.columns else F.current_timestamp()
+        future = F.col(ts) > ingested + F.make_dt_interval(hours=F.lit(self.ahead))
+        late = F.lit(False) if closed is None else hour <= F.lit(closed)
+        reason = F.when(F.col(ts).isNull(), "no time").when(future, "future").when(late, "late")
+        judged = batch.withColumn("_reason", reason)
         payload = F.base64(F.to_json(F.struct(*batch.columns)).cast("binary"))
-        _part(late.select(F.lit("measurements").alias("source_topic"), F.col("event_id").alias("offset"),
-                          F.lit("late").alias("error"), payload.alias("value_b64")), path, batch_id)
-        newest = batch.agg(F.lit("*").alias("station_id"), F.max("ts").alias("seen")).withColumn(
-            "seen", F.greatest("seen", before))
-        newest.write.mode("overwrite").parquet(f"{state}/measurements/v={batch_id:09d}")
-    return sink
+        offset = F.col(event_id).cast("long") if event_id in batch.columns else F.lit(None).cast("long")
+        _part(judged.filter("_reason IS NOT NULL").select(
+            F.lit(self.topic).alias("source_topic"), offset.alias("offset"), F.col("_reason").alias("error"), payload.alias("value_b64")),
+            f"{self.path}/rejects", batch_id)
+        good = judged.filter("_reason IS NULL").drop("_reason")
+        seen = good.agg(F.max(ts)).first()[0]
+        newest = max((x for x in (newest, seen) if x is not None), default=None)
+        now = closed
+        if newest is not None:
+            end = newest.replace(minute=0, second=0, microsecond=0) - timedelta(hours=self.watermark + 1)
+            now = end if closed is None else max(closed, end)
+        sinks.write_state(spark.createDataFrame([(newest, now)], CLOCK), f"{self.path}/state", "clock", batch_id)
+        return good, closed, now
+
+
+# --- hourly collapse ------------------------------------------------------------------------------
+
+class HourlyCollapse:
+    """Per batch: hours that have closed become one row per station and source, last non-null value per column by (ts, event_id).
+
+    State, one version per batch: the open hours, collapsed so far, with the order key of each value. A row is emitted,
+    rejected or still open, never two of these; ``n`` counts the rows behind an hour.
+    """
+
+    def __init__(self, values: list[str], path: str, **clock):
+        self.values, self.path = values, path
+        self.clock = Clock(path, "measurements", **clock)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, keys = batch.sparkSession, ["station_id", "source", "hour"]
+        batch = materialize(batch)
+        rows, _, closed = self.clock(batch, batch_id, "ts")
+        seen = F.struct("ts", "event_id")
+        at = lambda c: F.when(F.col(c).isNotNull(), seen).alias(f"{c}_at")
+        new = rows.select("station_id", "source", F.date_trunc("hour", "ts").alias("hour"), F.lit(1).cast("long").alias("n"),
+                          *self.values, *[at(c) for c in self.values])
+        old = sinks.read_state(spark, f"{self.path}/state", "open", new.schema, before=batch_id)
+        merged = materialize(old.unionByName(new).groupBy(*keys).agg(
+            F.sum("n").alias("n"), *[F.max_by(c, f"{c}_at").alias(c) for c in self.values], *[F.max(f"{c}_at").alias(f"{c}_at") for c in self.values]))
+        done = F.lit(False) if closed is None else F.col("hour") <= F.lit(closed)
+        _part(merged.filter(done).select("station_id", "source", F.col("hour").alias("timestamp"), "n", *self.values), f"{self.path}/hours", batch_id)
+        sinks.write_state(merged.filter(~done).select(*new.columns), f"{self.path}/state", "open", batch_id)
+
+    def still_open(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows of the open hours after the last batch."""
+        return sinks.read_state(spark, f"{self.path}/state", "open", schema)
 
 
 # --- rolling history ------------------------------------------------------------------------------
 
-HISTORY_OUT = "station_id string, timestamp timestamp, pm25 double, n int, oldest double"
+RECORD = T.StructType([T.StructField("station_id", T.StringType()), T.StructField("timestamp", T.TimestampType()),
+                       T.StructField("pm25", T.DoubleType())])
 
 
-def rolling_history(stream: DataFrame, length: int = LOOKBACK) -> DataFrame:
-    """Each record with its last ``length`` values (itself included), kept as keyed state.
+class RollingHistory:
+    """Per batch: each record with its last ``length`` values, itself included, oldest first.
 
-    Expects hourly records, so a station brings at most one row per hour of a batch; the state is a
-    bounded array. The only flow whose rows pass through Python.
+    State: the newest ``length - 1`` records of each station. History is taken block by block, so a backfill that
+    brings a whole station is many tasks.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("timestamp")
-        n, oldest = [], []
-        for v in rows["pm25"]:
-            kept = [*kept, float(v)][-length:]
-            n.append(len(kept))
-            oldest.append(kept[0])
-        state.update((kept,))
-        yield pd.DataFrame({"station_id": key[0], "timestamp": rows["timestamp"], "pm25": rows["pm25"], "n": n, "oldest": oldest})
 
-    return stream.select("station_id", "timestamp", "pm25").groupBy("station_id").applyInPandasWithState(
-        step, HISTORY_OUT, "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, path: str, length: int = LOOKBACK):
+        self.path, self.length = path, length
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = sinks.read_state(spark, f"{self.path}/state", "history", RECORD, before=batch_id)
+        both = materialize(old.withColumn("_new", F.lit(False)).unionByName(
+            batch.select("station_id", "timestamp", "pm25").withColumn("_new", F.lit(True))))
+        out = series.history(both, ["station_id"], "timestamp", F.col("pm25"), self.length).filter("_new").drop("_new")
+        _part(out, f"{self.path}/records", batch_id)
+        kept = top_per_group(both.drop("_new"), ["station_id"], [F.col("timestamp").desc()], self.length - 1)
+        sinks.write_state(kept, f"{self.path}/state", "history", batch_id)
 
 
 # --- hourly features ------------------------------------------------------------------------------
 
+MET_VALUES = ("wind_speed", "wind_dir", "temperature", "humidity", "dew_point")
 READING = T.StructType([T.StructField("station_id", T.StringType()), T.StructField("hour", T.TimestampType()),
                         T.StructField("pm25", T.DoubleType())])
 MET = T.StructType([T.StructField("station_id", T.StringType()), T.StructField("hour", T.TimestampType()),
-                    *[T.StructField(c, T.DoubleType()) for c in ("lat", "lon", "wind_speed", "wind_dir", "temperature", "humidity", "dew_point")]])
+                    *[T.StructField(c, T.DoubleType()) for c in ("lat", "lon", *MET_VALUES)]])
 EMITTED = T.StructType([T.StructField("station_id", T.StringType()), T.StructField("hour", T.TimestampType()),
                         T.StructField("features", T.MapType(T.StringType(), T.DoubleType()))])
-MET_VALUES = ("wind_speed", "wind_dir", "temperature", "humidity", "dew_point")
 
 
 class HourlyFeatures:
     """Per batch: every hour that has closed becomes one feature record per station.
 
-    State, one version per batch: unemitted readings and the last ``LOOKBACK`` emitted ones, a day of
-    weather reports, the last feature maps. Gaps are measured in event time. Readings of hours
-    already emitted go to the rejects. ``delay_hours`` keeps the newest hours open.
+    State, one version per batch: unemitted readings and the last ``LOOKBACK`` emitted ones, the weather reports of open hours and
+    the latest one before them of each weather station, the last feature maps, the clock. Of several records of a station and hour
+    the last to arrive (later batch, then ingest time, then id) counts, column by column. Weather counts from whatever age, gaps are
+    measured in event time, and what the clock refuses goes to the rejects.
     """
 
-    def __init__(self, stations: DataFrame, edges: DataFrame, path: str, delay_hours: int = 0):
-        self.stations, self.edges, self.path, self.delay = stations, edges, path, delay_hours
+    def __init__(self, stations: DataFrame, edges: DataFrame, path: str, **clock):
+        self.stations, self.edges, self.path = stations, edges, path
+        self.clock = Clock(path, "measurements", **clock)
 
     def _read(self, spark: SparkSession, name: str, schema: T.StructType, before: int) -> DataFrame:
-        return sinks.read_state(spark, f"{self.path}/state/{name}", "history", schema, before=before)
+        return sinks.read_state(spark, f"{self.path}/state", name, schema, before=before)
 
     def _write(self, df: DataFrame, name: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/state/{name}/history/v={version:09d}")
+        sinks.write_state(df, f"{self.path}/state", name, version)
+
+    def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """One row per station and hour, last non-null per column in order of arrival."""
+        order = {"ingested_at": T.TimestampType(), "event_id": T.LongType()}
+        stored = old.withColumns({c: F.lit(None).cast(t) for c, t in order.items()}).withColumn("_arrival", F.lit(0))
+        both = stored.unionByName(new.withColumn("_arrival", F.lit(1)))
+        return clean.collapse_same_hour(both, ("_arrival", *order), ("station_id", "hour")).select(*old.columns)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark, hour = batch.sparkSession, F.date_trunc("hour", "timestamp").alias("hour")
-        batch = materialize(batch)
-        old_readings, old_met = self._read(spark, "readings", READING, batch_id), self._read(spark, "met", MET, batch_id)
-        old_emitted = self._read(spark, "emitted", EMITTED, batch_id)
-        done = old_emitted.agg(F.max("hour")).first()[0]
-        fresh = batch.filter("source = 'openaq' AND pm25 IS NOT NULL").select("station_id", hour, "pm25")
-        if done is not None:
-            late = fresh.filter(F.col("hour") <= F.lit(done))
-            _part(late.select(F.lit("measurements").alias("source_topic"), F.lit(None).cast("long").alias("offset"),
-                              F.lit("late").alias("error"),
-                              F.base64(F.to_json(F.struct("*")).cast("binary")).alias("value_b64")),
-                  f"{self.path}/rejects", batch_id)
-            fresh = fresh.filter(F.col("hour") > F.lit(done))
-        readings = clean.latest_per_key(
-            old_readings.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1))),
-            ["station_id", "hour"], ["_new"]).drop("_new")
-        reports = batch.filter("source <> 'openaq'").select(
-            "station_id", hour, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), *MET_VALUES)
-        met = clean.latest_per_key(
-            old_met.withColumn("_new", F.lit(0)).unionByName(reports.withColumn("_new", F.lit(1))),
-            ["station_id", "hour"], ["_new"]).drop("_new")
-        readings, met = materialize(readings), materialize(met)
-        newest = readings.select("hour").unionByName(met.select("hour")).agg(F.max("hour")).first()[0]
-        if newest is None:
-            return
-        closed = F.lit(newest) - F.make_dt_interval(hours=F.lit(self.delay))
-        emitted = materialize(self._emit(readings, met, old_emitted, closed, done))
-        _part(emitted.select("station_id", F.lit("openaq").alias("source"), F.col("hour").alias("timestamp"), "features",
-                             "history", "method"), f"{self.path}/features", batch_id)
-        kept = top_per_group(old_emitted.unionByName(emitted.select(*old_emitted.columns)), ["station_id"],
-                             [F.col("hour").desc()], LOOKBACK)
-        self._write(kept, "emitted", batch_id)
-        held = top_per_group(readings.filter(F.col("hour") <= closed), ["station_id"], [F.col("hour").desc()], LOOKBACK)
-        self._write(held.unionByName(readings.filter(F.col("hour") > closed)), "readings", batch_id)
-        self._write(met.filter(F.col("hour") > closed - F.expr("interval 24 hours")), "met", batch_id)
+        spark = batch.sparkSession
+        batch = materialize(batch.withColumns({c: F.lit(None).cast(t) for c, t in (("ingested_at", "timestamp"), ("event_id", "long")) if c not in batch.columns}))
+        rows, done, closed = self.clock(batch, batch_id, "timestamp")
+        hour, arrival = F.date_trunc("hour", "timestamp").alias("hour"), ["ingested_at", "event_id"]
+        fresh = rows.filter("source = 'openaq' AND pm25 IS NOT NULL").select("station_id", hour, "pm25", *arrival)
+        reports = rows.filter("source <> 'openaq'").select(
+            "station_id", hour, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), *MET_VALUES, *arrival)
+        readings = materialize(self._merged(self._read(spark, "readings", READING, batch_id), fresh))
+        met = materialize(self._merged(self._read(spark, "met", MET, batch_id), reports))
+        emitted = old_emitted = self._read(spark, "emitted", EMITTED, batch_id)
+        if closed is not None and closed != done:
+            made = materialize(self._emit(readings, met, old_emitted, F.lit(closed), done))
+            _part(made.select("station_id", F.lit("openaq").alias("source"), F.col("hour").alias("timestamp"), "features",
+                              "history", "method"), f"{self.path}/features", batch_id)
+            emitted = top_per_group(old_emitted.unionByName(made.select(*old_emitted.columns)), ["station_id"],
+                                    [F.col("hour").desc()], LOOKBACK)
+        self._write(emitted, "emitted", batch_id)
+        over = F.lit(False) if closed is None else F.col("hour") <= F.lit(closed)
+        for table, name, keep in ((readings, "readings", LOOKBACK), (met, "met", 1)):
+            held = top_per_group(table.filter(over), ["station_id"], [F.col("hour").desc()], keep)
+            self._write(held.unionByName(table.filter(~over)), name, batch_id)
 
     def _emit(self, readings: DataFrame, met: DataFrame, emitted: DataFrame, closed, done) -> DataFrame:
         begin = F.col("_first") if done is None else F.greatest("_first", F.lit(done) + F.expr("interval 1 hour"))
@@ -184,7 +222,8 @@ class HourlyFeatures:
             F.sequence("_from", "_to", F.expr("interval 1 hour"))).alias("hour"))
         rows = slots.withColumn("_new", F.lit(True)).join(readings, ["station_id", "hour"], "full_outer").filter(
             F.col("hour") <= closed)
-        weather = joins.nearest_met(rows, self.stations, met.withColumnRenamed("station_id", "met_id"), MET_VALUES)
+        past = met.filter(F.col("hour") <= closed).withColumnRenamed("station_id", "met_id")
+        weather = joins.nearest_met(rows, self.stations, materialize(joins.met_as_of(past, MET_VALUES, closed)), MET_VALUES)
         f = clean.model_features(weather.withColumn("pm25", F.lit(None)))
         names = {"temp definition °c": "temp", "dew point definition °c": "dew", "rel hum definition %": "hum"}
         f = weather.select("station_id", "hour", "_new", "pm25", *[
@@ -223,9 +262,15 @@ def audit_to(path: str, seq: str = "event_id") -> Callable[[DataFrame, int], Non
     return sink
 
 
-def stamp_latency_to(path: str, ingested: str = "ingested_at") -> Callable[[DataFrame, int], None]:
-    """Per batch: milliseconds from a record's ingest stamp to the time it reaches the sink."""
+def timed_alerts_to(path: str, ingested: str = "ingested_at") -> Callable[[DataFrame, int], None]:
+    """Per batch: write the alerts, then the milliseconds from each record's ingest stamp to the end of that write."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        ms = (F.unix_micros(F.current_timestamp()) - F.unix_micros(ingested)) / 1000
-        _part(batch.select("station_id", ms.alias("ms")), path, batch_id)
+        _part(batch, f"{path}/alerts", batch_id)
+        end = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+        stored = batch.sparkSession.read.parquet(f"{path}/alerts/batch={batch_id:09d}")
+        _part(stored.select("station_id", latency_ms(F.col(ingested), end).alias("ms")), f"{path}/latency", batch_id)
     return sink
+
+
+def latency_ms(begin: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(begin)) / 1000
