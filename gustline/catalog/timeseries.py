@@ -419,3 +419,30 @@ def f9_composite_selection(spark, d):
     active = {1: "roll1", 2: "roll6", 3: "roll12"}
     out = models.select_active(stored_predictions(spark, d), models.registry_table(spark, active))
     return out.select("station_id", "ts", "horizon", "model", F.col("p").alias("forecast"))
+
+
+# The same operators on the raw readings, where a series has as many rows in a day as the daily ones in years.
+
+_R = "PARTITION BY station_id ORDER BY ts, event_id"
+
+
+@query("w1_lags_raw", f"""SELECT event_id, lag(value, 1) OVER ({_R}) AS value_lag1, lag(value, 6) OVER ({_R}) AS value_lag6,
+  avg(value) OVER ({_R} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value_roll3_mean FROM readings""", "value_lag1|value_lag6|value_roll3_mean")
+def w1_lags_raw(spark, d):
+    r = series.with_position(src.readings(spark, d), K, "ts", ["event_id"], block_rows=256)
+    out = series.features(r, K, "ts", lags={"value": [1, 6]}, rolls={"value": [3]}, block_rows=256)
+    return out.select("event_id", "value_lag1", "value_lag6", "value_roll3_mean")
+
+
+@query("w3_fill_raw", f"""SELECT event_id, coalesce(v, last_value(v IGNORE NULLS) OVER ({_R} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(v IGNORE NULLS) OVER ({_R} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
+FROM (SELECT *, CASE WHEN qa >= 70 THEN value END AS v FROM readings)""", "value")
+def w3_fill_raw(spark, d):
+    r = src.readings(spark, d).withColumn("value", F.when(F.col("qa") >= 70, F.col("value")))
+    return series.fill(r, K, "ts", ["value"], backward=True, block_rows=256).select("event_id", "value")
+
+
+@query("w9_chronological_split_raw", """SELECT event_id, CASE WHEN rn <= floor(n * 0.70e0) THEN 'train' WHEN rn <= floor(n * 0.85e0) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (ORDER BY ts, md5(CAST(event_id AS VARCHAR)), event_id) AS rn, count(*) OVER () AS n FROM events)""")
+def w9_chronological_split_raw(spark, d):
+    return ranking.chronological_split(src.events(spark, d), "ts", "event_id").select("event_id", "split")

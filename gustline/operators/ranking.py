@@ -11,30 +11,30 @@ def rank_cuts(df: DataFrame, cells: Sequence[Column], order: Sequence[Column],
               ranks: Mapping[str, Column]) -> DataFrame:
     """One row with, per name, the order key (a struct) of the row at that 1-based rank.
 
-    ``ranks`` are expressions of ``n``, the number of rows. ``cells`` (outer, inner) are coarse forms
-    of ``order``: they sort the same way. Rows are counted per cell, the cell that holds the rank is
-    found by summing the counts, and only that cell's rows are ranked. A rank of 0 gives null.
+    ``ranks`` are expressions of ``n``, the number of rows. ``cells`` are ever finer forms of ``order``, each sorting the same way
+    inside the one before. Rows are counted per cell of the first kind, the cell that holds the rank is found by summing the counts, and
+    only its rows are counted per cell of the next; rows of the last cell are ranked. Every step sorts no more than the cells
+    inside one cell. A rank of 0 gives null.
     """
-    outer, inner = cells
-    keyed = df.select(outer.alias("_a"), inner.alias("_b"), F.struct(*[
+    names = [f"_c{i}" for i in range(len(cells))]
+    keyed = df.select(*[c.alias(n) for c, n in zip(cells, names)], F.struct(*[
         c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
-    counts = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    # One row per outer cell (an hour, a hash prefix): the only window without a partition.
-    outers = counts.groupBy("_a").agg(F.sum("_rows").alias("_a_rows")).select(
-        "_a",
-        (F.sum("_a_rows").over(upto(Window.orderBy("_a"))) - F.col("_a_rows")).alias("_a_off"),
-        F.sum("_a_rows").over(Window.partitionBy()).alias("n"))
-    located = counts.join(outers, "_a").withColumn(
-        "_end", F.col("_a_off") + F.sum("_rows").over(upto(Window.partitionBy("_a").orderBy("_b"))))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]))
-    picks = located.withColumn("_w", wanted).filter(
-        (F.col("_w.rank") <= F.col("_end")) & (F.col("_w.rank") > F.col("_end") - F.col("_rows"))
-    ).select("_a", "_b", F.col("_w.name").alias("_name"),
-             (F.col("_w.rank") - F.col("_end") + F.col("_rows")).alias("_need"))
-    # At most one row per requested rank, hence the broadcast.
-    hit = keyed.join(F.broadcast(picks), ["_a", "_b"]).withColumn(
+
+    def located(counts: DataFrame, within: list[str], cell: str) -> DataFrame:
+        """The cells that hold the wanted ranks, and the rank left inside them."""
+        upto = Window.partitionBy("_name").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+        held = counts.withColumn("_end", F.sum("_rows").over(upto))
+        held = held.filter((F.col("_need") <= F.col("_end")) & (F.col("_need") > F.col("_end") - F.col("_rows")))
+        return held.select("_name", *within, cell, (F.col("_need") - F.col("_end") + F.col("_rows")).alias("_need"))
+
+    first = keyed.groupBy(names[0]).agg(F.count(F.lit(1)).alias("_rows")).withColumn("n", F.sum("_rows").over(Window.partitionBy()))
+    wanted = F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), r.cast("long").alias("_need")) for name, r in ranks.items()]))
+    picks = located(first.select("*", wanted), [], names[0])
+    for i in range(1, len(names)):
+        # at most one row per requested rank, hence the broadcasts
+        inside = keyed.join(F.broadcast(picks), names[:i])
+        picks = located(inside.groupBy("_name", "_need", *names[: i + 1]).agg(F.count(F.lit(1)).alias("_rows")), names[:i], names[i])
+    hit = keyed.join(F.broadcast(picks), names).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_name").orderBy("_key"))
     ).filter(F.col("_rank") == F.col("_need"))
     return hit.agg(*[F.max(F.when(F.col("_name") == name, F.col("_key"))).alias(name) for name in ranks])
@@ -54,7 +54,8 @@ def split_ends(df: DataFrame, ts: str, key: str, fractions: tuple[float, float]
     """One row: the order keys that end the training and the validation part."""
     order = _split_order(ts, key)
     cut = lambda f: F.floor(F.col("n").cast("double") * F.lit(f))
-    return rank_cuts(df, [order[0], F.substring(order[1], 1, 2)], order,
+    times = [F.date_trunc(unit, F.col(ts)) for unit in ("hour", "second")]
+    return rank_cuts(df, [*times, order[0], F.substring(order[1], 1, 2)], order,
                      {"train": cut(fractions[0]), "val": cut(fractions[1])})
 
 

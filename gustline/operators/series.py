@@ -4,8 +4,8 @@ A window partitioned by station alone sorts every row of that station in one tas
 station sets the run time. Here a series is cut into blocks of bounded size and the little that
 crosses a block border is handed over separately:
 
-* ``with_position`` numbers the rows of each series: a count per time bucket is summed up over the
-  (few) buckets, the row number is taken inside each bucket.
+* ``with_blocks`` cuts a series by counted rows, not by time, so a busy day is as many blocks as its rows need.
+* ``with_position`` numbers the rows of each series: the rows before a block plus the rank inside it.
 * ``blocked`` gives every block the rows it needs from its neighbours, so a frame of bounded width
   (lags, rolling statistics, histories, leads) is exact inside the block.
 * ``with_known`` carries the last known and next known value over block borders, so fills and
@@ -25,29 +25,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalar
 from ..session import materialize
 
-BUCKET_SECONDS = 90 * 86400
 BLOCK_ROWS = 4096
+HOUR, SECOND = 3_600_000_000, 1_000_000
 
 
-def _bucket(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, rows: int = BLOCK_ROWS, name: str = "_blk") -> DataFrame:
+    """Rows with the number of their block and ``<name>_from``, the number of rows of the series before that block.
 
-
-def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (),
-                  bucket_seconds: int = BUCKET_SECONDS, name: str = "pos") -> DataFrame:
+    A block is a run of whole hours, or of whole seconds where an hour alone holds more than ``rows``, that begins in the same ``rows``
+    rows of its series; it follows the rows, whatever their rate. Only rows of one second are never parted. The counts that
+    place the cuts are one row per series and hour. Rows without a time drop out.
+    """
+    keys, cell = list(keys), f"{name}_cell"
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    df = df.withColumn(cell, at - F.pmod(at, F.lit(HOUR)))
+    full = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys, cell, F.lit(True).alias("_full"))
+    df = df.join(full, [*keys, cell], "left").withColumn(cell, F.when(F.col("_full"), at - F.pmod(at, F.lit(SECOND))).otherwise(F.col(cell))).drop("_full")
+    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n")).select(*keys, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    cells = cells.withColumn(name, F.floor(F.col("_off") / rows))
+    cells = cells.withColumn(f"{name}_from", F.min("_off").over(Window.partitionBy(*keys, name))).drop("_off")
+    return df.join(cells, [*keys, cell]).drop(cell)
+
+
+def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), block_rows: int = BLOCK_ROWS, name: str = "pos") -> DataFrame:
     """0-based rank of each row in its series, ordered by ``ts`` then ``tie`` (together unique)."""
-    keys = list(keys)
-    df = df.withColumn("_bucket", _bucket(ts, bucket_seconds))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
-        *keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tie)
-    return (
-        df.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_rank") - 1)
-        .drop("_bucket", "_offset", "_rank")
-    )
+    out = with_blocks(df, keys, ts, block_rows, "_pos_blk")
+    inside = Window.partitionBy(*keys, "_pos_blk").orderBy(ts, *tie)
+    return out.withColumn(name, F.col("_pos_blk_from") + F.row_number().over(inside) - 1).drop("_pos_blk", "_pos_blk_from")
 
 
 def positioned(df: DataFrame, keys: Sequence[str], ts: str) -> tuple[DataFrame, list[str]]:
@@ -158,12 +163,13 @@ def _drop_known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fill(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], forward: bool = True,
-         backward: bool = False, default=None, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+         backward: bool = False, default=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Forward fill, then backward fill, then a constant; each step optional.
 
     ``backward`` reads later values; leave it off for features a model must not see ahead.
     """
-    out = with_known(df, keys, ts, cols, _bucket(ts, bucket_seconds), back=forward, ahead=backward)
+    df = with_blocks(df, keys, ts, block_rows, "_cut")
+    out = with_known(df, keys, ts, cols, F.col("_cut"), back=forward, ahead=backward).drop("_cut", "_cut_from")
     chain = lambda c: [F.col(c)] + [F.col(f"{c}__prev.v")] * forward + [F.col(f"{c}__next.v")] * backward + (
         [] if default is None else [F.lit(default)])
     return _drop_known(out.withColumns({c: F.coalesce(*chain(c)) for c in cols}), cols)
@@ -190,19 +196,20 @@ def interpolate_by_row(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequen
 
 
 def interpolate_by_time(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-                        bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+                        block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Linear in time between the known neighbours, then forward fill, then backward fill."""
-    out = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    out = with_known(out, keys, "_at", cols, F.floor(F.col("_at") / (bucket_seconds * 1_000_000)), ahead=True)
+    out = with_blocks(df, keys, ts, block_rows, "_cut").withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    out = with_known(out, keys, "_at", cols, F.col("_cut"), ahead=True).drop("_cut", "_cut_from")
     return _drop_known(out.withColumns({
         c: F.coalesce(F.col(c), _between(c, F.col("_at")), F.col(f"{c}__prev.v"), F.col(f"{c}__next.v"))
         for c in cols}), cols).drop("_at")
 
 
 def last_known_before(df: DataFrame, keys: Sequence[str], ts: str, col: str, value: str = "last_value",
-                      gap: str | None = "gap_hours", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+                      gap: str | None = "gap_hours", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Newest non-null value strictly before each row and the hours since."""
-    out = with_known(df, keys, ts, [col], _bucket(ts, bucket_seconds), include_current=False)
+    df = with_blocks(df, keys, ts, block_rows, "_cut")
+    out = with_known(df, keys, ts, [col], F.col("_cut"), include_current=False).drop("_cut", "_cut_from")
     new = {value: F.col(f"{col}__prev.v")}
     if gap:
         micros = lambda c: F.unix_micros(c.cast("timestamp"))

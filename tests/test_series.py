@@ -41,8 +41,8 @@ def test_lags_leads_rolls(data):
 def test_fills(data):
     df, p = data
     g = p.groupby("k").v
-    same(series.fill(df, ["k"], "ts", ["v"], bucket_seconds=SPAN), "v", g.ffill())
-    same(series.fill(df, ["k"], "ts", ["v"], backward=True, default=0.0, bucket_seconds=SPAN), "v",
+    same(series.fill(df, ["k"], "ts", ["v"], block_rows=5), "v", g.ffill())
+    same(series.fill(df, ["k"], "ts", ["v"], backward=True, default=0.0, block_rows=5), "v",
          g.transform(lambda s: s.ffill().bfill()).fillna(0.0))
 
 
@@ -51,12 +51,12 @@ def test_interpolation(data):
     same(series.interpolate_by_row(df, ["k"], "ts", ["v"], block_rows=16), "v",
          p.groupby("k").v.transform(lambda s: s.interpolate(limit_direction="forward").ffill()))
     by_time = p.set_index("ts").groupby("k").v.transform(lambda s: s.interpolate(method="time").ffill().bfill())
-    same(series.interpolate_by_time(df, ["k"], "ts", ["v"], bucket_seconds=SPAN), "v", by_time.reset_index().v)
+    same(series.interpolate_by_time(df, ["k"], "ts", ["v"], block_rows=5), "v", by_time.reset_index().v)
 
 
 def test_last_known_and_gap(data):
     df, p = data
-    out = series.last_known_before(df, ["k"], "ts", "v", bucket_seconds=SPAN)
+    out = series.last_known_before(df, ["k"], "ts", "v", block_rows=5)
     same(out, "last_value", p.groupby("k").v.transform(lambda s: s.ffill().shift(1)))
     known = p.h.where(p.v.notna())
     same(out, "gap_hours", p.h - known.groupby(p.k).transform(lambda s: s.ffill().shift(1)))
@@ -111,3 +111,17 @@ def test_given_wind_is_kept(spark):
                                "station_id string, timestamp string, pm25 double, wind_u double, wind_v double")
     assert {(r.wind_u, r.wind_v) for r in frames.prepare_training(df).collect()} == {(2.5, -1.5), (3.5, -2.5)}
     assert {(r.wind_u, r.wind_v) for r in frames.prepare_training(df.drop("wind_u")).collect()} == {(0.0, 0.0)}
+
+
+def test_a_busy_day_is_many_blocks(spark):
+    """One station has a third of all rows within one day, most of them in one hour."""
+    busy = spark.range(9000).select(F.lit("busy").alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.when(F.col("id") < 6000, F.col("id") * 500_000).otherwise(
+        F.col("id") * 8_000_000)).alias("ts"), F.col("id").cast("double").alias("v"))
+    calm = spark.range(18000).select((F.col("id") % 60).cast("string").alias("k"), F.timestamp_micros(F.lit(1_600_000_000_000_000) + F.col("id") * 60_000_000_000).alias("ts"),
+                                     F.col("id").cast("double").alias("v"))
+    out = series.with_blocks(busy.unionByName(calm), ["k"], "ts", 500)
+    sizes = [r["count"] for r in out.groupBy("k", "_blk").count().collect()]
+    assert max(sizes) <= 1100 and len([s for s in sizes if s > 100]) >= 15
+    pos = series.with_position(busy.unionByName(calm), ["k"], "ts", ["v"], block_rows=500).filter("k = 'busy'")
+    assert [r["v"] for r in pos.orderBy("pos").select("v").collect()] == [float(i) for i in range(9000)]
+    assert [r["pos"] for r in pos.orderBy("pos").select("pos").collect()] == list(range(9000))
