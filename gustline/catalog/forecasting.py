@@ -11,8 +11,6 @@ from ..sources import tables as src
 from .registry import query
 from .timeseries import prepared
 
-# Small settings that fit in a check run; the defaults are those of ``models``.
-QUICK = {"rf": {"trees": 10, "depth": 4}}
 _YS = f"""(SELECT *, CASE h WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y3 END AS y FROM
   (SELECT station_id, hour, {', '.join(f'lead(pm25, {h}) OVER (PARTITION BY station_id ORDER BY hour) AS y{h}' for h in (1, 2, 3))} FROM pm)
   CROSS JOIN (SELECT unnest([1, 2, 3]) AS h))"""
@@ -34,12 +32,14 @@ def f3_linear(spark, d):
 
 @query("f4_boosted_trees")
 def f4_boosted_trees(spark, d):
-    return models.train(prepared(spark, d), ["rf"], [1], overrides=QUICK)[1]
+    """The full settings of every horizon."""
+    return models.train(prepared(spark, d), ["rf"])[1]
 
 
 @query("f5_random_forest")
 def f5_random_forest(spark, d):
-    return models.train(prepared(spark, d), ["rf"], [3], learner="forest", overrides={"rf": {"trees": 20}})[1]
+    """The full settings of every horizon."""
+    return models.train(prepared(spark, d), ["rf"], learner="forest")[1]
 
 
 @query("f6_evaluation")
@@ -88,21 +88,22 @@ def f9_composite_forecast(spark, d):
 
 @query("f10_ablation")
 def f10_ablation(spark, d):
-    return models.ablation(prepared(spark, d), ["base6", "diffusion9", "with_pollutants"], ["lr"], [1])
+    """Every recipe and horizon with the linear model."""
+    return models.ablation(prepared(spark, d), list(recipes.RECIPES), ["lr"])
 
 
 @query("f11_ridge_search")
 def f11_ridge_search(spark, d):
+    """Every recipe, horizon and penalty."""
     from ..operators.aggregates import best_trial
-    trials = models.search_ridge(prepared(spark, d), 2, ["base6", "with_lags_pollutants"])
-    return best_trial(trials, ["horizon", "recipe"])
+    return best_trial(models.search_ridge(prepared(spark, d)), ["horizon", "recipe"])
 
 
 @query("f12_tree_search")
 def f12_tree_search(spark, d):
+    """All forest settings of the +3 h search with the base recipe."""
     from ..operators.aggregates import best_trial
-    tries = [{"trees": 5, "rate": 0.1, "depth": 3}, {"trees": 5, "rate": 0.3, "depth": 2}]
-    return best_trial(models.search_trees(prepared(spark, d), 1, "base6", trials=tries), ["horizon", "recipe"])
+    return best_trial(models.search_trees(prepared(spark, d), 3, "base6", learner="forest"), ["horizon", "recipe"])
 
 
 @query("f13_scoring")
@@ -191,3 +192,54 @@ def f14_alert_one_feature(spark, d):
     bundle = models.train(frame, ["lr"], [1], features=_ONE)[0]["lr"]
     return models.forecast_and_alert(_one_records(frame), bundle).select(
         "station_id", "timestamp", "current_pm25", "forecast_pm25", "level", "alert")
+
+
+_OWN = {"own": _ONE}
+_METRICS = """1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)) AS r2, avg(abs(y-p)) AS mae, avg((y-p)*(y-p)) AS mse, sqrt(avg((y-p)*(y-p))) AS rmse"""
+
+
+@query("f8_per_horizon_one_feature", f"SELECT model, horizon, split, {_METRICS} FROM {_LINEAR} GROUP BY 1, 2, 3", "r2|mae|mse|rmse")
+def f8_per_horizon_one_feature(spark, d):
+    return models.evaluate(models.per_horizon(_one_frame(spark, d), "lr", {1: "own", 2: "own", 3: "own"}, _OWN)[1])
+
+
+@query("f10_ablation_one_feature", f"SELECT 'own' AS feature_set, model, horizon, split, {_METRICS} FROM {_LINEAR} GROUP BY 1, 2, 3, 4", "r2|mae|mse|rmse")
+def f10_ablation_one_feature(spark, d):
+    return models.ablation(_one_frame(spark, d), ["own"], ["lr"], table=_OWN)
+
+
+_TRIED = ", ".join(f"{a}e0" for a in models.SEARCH_ALPHAS)
+
+
+@query("f11_ridge_search_one_feature", f"""SELECT CAST(h AS INT) AS horizon, 'own' AS recipe, alpha, CAST(trial AS INT) AS trial,
+  1 - sum((y - my - slope * (x - mx)) * (y - my - slope * (x - mx))) / (var_pop(y) * count(y)) AS val_r2 FROM
+  (SELECT v.h, v.y, (v.lx - q.c) / q.r AS x, k.my, k.mx, k.sxy / (k.sxx + a.alpha) AS slope, a.alpha, a.trial FROM {_XY} v JOIN {_SCALE} q ON v.h = q.h
+   JOIN (SELECT h, avg(x) AS mx, avg(y) AS my, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM
+     (SELECT t.h, t.y, (t.lx - q.c) / q.r AS x FROM {_XY} t JOIN {_SCALE} q ON t.h = q.h WHERE t.split = 'train') GROUP BY 1) k ON v.h = k.h
+   CROSS JOIN (SELECT unnest([{_TRIED}]) AS alpha, unnest(range(11)) AS trial) a WHERE v.split = 'val') GROUP BY 1, 2, 3, 4""", "alpha|val_r2")
+def f11_ridge_search_one_feature(spark, d):
+    """Every penalty at every horizon from one set of cross products."""
+    return models.search_ridge(_one_frame(spark, d), names=["own"], table=_OWN)
+
+
+_STUMP = f"""(SELECT s.station_id, s.hour AS timestamp, s.split, s.y, CASE WHEN hour(s.hour) <= b.cut THEN b.low ELSE b.high END AS p FROM {_YSPLIT} s,
+  (SELECT cut, low, high FROM (SELECT cut, avg(y) FILTER (WHERE x <= cut) AS low, avg(y) FILTER (WHERE x > cut) AS high,
+     sum(y) FILTER (WHERE x <= cut) ** 2 / count(y) FILTER (WHERE x <= cut) + sum(y) FILTER (WHERE x > cut) ** 2 / count(y) FILTER (WHERE x > cut) AS gain
+   FROM (SELECT hour(hour) AS x, y FROM {_YSPLIT} WHERE h = 1 AND split = 'train') CROSS JOIN (SELECT unnest(range(23)) AS cut) GROUP BY 1)
+   ORDER BY gain DESC LIMIT 1) b WHERE s.h = 1)"""
+
+
+def _stump(spark, d, learner, **setting):
+    frame = _one_frame(spark, d).withColumn("hod", F.hour("timestamp").cast("double"))
+    return models.train(frame, ["rf"], [1], ["hod"], learner, {"rf": setting})[1].select("station_id", "timestamp", "split", "y", "p")
+
+
+@query("f4_boosted_one_cut", f"SELECT * FROM {_STUMP}", "y|p")
+def f4_boosted_one_cut(spark, d):
+    """One unsampled tree with one cut of the hour of day, which SQL can find."""
+    return _stump(spark, d, "boosted", trees=1, depth=1, share=1.0)
+
+
+@query("f5_forest_one_cut", f"SELECT * FROM {_STUMP}", "y|p")
+def f5_forest_one_cut(spark, d):
+    return _stump(spark, d, "forest", trees=1, depth=1, leaf=1, bootstrap=False)

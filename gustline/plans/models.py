@@ -8,13 +8,17 @@ import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import alerts
+from ..functions import alerts, scalar
 from ..operators import aggregates, clean
+from ..session import materialize
+from ..sources import sinks
 from . import frames, recipes
 
 # Settings per horizon.
@@ -59,11 +63,51 @@ def fit_boosted(train: DataFrame, trees: int, rate: float, depth: int, seed: int
                         subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed).fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int, depth: int, leaf: int, seed: int = 42):
-    return RandomForestRegressor(featuresCol="x", labelCol="y", predictionCol="p", numTrees=trees, maxDepth=depth,
+def fit_forest(train: DataFrame, trees: int, depth: int, leaf: int, seed: int = 42, bootstrap: bool = True):
+    return RandomForestRegressor(featuresCol="x", labelCol="y", predictionCol="p", numTrees=trees, maxDepth=depth, bootstrap=bootstrap,
                                  minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=seed).fit(train)
 
 
+def moments(matrix: DataFrame, features: Sequence[str]) -> dict[str, np.ndarray]:
+    """Per split the cross products of (1, features, y): one pass, one small matrix a batch, summed in Spark.
+
+    With these every least-squares fit and its errors on any subset of the features follow without another pass.
+    """
+    cols, width = [f"c{i}" for i in range(len(features))], len(features) + 2
+    rows = matrix.select("split", *[clean.named(f).cast("double").alias(c) for f, c in zip(features, cols)], F.col("y").cast("double").alias("y"))
+
+    def cross(batches):
+        for b in batches:
+            split = np.asarray(b.column("split").to_pylist(), dtype=object)
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(c).to_numpy(zero_copy_only=False) for c in (*cols, "y")]])
+            for s in sorted(set(split)):
+                part = x[split == s]
+                g = (part.T @ part).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(g), pa.string()), pa.array(range(len(g)), pa.int32()), pa.array(g)], ["split", "at", "v"])
+    total = rows.mapInArrow(cross, "split string, at int, v double").groupBy("split", "at").agg(F.sum("v").alias("v")).collect()
+    out: dict[str, np.ndarray] = {}
+    for r in total:
+        out.setdefault(r["split"], np.zeros(width * width))[r["at"]] = r["v"]
+    return {s: g.reshape(width, width) for s, g in out.items()}
+
+
+def ridge_from_moments(g: np.ndarray, at: Sequence[int], alpha: float) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of the features at positions ``at``; the intercept is not penalized."""
+    i, n = [a + 1 for a in at], g[0, 0]
+    mean, mean_y = g[0, i] / n, g[0, -1] / n
+    a = g[np.ix_(i, i)] - n * np.outer(mean, mean) + alpha * np.eye(len(i))
+    w = np.linalg.lstsq(a, g[i, -1] - n * mean * mean_y, rcond=None)[0]
+    return float(mean_y - mean @ w), w
+
+
+def r2_from_moments(g: np.ndarray, at: Sequence[int], intercept: float, w: np.ndarray) -> float:
+    """R2 of a linear model on the rows behind ``g``; 1 or 0 for a constant label, as in ``regression_metrics``."""
+    i, beta = [0, *[a + 1 for a in at]], np.array([intercept, *w])
+    sse = g[-1, -1] - 2 * beta @ g[i, -1] + beta @ g[np.ix_(i, i)] @ beta
+    sst = g[-1, -1] - g[0, -1] ** 2 / g[0, 0]
+    return float(1 - sse / sst) if sst > 0 else float(sse <= 0)
+
+
 @dataclass
 class Mean:
     """Predicts the training mean."""
@@ -106,27 +150,38 @@ class Bundle:
     target: str = "pm25"
     lookback: int = frames.LOOKBACK
 
+    #: the label was the log of the target, so forecasts are taken back from it
+    log_target: dict[int, bool] = field(default_factory=dict)
+
     @property
     def horizons(self) -> list[int]:
         return sorted(self.models)
 
+    def add(self, other: Bundle, horizon: int) -> None:
+        """Take over one horizon of another bundle."""
+        for mine, theirs in ((self.models, other.models), (self.features, other.features), (self.scaling, other.scaling), (self.log_target, other.log_target)):
+            if horizon in theirs:
+                mine[horizon] = theirs[horizon]
+
     def save(self, path: str, spark: SparkSession) -> None:
-        """Models through MLlib, the rest as one JSON row."""
+        """Each horizon on its own: the model through MLlib, the rest as one JSON row. Other horizons stored there stay."""
         for h, m in self.models.items():
             if not isinstance(m, Mean):
                 PipelineModel([m]).write().overwrite().save(f"{path}/h{h}")
-        meta = {"model_type": self.model_type, "target": self.target, "lookback": self.lookback, "features": self.features,
-                "scaling": self.scaling, "means": {h: m.value for h, m in self.models.items() if isinstance(m, Mean)}}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+            meta = {"model_type": self.model_type, "target": self.target, "lookback": self.lookback, "features": self.features[h],
+                    "scaling": self.scaling.get(h, {}), "mean": m.value if isinstance(m, Mean) else None, "log_target": self.log_target.get(h, False)}
+            spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta/horizon={h}")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> Bundle:
-        meta = json.loads(spark.read.parquet(f"{path}/meta").first()[0])
-        means = {int(h): Mean(v) for h, v in meta["means"].items()}
-        feats = {int(h): f for h, f in meta["features"].items()}
-        models = {h: means[h] if h in means else PipelineModel.load(f"{path}/h{h}").stages[0] for h in feats}
-        scaling = {int(h): {f: tuple(v) for f, v in s.items()} for h, s in meta["scaling"].items()}
-        return cls(meta["model_type"], models, feats, scaling, meta["target"], meta["lookback"])
+        out = None
+        for row in spark.read.schema("meta string, horizon int").parquet(f"{path}/meta").orderBy("horizon").collect():  # one row a horizon
+            h, meta = row["horizon"], json.loads(row["meta"])
+            out = out or cls(meta["model_type"], target=meta["target"], lookback=meta["lookback"])
+            out.models[h] = Mean(meta["mean"]) if meta["mean"] is not None else PipelineModel.load(f"{path}/h{h}").stages[0]
+            out.features[h], out.log_target[h] = meta["features"], meta["log_target"]
+            out.scaling[h] = {f: tuple(v) for f, v in meta["scaling"].items()}
+        return out
 
 
 def composite(bundles: Mapping[str, Bundle], horizon_families: Mapping[int, str]) -> Bundle:
@@ -136,8 +191,7 @@ def composite(bundles: Mapping[str, Bundle], horizon_families: Mapping[int, str]
     for h, f in sorted(horizon_families.items()):
         if f not in bundles or h not in bundles[f].models:
             raise FileNotFoundError(f"no trained model for {f} at +{h}h")
-        out.models[h], out.features[h] = bundles[f].models[h], bundles[f].features[h]
-        out.scaling[h] = bundles[f].scaling[h]
+        out.add(bundles[f], h)
     return out
 
 
@@ -159,10 +213,10 @@ def design(frame: DataFrame, features: Sequence[str], horizon: int, keys: Sequen
 
 def train(frame: DataFrame, families: Iterable[str] = ("ha", "lr", "rf"), horizons: Iterable[int] = recipes.HORIZONS,
           features: Sequence[str] | None = None, learner: str = "boosted",
-          overrides: Mapping[str, dict] = {}) -> tuple[dict[str, Bundle], DataFrame]:
+          overrides: Mapping[str, dict] = {}, log_target: bool = False) -> tuple[dict[str, Bundle], DataFrame]:
     """Fit families at horizons. Returns bundles and the scored rows (model, horizon, split, y, p).
 
-    Families that share features share one design matrix per horizon.
+    With ``log_target`` the label is log1p of the target, and predictions are taken back and never negative. Families that share features share one design matrix per horizon.
     """
     bundles = {f: Bundle(f) for f in families}
     scored = []
@@ -173,9 +227,14 @@ def train(frame: DataFrame, families: Iterable[str] = ("ha", "lr", "rf"), horizo
             if tuple(cols) not in made:
                 made[tuple(cols)] = design(frame, cols, h)
             matrix, scaling = made[tuple(cols)]
-            model = fit(f, matrix.filter("split = 'train'"), h, learner, **overrides.get(f, {}))
+            label = scalar.log_clip(F.col("y")) if log_target else F.col("y")
+            model = fit(f, matrix.filter("split = 'train'").withColumn("y", label), h, learner, **overrides.get(f, {}))
             bundles[f].models[h], bundles[f].features[h], bundles[f].scaling[h] = model, cols, scaling
-            scored.append(model.transform(matrix).select(
+            bundles[f].log_target[h] = log_target
+            predicted = model.transform(matrix)
+            if log_target:
+                predicted = predicted.withColumn("p", scalar.exp_clip(F.col("p")))
+            scored.append(predicted.select(
                 "station_id", "timestamp", F.lit(NAMES.get(f, f)).alias("model"), F.lit(h).alias("horizon"), "split", "y", "p"))
     out = scored[0]
     for s in scored[1:]:
@@ -195,43 +254,71 @@ def head_to_head(metrics: DataFrame) -> DataFrame:
         F.first("r2").alias("r2"), F.first("mae").alias("mae"), F.first("rmse").alias("rmse"))
 
 
-def per_horizon(frame: DataFrame, family: str, horizon_recipes: Mapping[int, str], **kw) -> tuple[Bundle, DataFrame]:
-    """A bundle whose horizons use their own feature lists."""
+def per_horizon(frame: DataFrame, family: str, horizon_recipes: Mapping[int, str],
+                table: Mapping[str, Sequence[str]] = recipes.RECIPES, **kw) -> tuple[Bundle, DataFrame]:
+    """A bundle whose horizons use their own feature lists, named in ``table``."""
     out, scored = Bundle(f"per_horizon:{family}"), None
     for h, name in sorted(horizon_recipes.items()):
-        bundles, s = train(frame, [family], [h], recipes.RECIPES[name], **kw)
+        bundles, s = train(frame, [family], [h], table[name], **kw)
         b = bundles[family]
-        out.models[h], out.features[h], out.scaling[h] = b.models[h], b.features[h], b.scaling[h]
+        out.add(b, h)
         scored = s if scored is None else scored.unionByName(s)
     return out, scored
 
 
-def ablation(frame: DataFrame, names: Iterable[str], families: Iterable[str] = ("lr", "rf"),
-             horizons: Iterable[int] = recipes.HORIZONS, **kw) -> DataFrame:
-    """Metrics of every feature recipe: (feature_set, model, horizon, split, r2, mae, mse, rmse)."""
-    out = None
-    for name in names:
-        _, scored = train(frame, families, horizons, recipes.RECIPES[name], **kw)
-        rows = evaluate(scored).select(F.lit(name).alias("feature_set"), "model", "horizon", "split", "r2", "mae", "mse", "rmse")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def ablation(frame: DataFrame, names: Iterable[str], families: Iterable[str] = ("lr", "rf"), horizons: Iterable[int] = recipes.HORIZONS,
+             learner: str = "boosted", overrides: Mapping[str, dict] = {}, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> DataFrame:
+    """Metrics of every feature recipe: (feature_set, model, horizon, split, r2, mae, mse, rmse).
 
-
-def search_ridge(frame: DataFrame, horizon: int, names: Iterable[str] = tuple(recipes.RECIPES),
-                 alphas: Iterable[float] = SEARCH_ALPHAS) -> DataFrame:
-    """Validation r2 of every penalty and recipe: (recipe, alpha, trial, val_r2)."""
-    tries = sorted({*alphas, RIDGE_ALPHA[horizon]})
-    out = None
-    for name in names:
-        cols = clean.select_features(recipes.RECIPES[name], frame.columns, [])
-        matrix, _ = design(frame, cols, horizon)
-        train_rows, val = matrix.filter("split = 'train'"), matrix.filter("split = 'val'")
-        for i, a in enumerate(tries):
-            s = fit_ridge(train_rows, a).transform(val).select(
-                F.lit(name).alias("recipe"), F.lit(float(a)).alias("alpha"), F.lit(i).alias("trial"), "y", "p")
-            out = s if out is None else out.unionByName(s)
-    m = aggregates.regression_metrics(out, ["recipe", "alpha", "trial"])
-    return m.select(F.lit(horizon).alias("horizon"), "recipe", "alpha", "trial", F.col("r2").alias("val_r2"))
+    One design matrix a horizon holds the features of all recipes, so all are compared on the same rows: those complete in
+    every feature.
+    """
+    cols = {name: clean.select_features(table[name], frame.columns, []) for name in names}
+    every, out = list(dict.fromkeys(c for cs in cols.values() for c in cs)), None
+    for h in horizons:
+        raw = frames.design_matrix(frame, every, h, scale=False)
+        scaled = materialize(apply_scaling(raw, scaling_of(raw.filter("split = 'train'"), every)))
+        for name, cs in cols.items():
+            matrix = assemble(scaled, cs)
+            for f in families:
+                model = fit(f, matrix.filter("split = 'train'"), h, learner, **overrides.get(f, {}))
+                s = model.transform(matrix).select(F.lit(name).alias("feature_set"), F.lit(NAMES.get(f, f)).alias("model"), F.lit(h).alias("horizon"), "split", "y", "p")
+                out = s if out is None else out.unionByName(s)
+    return aggregates.regression_metrics(out, ["feature_set", "model", "horizon", "split"]).select(
+        "feature_set", "model", "horizon", "split", "r2", "mae", "mse", "rmse")
+
+
+def search_ridge(frame: DataFrame, horizons: Iterable[int] = recipes.HORIZONS, names: Iterable[str] = tuple(recipes.RECIPES),
+                 alphas: Iterable[float] = SEARCH_ALPHAS, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> DataFrame:
+    """Validation r2 of every penalty and recipe: (horizon, recipe, alpha, trial, val_r2).
+
+    One pass a horizon: the cross products of all recipes' features answer every recipe and penalty. Recipes are compared
+    on the rows that are complete in every feature.
+    """
+    cols = {name: clean.select_features(table[name], frame.columns, []) for name in names}
+    every, rows = list(dict.fromkeys(c for cs in cols.values() for c in cs)), []
+    for h in horizons:
+        raw = frames.design_matrix(frame, every, h, scale=False)
+        g = moments(apply_scaling(raw, scaling_of(raw.filter("split = 'train'"), every)), every)
+        for name, cs in cols.items():
+            at = [every.index(c) for c in cs]
+            for i, a in enumerate(sorted({*alphas, RIDGE_ALPHA[h]})):
+                r2 = r2_from_moments(g["val"], at, *ridge_from_moments(g["train"], at, a)) if {"train", "val"} <= g.keys() else None
+                rows.append((int(h), name, float(a), i, r2))
+    return frame.sparkSession.createDataFrame(rows, "horizon int, recipe string, alpha double, trial int, val_r2 double")
+
+
+def tune_ridge(frame: DataFrame, stored: DataFrame | None = None, horizons: Iterable[int] = recipes.HORIZONS, names: Iterable[str] = tuple(recipes.RECIPES),
+               alphas: Iterable[float] = SEARCH_ALPHAS, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> tuple[Bundle, DataFrame]:
+    """Best recipe and penalty per horizon, refitted: (bundle, metrics merged over ``stored`` ones by horizon and model)."""
+    best = aggregates.best_trial(search_ridge(frame, horizons, names, alphas, table), ["horizon"]).collect()  # one row a horizon
+    out, scored = Bundle("tuned:lr"), None
+    for r in sorted(best, key=lambda r: r["horizon"]):
+        bundles, s = train(frame, ["lr"], [r["horizon"]], table[r["recipe"]], overrides={"lr": {"alpha": r["alpha"]}})
+        out.add(bundles["lr"], r["horizon"])
+        scored = s if scored is None else scored.unionByName(s)
+    metrics = evaluate(scored)
+    return out, metrics if stored is None else aggregates.merge_metrics(stored, metrics)
 
 
 def tree_trials(horizon: int, learner: str = "boosted", n: int | None = None, seed: int = 42) -> list[dict]:
@@ -280,7 +367,7 @@ def forecast(records: DataFrame, bundle: Bundle, include_current: bool = True) -
         center = bundle.scaling.get(h, {})
         scaled = {n: (made[c] - F.lit(center.get(c, (0.0, 1.0))[0])) / F.lit(center.get(c, (0.0, 1.0))[1]) for n, c in zip(names, cols)}
         out = bundle.models[h].transform(assemble(out.withColumns(scaled), names)).withColumn(
-            f"_p{h}", F.greatest(F.col("p"), F.lit(0.0))).drop("x", "p", *names)
+            f"_p{h}", scalar.exp_clip(F.col("p")) if bundle.log_target.get(h) else F.greatest(F.col("p"), F.lit(0.0))).drop("x", "p", *names)
     pairs = F.array(*[F.struct(F.lit(f"h{h}").alias("key"), F.col(f"_p{h}").alias("value")) for h in bundle.horizons])
     primary = 1 if 1 in bundle.models else bundle.horizons[0]
     return out.select(
@@ -300,6 +387,18 @@ def registry_table(spark: SparkSession, active: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame([(int(h), m) for h, m in sorted(active.items())], "horizon int, model string")
 
 
+def write_registry(registry: DataFrame, path: str, version: int) -> None:
+    """Store a registry as a new version; readers keep the one before until it is complete."""
+    sinks.write_state(registry, path, "models", version)
+
+
+def read_registry(spark: SparkSession, path: str, fallback: Mapping[int, str]) -> DataFrame:
+    """The stored registry; horizons it does not name answer with ``fallback``."""
+    stored = sinks.read_state(spark, path, "models", T.StructType.fromDDL("horizon int, model string"))
+    default = registry_table(spark, fallback).withColumnRenamed("model", "_default")
+    return stored.join(default, "horizon", "full_outer").select("horizon", F.coalesce("model", "_default").alias("model"))
+
+
 def set_active(registry: DataFrame, model: str, horizons: Iterable[int] | None = None,
                known: Iterable[str] = tuple(recipes.FAMILIES)) -> DataFrame:
     """Registry with ``model`` active for the given horizons, or for all."""

@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import clean
 from ..session import materialize
 
-KINDS = ("predictions", "alerts", "measurements", "history", "readings", "met", "emitted", "open", "clock")
+KINDS = ("predictions", "alerts", "measurements", "history", "readings", "met", "emitted", "open", "clock", "models")
 # A version is read by the batch after it, and once more if that batch is repeated.
 KEPT_VERSIONS = 3
 

@@ -188,3 +188,13 @@ def test_model_features_default_to_zero(spark):
 def test_finite(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("inf"),)], "v double")
     assert rows(clean.finite_only(df, ["v"])) == [(1.0,)] and scalar.number is not None
+
+
+def test_old_versions_of_a_state_are_deleted(spark, tmp_path):
+    schema = "station_id string, timestamp timestamp, event_id long, v int"
+    for version in range(12):
+        batch = spark.createDataFrame([("a", datetime(2024, 1, 1, version), version, version)], schema)
+        sinks.upsert_latest(batch, str(tmp_path), "measurements", version)
+    kept = sorted(p.name for p in (tmp_path / "measurements").iterdir())
+    assert kept == [f"v={v:09d}" for v in (9, 10, 11)]
+    assert rows(sinks.read_state(spark, str(tmp_path), "measurements", batch.schema), "v") == [(11,)]

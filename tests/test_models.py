@@ -114,3 +114,50 @@ def test_feature_lists():
     with pytest.raises(ValueError):
         recipes.family("other")
     assert clean.select_features(["b", "z", "a"], ["a", "b"], []) == ["b", "a"]
+
+
+def test_search_from_moments_equals_fits(spark, frame):
+    found = {(r["recipe"], r["alpha"]): r["val_r2"] for r in models.search_ridge(frame, [2], ["base6", "diffusion9"], [0.0, 5.0]).collect()}
+    assert len(found) == 4
+    for recipe, alpha in found:
+        cols = list(recipes.RECIPES[recipe])
+        matrix, _ = models.design(frame, cols, 2)
+        scored = models.fit_ridge(matrix.filter("split = 'train'"), alpha).transform(matrix.filter("split = 'val'"))
+        r2 = models.evaluate(scored.select("split", "y", "p", F.lit("x").alias("model"), F.lit(2).alias("horizon"))).first()["r2"]
+        assert found[recipe, alpha] == pytest.approx(r2, abs=1e-6)
+
+
+def test_tuning_refits_the_best_and_merges(spark, frame):
+    old = spark.createDataFrame([("Linear Regression", 1, "val", 0.0, 1.0, 1.0, 1.0), ("Other", 1, "val", 0.5, 1.0, 1.0, 1.0)], "model string, horizon int, split string, r2 double, mae double, mse double, rmse double")
+    bundle, metrics = models.tune_ridge(frame, old.select(*[c for c in ("model", "horizon", "split", "r2", "mae", "mse", "rmse")]), [1], ["base6"], [0.0, 5.0])
+    got = {(r["model"], r["split"]) for r in metrics.collect()}
+    assert bundle.horizons == [1] and ("Other", "val") in got and ("Linear Regression", "test") in got
+
+
+def test_saving_one_horizon_keeps_the_others(spark, frame):
+    path = scratch(spark, "bundle")
+    one = models.train(frame, ["ha", "lr"], [1], ["pm25"], log_target=True)[0]
+    two = models.train(frame, ["lr"], [2], ["pm25", "no"])[0]
+    one["lr"].save(path, spark)
+    two["lr"].save(path, spark)
+    both = models.Bundle.load(path, spark)
+    assert both.horizons == [1, 2] and both.features[2] == ["pm25", "no"] and both.log_target == {1: True, 2: False}
+    out = models.forecast(records(frame), both)
+    row = out.first()
+    assert row["forecasts"]["h1"] >= 0 and abs(row["forecasts"]["h1"] - row["current_pm25"]) < 15
+
+
+def test_a_nan_feature_counts_as_missing(spark, frame):
+    bundle = models.train(frame, ["lr"], [1], ["pm25", "no"])[0]["lr"]
+    r = records(frame).limit(1)
+    holes = lambda v: r.withColumn("features", F.map_concat(F.map_filter("features", lambda k, _: k != "no"), F.create_map(F.lit("no"), F.lit(v))))
+    a, b = (models.forecast(holes(v), bundle).first()["forecast_pm25"] for v in (float("nan"), 0.0))
+    assert a == pytest.approx(b)
+
+
+def test_stored_registry(spark):
+    path = scratch(spark, "registry")
+    assert {r["horizon"]: r["model"] for r in models.read_registry(spark, path, {1: "ha", 2: "ha"}).collect()} == {1: "ha", 2: "ha"}
+    models.write_registry(models.registry_table(spark, {1: "lr", 3: "rf"}), path, 0)
+    models.write_registry(models.set_active(models.read_registry(spark, path, {1: "ha", 2: "ha"}), "rf", [1]), path, 1)
+    assert {r["horizon"]: r["model"] for r in models.read_registry(spark, path, {2: "lr"}).collect()} == {1: "rf", 2: "ha", 3: "rf"}
