@@ -12,7 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19  # text that array code works on at once
+WORD_SLICE_BYTES = 1 << 20  # for encoding, where distinct words of a slice are worked on once
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keeps batches between Spark and Python small: workers share an executor's memory with its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

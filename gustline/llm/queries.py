@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
 from . import bpe, chat, fingerprints, langid, lines, packing, repeats, secrets, simhash, topk
+from .common import small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -17,7 +18,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(small_batches(configure(spark)), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -37,10 +37,11 @@ WINDOW = 50
 GRAM = 20
 BEFORE = WINDOW - GRAM  # windows of an anchor begin at most so many bytes before it
 AROUND = BEFORE + WINDOW
-PART_BYTES = 24 << 20
-ROW_BYTES = 4 << 20
-ENTRIES = 1_500_000
+PART_BYTES = 16 << 20
+ROW_BYTES = (1 << 20) - 4096
+ENTRIES = 750_000
 
+CLASS_RUN = np.dtype([("class", "<i8"), ("near", "u1"), ("far", "u1"), ("least", "<i8")])
 RECORD = np.dtype([("key", "<u8"), ("lo", "u1"), ("hi", "u1"), ("pad", "u1", 6), ("around", "u1", AROUND)])
 
 
@@ -132,9 +133,9 @@ class Part:
             rec = np.zeros(len(p), RECORD)
             rec["key"], rec["lo"], rec["hi"] = key, p - s0, p - s1
             padded = np.concatenate((np.zeros(BEFORE, np.uint8), data, np.zeros(WINDOW, np.uint8)))
-            around = padded[p[:, None] + np.arange(AROUND)]
-            j = np.arange(AROUND)[None, :] - BEFORE + p[:, None]
-            around[(j < s0[:, None]) | (j >= s1[:, None] + WINDOW)] = 0
+            around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[p]
+            j = np.arange(AROUND, dtype=np.int8) - np.int8(BEFORE)
+            around[(j < -rec["lo"].astype(np.int8)[:, None]) | (j >= np.int8(WINDOW) - rec["hi"].astype(np.int8)[:, None])] = 0
             rec["around"] = around
             found.append(rec)
             docs.append(ids[np.searchsorted(offsets, p, side="right") - 1])
@@ -175,40 +176,46 @@ def radix_groups(digits, group: np.ndarray, member: np.ndarray) -> tuple[np.ndar
         j += 1
 
 
-def smallest_documents(records: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each class of records and each of its windows the smallest document: (class, back, document) rows, and each record's class.
+def smallest_documents(records: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows of each class of records with the smallest document that has them, and each record's class.
 
-    ``back`` is how many bytes before the anchor a window begins.
+    A run is (class, near, far, document): windows that begin ``near`` to ``far`` bytes before the anchor.
     """
     first, which = _classes(records)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, which, docs)
     reps = records[first]
-    lo, hi = reps["lo"].astype(np.int64), reps["hi"].astype(np.int64)
-    n = lo - hi + 1
-    owner = np.repeat(np.arange(len(first)), n)
-    back = ragged(hi, n)
-    window_least = least[owner]
-    # only anchors with several classes need the sort
     _, key, times = np.unique(reps["key"], return_inverse=True, return_counts=True)
-    several = np.flatnonzero(times[key][owner] > 1)
-    if len(several):
-        flat = np.concatenate((np.ascontiguousarray(reps["around"]).ravel(), np.zeros(8, np.uint8)))
-        eights = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
-        base = owner[several] * AROUND + BEFORE - back[several]
-
-        def digits(j, rows):
-            if 8 * j >= WINDOW:
-                return None
-            at = min(8 * j, WINDOW - 8)  # the last digit overlaps the one before
-            return np.ascontiguousarray(eights[base[rows] + at]).view(">u8").ravel().astype(np.uint64)
-        group = np.unique(key[owner[several]] * 64 + back[several], return_inverse=True)[1]
-        rows, group = radix_groups(digits, group, owner[several])
-        if len(rows):
-            best = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(best, group, window_least[several[rows]])
-            window_least[several[rows]] = best[group]
-    return owner, back, window_least, which
+    alone = times[key] == 1
+    out = np.zeros(int(alone.sum()), CLASS_RUN)
+    out["class"], out["near"], out["far"], out["least"] = np.flatnonzero(alone), reps["hi"][alone], reps["lo"][alone], least[alone]
+    # only anchors with several classes need the sort of their windows
+    mixed = np.flatnonzero(~alone)
+    if not len(mixed):
+        return out, which
+    hi, n = reps["hi"][mixed].astype(np.int64), (reps["lo"][mixed] - reps["hi"][mixed]).astype(np.int64) + 1
+    owner, back = np.repeat(mixed, n), ragged(hi, n)
+    flat = np.concatenate((np.ascontiguousarray(reps["around"]).ravel(), np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
+    base = owner * AROUND + BEFORE - back
+
+    def digits(j, rows):
+        if 8 * j >= WINDOW:
+            return None
+        at = min(8 * j, WINDOW - 8)  # the last digit overlaps the one before
+        return np.ascontiguousarray(eights[base[rows] + at]).view(">u8").ravel().astype(np.uint64)
+    window_least = least[owner]
+    rows, group = radix_groups(digits, key[owner] * 64 + back, owner)
+    if len(rows):
+        best = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, group, window_least[rows])
+        window_least[rows] = best[group]
+    begin = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (window_least[1:] != window_least[:-1]))))
+    end = np.append(begin[1:], len(owner)) - 1
+    more = np.zeros(len(begin), CLASS_RUN)
+    more["class"], more["near"], more["far"], more["least"] = owner[begin], back[begin], back[end], window_least[begin]
+    out = np.concatenate((out, more))
+    return out[np.argsort(out["class"], kind="stable")], which
 
 
 def _split(columns: dict[str, np.ndarray], by: np.ndarray, names: list[str], extra=()):
@@ -326,16 +333,12 @@ def _removed(df, id_col, text_col, show, kind, arrow_kind, name):
         unpacked = {n: [_unpack(r[n], k) for r in rows_] for n, k in (("at", "<u4"), ("records", RECORD), ("docs", np.int64), ("several", bool))}
         part_ = np.repeat([r["part"] for r in rows_], [len(x) for x in unpacked["at"]]).astype(np.int32)
         at, rec, doc, several = (np.concatenate(unpacked[n]) for n in ("at", "records", "docs", "several"))
-        owner, back, least, which = smallest_documents(rec, doc)
-        # runs of windows with one smallest document
-        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])))
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(owner)) - 1
-        runs = np.searchsorted(owner[begin], np.arange(owner.max() + 2))
-        n = np.diff(runs)[which]
-        of, row = ragged(runs[which], n), np.repeat(np.arange(len(rec)), n)
+        found, which = smallest_documents(rec, doc)
+        lo = np.searchsorted(found["class"], which)
+        n = np.searchsorted(found["class"], which, side="right") - lo
+        of, row = ragged(lo, n), np.repeat(np.arange(len(rec)), n)
         run = np.zeros(len(of), RUN)
-        run["at"], run["near"], run["far"], run["least"] = at[row], back[begin][of], back[end][of], least[begin][of]
+        run["at"], run["near"], run["far"], run["least"] = at[row], found["near"][of], found["far"][of], found["least"][of]
         useful = several[row] | (run["least"] < doc[row])
         return _split({"runs": run[useful]}, part_[row][useful], ["runs"]).rename_columns(["part", "runs"])
 
