@@ -58,7 +58,12 @@ def fit_ridge(train: DataFrame, alpha: float):
                             regParam=reg, elasticNetParam=0.0).fit(train)
 
 
+ROWS_A_TASK = 200_000
+
+
 def fit_boosted(train: DataFrame, trees: int, rate: float, depth: int, seed: int = 42, share: float = 0.8):
+    """Boosting runs a few jobs a tree, one tree after the other, so a small frame goes into few tasks."""
+    train = train.coalesce(max(1, -(-train.count() // ROWS_A_TASK)))
     return GBTRegressor(featuresCol="x", labelCol="y", predictionCol="p", maxIter=trees, stepSize=rate, maxDepth=depth,
                         subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed).fit(train)
 
