@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ragged, text_slices
+from .common import WORD_SLICE_BYTES, ragged, text_slices
 
 SHORT = 64
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -315,7 +315,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """``(id, ids)``: the token ids of every text."""
     def run(batches):
         v = vocabulary(path)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=WORD_SLICE_BYTES):
             ids, at = v.encode(data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.ListArray.from_arrays(at.astype(np.int32), ids)], ["id", "ids"])
     kind = df.schema[id_col].dataType.simpleString()
@@ -340,7 +340,7 @@ def encoding_digests(df: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them, in one pass over the texts."""
     def run(batches):
         v = vocabulary(path)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=WORD_SLICE_BYTES):
             ids, at = v.encode(data, offsets)
             back, back_at = v.decode(ids, at)
             raw, back = ids.astype("<u4").tobytes(), back.tobytes()
