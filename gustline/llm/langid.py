@@ -35,8 +35,8 @@ ORDER = 3
 DOCS_PER_LANG = 1500
 MAX_LANGS = 200
 PAIRS = 2048
-LEAST_SCORE = 0.5
-MOST_BITS = 6.0
+LEAST_SCORE = 0.3
+MOST_BITS = 9.0
 
 
 @functools.cache
@@ -253,7 +253,8 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def keep_identified(df: DataFrame, model: Model | None, text_col: str = "text", least_score: float = LEAST_SCORE, most_bits: float = MOST_BITS) -> DataFrame:
     """Rows of ``df`` whose text has a language: letters, a score of at least ``least_score``, at most ``most_bits`` bits a folded byte.
 
-    The second bound rejects letters in an order that no learned language explains. Without a model nothing is rejected but
+    The second bound is a bit more than a byte takes without any model: it rejects letters in an order that no learned language
+    explains, and leaves short texts alone. Without a model nothing is rejected but
     texts without letters.
     """
     shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
