@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import vocabulary
-from .common import stored, text_slices
+from .common import WORD_SLICE_BYTES, stored, text_slices
 
 CAPACITY = 1024
 END_TOKEN = 2
-BLOCK_ROWS = 20000
+BLOCK_ROWS = 1024
 ROUNDS = 400
 TYPICAL_LENGTHS = 420  # lengths that take part in patterns of three, most frequent first
 
@@ -35,7 +35,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """``(doc_id, piece, start, length, ids_crc32)`` and, if asked for, ``ids``; a first piece may be shorter, others are full."""
     def run(batches):
         v = vocabulary(path)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=WORD_SLICE_BYTES):
             ids, at = v.encode(data, offsets)
             ids = np.insert(ids, at[1:], end_token).astype("<u4")
             at = at + np.arange(len(at))
@@ -179,10 +179,10 @@ def slots(packed: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Adds ``rank``, from 0, among the rows of one length; no task sorts more than a block of one length."""
-    blocks = max(1, -(-total // BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+def ranked(rows: DataFrame, h: np.ndarray) -> DataFrame:
+    """Adds ``rank``, from 0, among the rows of one length; a frequent length (``h`` counts them) is cut into blocks by a hash."""
+    blocks = F.lit(np.maximum(1, -(-h // BLOCK_ROWS)).tolist())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(blocks, F.col("length").cast("int"))))
     counts = rows.groupBy("length", "block").count()
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
@@ -208,4 +208,4 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
             new = [pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *new], [*columns, "sequence_id", "offset"])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ranked(rows, int(h.sum())).select(*columns, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked(rows, h).select(*columns, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
