@@ -115,7 +115,7 @@ def op7_simhash_near_duplicates(spark, sf_dir):
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir):
     """What every document keeps when equal and similar lines are removed."""
-    return lines.dedup_digests(_table(spark, sf_dir, "documents"))
+    return lines.dedup_digests(_table(spark, sf_dir, "documents"), radius=None)
 
 
 OP9_SQL = """

@@ -244,6 +244,29 @@ def test_line_dedup_equals_brute_force(spark, corpus):
     assert lines.dedup_digests(table(spark, [])).count() == 0
 
 
+def test_line_dedup_by_edit_similarity_alone(spark, monkeypatch):
+    """One replaced word, short lines with one to four edits, and prose without a partner, against all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(40):
+        w = prose(rng.randint(8, 40), 1000 + k, 400).split()
+        v = list(w)
+        v[rng.randrange(len(v))] = "zzzz"
+        texts += [(k, " ".join(w)), (100 + k, " ".join(v))]
+    for k in range(150):
+        t = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 24))]
+        texts.append((300 + k, "".join(t)))
+        for _ in range(max(1, len(t) // 6)):
+            t[rng.randrange(len(t)) :][:1] = [rng.choice("abcdefgh")]
+            t[rng.randrange(len(t))] = rng.choice("abcdefgh")
+        texts.append((500 + k, "".join(t)))
+    texts += [(900, "and line 1"), (901, "and line 2"), (902, "abcd"), (903, "abcde")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts), radius=None).collect()}
+    monkeypatch.setattr(lines, "RADIUS", 64)
+    assert got == dict(brute_lines(texts))
+    assert sum(got[100 + k] == "" for k in range(40)) > 35 and got[901] == got[903] == ""
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", max_size=40), st.text("abc", max_size=40))
 def test_edit_distance(a, b):
