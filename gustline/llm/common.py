@@ -108,5 +108,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)

@@ -207,6 +207,11 @@ def test_components_of_paths_stars_and_pairs(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_say_when_rounds_run_out(spark):
+    with pytest.raises(RuntimeError, match="did not settle"):
+        common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=2)
+
+
 # fuzzy lines
 
 def brute_lines(texts):
