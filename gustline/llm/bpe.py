@@ -110,10 +110,14 @@ class Vocabulary:
             open_ = open_[~hit & (found != -1)]
         return out
 
+    def first_parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of words of one length before any merge, and the ranks of their adjacent pairs."""
+        return self.byte_id[words], self.byte_ranks[words[:, :-1], words[:, 1:]]
+
     def merge_short(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``words``: bytes of words of one length. Yields (rows, their final parts) as rows finish."""
         rows = np.arange(len(words))
-        parts, ranks = self.byte_id[words], self.byte_ranks[words[:, :-1], words[:, 1:]]
+        parts, ranks = self.first_parts(words)
         while True:
             if ranks.shape[1] == 0:
                 yield rows, parts
@@ -141,11 +145,9 @@ class Vocabulary:
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """The same merges for one long word, smallest rank first, leftmost first, from a heap."""
-        raw = np.frombuffer(word, np.uint8)
-        parts = self.byte_id[raw].tolist()
+        parts, first = (x[0].tolist() for x in self.first_parts(np.frombuffer(word, np.uint8)[None, :]))
         after = [*range(1, len(parts)), -1]
         before = list(range(-1, len(parts) - 1))
-        first = self.byte_ranks[raw[:-1], raw[1:]].tolist()
         heap = [(r, i, parts[i], parts[i + 1]) for i, r in enumerate(first) if r != NONE]
         heapq.heapify(heap)
         ranks, merged = self._rank_of, self.merged
