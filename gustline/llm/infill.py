@@ -86,8 +86,8 @@ def restored(output: pa.Array, form: pa.Array) -> pa.Array:
     shown = pc.if_else(plain, PREFIX + SUFFIX + MIDDLE, output).cast(WIDE)  # plain rows are not taken apart
     rest, middle = (pc.list_element(pc.split_pattern(shown, MIDDLE.encode(), max_splits=1), i) for i in (0, 1))
     found = []
-    for rows, second in ((spm, PREFIX), (pc.invert(spm), SUFFIX)):
-        pair = pc.split_pattern(pc.if_else(rows, rest, pa.scalar((PREFIX + SUFFIX + PREFIX).encode(), WIDE)), second.encode(), max_splits=1)
+    for rows, first, second in ((spm, SUFFIX, PREFIX), (pc.invert(spm), PREFIX, SUFFIX)):
+        pair = pc.split_pattern(pc.if_else(rows, rest, pa.scalar((first + second).encode(), WIDE)), second.encode(), max_splits=1)
         found.append([pc.list_element(pair, 0), pc.list_element(pair, 1)])
     cut = lambda x: pc.binary_slice(x, len(PREFIX)).cast(WIDE)
     (suffix_s, prefix_s), (prefix_p, suffix_p) = found

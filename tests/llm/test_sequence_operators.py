@@ -203,6 +203,11 @@ def test_infill_equals_brute_force_and_comes_back(spark):
     assert {r["form"] for r in made} == {"plain", "psm", "spm"}
 
 
+def test_batches_of_one_form_come_back():
+    for form, output in (("psm", "<P><S><M>"), ("spm", "<S><P><M>"), ("plain", "")):
+        assert infill.restored(pa.array([output] * 300), pa.array([form] * 300)).to_pylist() == [""] * 300
+
+
 def test_infill_of_nothing(spark):
     assert infill.restore(infill.transform(table(spark, []))).collect() == []
 
