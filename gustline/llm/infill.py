@@ -84,15 +84,14 @@ def restored(output: pa.Array, form: pa.Array) -> pa.Array:
     """The texts behind ``output``."""
     plain, spm = pc.equal(form, "plain"), pc.equal(form, "spm")
     shown = pc.if_else(plain, PREFIX + SUFFIX + MIDDLE, output).cast(WIDE)  # plain rows are not taken apart
-    rest, middle = (pc.list_element(pc.split_pattern(shown, MIDDLE.encode(), max_splits=1), i) for i in (0, 1))
+    halves = lambda x, at: [pc.list_element(pc.split_pattern(x, at.encode(), max_splits=1), i) for i in (0, 1)]
+    rest, middle = halves(shown, MIDDLE)
     found = []
     for rows, first, second in ((spm, SUFFIX, PREFIX), (pc.invert(spm), PREFIX, SUFFIX)):
-        pair = pc.split_pattern(pc.if_else(rows, rest, pa.scalar((first + second).encode(), WIDE)), second.encode(), max_splits=1)
-        found.append([pc.list_element(pair, 0), pc.list_element(pair, 1)])
-    cut = lambda x: pc.binary_slice(x, len(PREFIX)).cast(WIDE)
+        moved = pc.if_else(rows, rest, pa.scalar((first + second).encode(), WIDE))
+        found.append(halves(halves(moved, first)[1], second))
     (suffix_s, prefix_s), (prefix_p, suffix_p) = found
-    prefix = pc.if_else(spm, prefix_s, cut(prefix_p))
-    suffix = pc.if_else(spm, cut(suffix_s), suffix_p)
+    prefix, suffix = pc.if_else(spm, prefix_s, prefix_p), pc.if_else(spm, suffix_s, suffix_p)
     return pc.if_else(plain, output.cast(WIDE), _joined(prefix, middle, suffix)).cast(pa.string())
 
 
