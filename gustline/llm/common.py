@@ -62,6 +62,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str = "llm", owner: list | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

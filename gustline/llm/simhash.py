@@ -22,9 +22,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import components, ragged, stored, text_slices
+from .common import components, fresh, ragged, stored, text_slices
 
 SEED = 42
 WORDS = 3
@@ -260,65 +260,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``df`` with one row of each near-duplicate component: the one with the smallest id (of rows sharing it, the smallest text).
-
-    Rows with a null id stay.
+    """``df`` with one row of each group of fingerprints linked within ``radius``: the one with the smallest id (of rows sharing it, the smallest
+    fingerprint, then the smallest text). Rows with one id and unlinked texts are told apart by their fingerprints. Rows with a null id stay.
     """
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    rank = "stays"
-    while rank in df.columns:
-        rank += "_"
-    kept = df.join(stay, id_col, "left_semi").withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
-    return kept.unionByName(df.filter(F.col(id_col).isNull()))
-
-
-def jaccard_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """Edges ``(a, b)`` that connect the ids whose texts have sets of shingles with a Jaccard similarity of at least ``least``.
+    present = df.filter(F.col(id_col).isNotNull())
+    docs = stored(fingerprints(present, id_col, text_col, words), "fingerprints")
+    roots = components(links(docs.select("fp", F.col("fp").alias("id")).distinct(), radius))
+    groups = docs.join(roots.withColumnRenamed("id", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    stay = stored(groups.agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*"), "stay")
+    several = docs.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select(F.col("doc_id").alias(id_col))
+    kept = present.join(stay.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    single = _first_of(kept.join(several, id_col, "left_anti"), [id_col], text_col)
+    mark = fresh(df, "fp")
+    marked = fingerprinted(kept.join(several, id_col, "left_semi"), mark, text_col, words)
+    marked = marked.join(stay.select(F.col("doc_id").alias(id_col), F.col("fp").alias(mark)), [id_col, mark], "left_semi")
+    told_apart = _first_of(marked, [id_col, mark], text_col).drop(mark)
+    return single.unionByName(told_apart).unionByName(df.filter(F.col(id_col).isNull()))
+
+
+def _first_of(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    rank = fresh(df, "rank")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(text_col))).filter(F.col(rank) == 1).drop(rank)
+
+
+def fingerprinted(df: DataFrame, name: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``df`` with the fingerprint of its text as a new column."""
+    columns = df.columns
 
-    Exact prefix filter: two such sets share one of their ``n - ceil(least * n) + 1`` smallest hashes. Equal sets (also those of texts without words)
-    become one point first; buckets with the same members are verified once.
-    """
     def run(batches):
-        for rows, data, offsets in text_slices(batches):
-            h, at = shingle_hashes(data, offsets, words)
-            sets = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            cut = [s[: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1] if len(s) else s for s in sets]
-            arrays = [pa.array([x.view(np.int64) for x in c], pa.list_(pa.int64())) for c in (sets, cut)]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array([xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], pa.string()), *arrays], ["id", "same", "grams", "prefix"])
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets, out = pdf["id"].to_numpy(), [np.asarray(g) for g in pdf["grams"]], []
-        size, label = np.array([len(s) for s in sets]), np.arange(len(pdf))
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            able = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i]) - 1e-9)
-            for j in (np.flatnonzero(able) + i + 1).tolist():
-                if label[i] != label[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= least * (size[i] + size[j] - both) - 1e-9:
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
-                        out.append((ids[i], ids[j]))
-        return pd.DataFrame({"a": [x for x, _ in out], "b": [x for _, x in out]}, dtype="int64")
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = stored(rows.mapInArrow(run, "id long, same string, grams array<long>, prefix array<long>"), "shingles")
-    least_id = sets.groupBy("same").agg(F.min("id").alias("b"))
-    equal = sets.select("same", F.col("id").alias("a")).join(least_id, "same").select("a", "b")
-    points = stored(sets.join(least_id, "same").filter("id = b").select("id", "same", "grams", "prefix").dropDuplicates(["same"]), "sets")
-    shared = points.select("same", F.explode("prefix").alias("h")).groupBy("h").agg(F.array_sort(F.collect_set("same")).alias("members")).filter("size(members) > 1")
-    buckets = shared.select("members").distinct().select(F.sha2(F.concat_ws("", "members"), 256).alias("bucket"), F.explode("members").alias("same"))
-    near = buckets.join(points.select("same", "id", "grams"), "same").groupBy("bucket").applyInPandas(verify, "a long, b long")
-    return equal.filter("a <> b").union(near).distinct()
-
-
-def one_of_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``df`` with one row of each connected group of ``jaccard_links``, chosen as ``one_of_each`` does; rows with a null id stay."""
-    roots = components(jaccard_links(df, id_col, text_col, words, least))
-    gone = roots.filter("id <> root").select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col))
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    rank = "stays"
-    while rank in df.columns:
-        rank += "_"
-    kept = df.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
-    return kept.unionByName(df.filter(F.col(id_col).isNull()))
+        for rows, data, offsets in text_slices(batches, text_col):
+            fp = majority(*shingle_hashes(data, offsets, words))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fp.view(np.int64))], [*columns, name])
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
