@@ -46,6 +46,20 @@ def _classes() -> np.ndarray:
     return table
 
 
+@functools.cache
+def _split_classes() -> np.ndarray:
+    """Classes of all code points as the tokenizers library splits texts; its Unicode tables may be newer than Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    points = np.delete(np.arange(sys.maxunicode + 1, dtype=np.uint32), slice(0xD800, 0xE000))
+    text = points.tobytes().decode("utf-32-le")
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            table[points[a:b]] = kind
+    return table
+
+
 def _byte_letters() -> dict[str, int]:
     """Vocabulary files write a byte as a visible letter: itself, or the next free one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -234,7 +248,7 @@ class Vocabulary:
                 at = text.find(s, at + len(s))
         for a, b, _ in special:
             edge[[a, b]] = True
-        k = _classes()[c]
+        k = _split_classes()[c]
         start = edge[:n].copy()
         if n:
             start[1:] |= k[1:] != k[:-1]

@@ -64,6 +64,10 @@ def _visited(p: Column) -> Column:
     return F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder)
 
 
+def _said(p: Column) -> Column:
+    return F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("<|"), p["kind"], F.lit("|>")))
+
+
 def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """``(conv_id, turn, role, parts)`` to one row per conversation.
 
@@ -73,30 +77,31 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     body = F.array_join(F.transform(parts, _visited), "")
+    said = F.array_join(F.transform(parts, _said), "")
+    attached = F.filter(
+        F.transform(parts, lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"), _is_text(p).alias("is_text"))),
+        lambda a: ~a["is_text"])
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-    rows = rows.select("conv_id", "turn", "role", "parts", head.alias("head"), body.alias("body"))
-    seen = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
+    rows = rows.select("conv_id", "turn", "role", head.alias("head"), body.alias("body"), said.alias("said"), attached.alias("attached"))
+    seen = Window.partitionBy("conv_id").orderBy("turn", "role", "said", "body")
     before = seen.rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + F.lit(len(END))
     rows = rows.select(
-        "conv_id", "role", "head", "body", "parts", F.row_number().over(seen).alias("position"),
+        "conv_id", "role", "head", "body", "attached", F.row_number().over(seen).alias("position"),
         F.coalesce(F.sum(size).over(before), F.lit(0)).alias("at"),
     )
     start = F.col("at") + F.length("head")
     span = F.when(F.col("role") == loss_role, F.struct(start.alias("start"), (start + F.length("body")).alias("end")))
-    attached = F.filter(
-        F.transform("parts", lambda p, i: F.struct(
-            F.col("position").alias("turn"), i.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"),
-            _tokens(p).alias("tokens"), _is_text(p).alias("is_text"))),
-        lambda a: ~a["is_text"])
+    attached = F.transform("attached", lambda a: F.struct(
+        F.col("position").alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
     turn = F.struct("position", F.concat("head", "body", F.lit(END)).alias("shown"), span.alias("span"), attached.alias("attached"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     out = grouped.select(
         "conv_id",
         F.array_join(F.col("turns.shown"), "").alias("formatted"),
         F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss_spans"),
-        F.transform(F.flatten(F.col("turns.attached")), lambda a: a.dropFields("is_text")).alias("attachments"),
+        F.flatten(F.col("turns.attached")).alias("attachments"),
     )
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
     return out.withColumn("expanded_tokens", total)

@@ -10,7 +10,8 @@ Triggers at a block size are a subset of those at half of it, so one pass over t
 
 Defined results: null text counts as empty; the empty text has the fingerprint ``3::``, alike (1.0) only to itself; equal texts have
 equal fingerprints and likeness 1; repeated rows are neighbours of each other; null ids sort first; an empty table gives
-an empty table; other columns are ignored. Whole texts are read; only the signature's length is bounded, by its block size.
+an empty table; other columns are ignored. Whole texts are read. A signature has at most ``LETTERS``
+letters (half of that at twice the block size); a run of equal chunks counts as three, and where more chunks are left at every block size, neighbours are merged evenly.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ LETTERS = 64
 LEAST_LETTERS = 8
 LEAST_BLOCK = 3
 RUN = 7
+RUN_OF_EQUALS = 3
 
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5)]
 _BASE = 0x5851F42D4C957F2D
@@ -100,18 +102,29 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     def signatures(least: np.ndarray, most: int) -> list[str]:
         ok = level >= least[doc]
         end, owner = at[ok] + 1, doc[ok]
-        first = np.searchsorted(owner, np.arange(n))
-        rank = np.arange(len(owner)) - first[owner]
-        keep = (rank < most - 1) & (end < offsets[owner + 1])
+        inner = end < offsets[owner + 1]
         # the rest of a text behind its last boundary is its last chunk
         whole = np.flatnonzero(size > 0)
-        end, owner = np.concatenate((end[keep], offsets[whole + 1])), np.concatenate((owner[keep], whole))
+        end, owner = np.concatenate((end[inner], offsets[whole + 1])), np.concatenate((owner[inner], whole))
         order = np.lexsort((end, owner))
         end, owner = end[order], owner[order]
         start = np.concatenate(([0], end[:-1]))
         chunk = (sums[end] - sums[start]) * inverse[start]
         chunk ^= chunk >> np.uint64(32)
         chunk *= np.uint64(0xD6E8FEB86659FD93)
+        # of a run of equal chunks three say enough
+        again = np.zeros(len(chunk), bool)
+        again[1:] = (chunk[1:] == chunk[:-1]) & (owner[1:] == owner[:-1])
+        again[RUN_OF_EQUALS:] &= again[2:-1] & again[1:-2] if len(again) > RUN_OF_EQUALS else True
+        again[:RUN_OF_EQUALS] = False
+        chunk, owner = chunk[~again], owner[~again]
+        # more chunks than letters: neighbours are merged into as many even groups
+        first = np.searchsorted(owner, np.arange(n + 1))
+        count = np.diff(first)[owner]
+        rank = np.arange(len(owner)) - first[owner]
+        group = np.where(count <= most, rank, rank * most // np.maximum(count, 1))
+        new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])))
+        chunk, owner = np.add.reduceat(chunk, new), owner[new]
         letters = _SHOWN[(chunk >> np.uint64(58)).astype(np.int64)].tobytes().decode("ascii")
         cut = np.searchsorted(owner, np.arange(n + 1))
         return [letters[cut[i] : cut[i + 1]] for i in range(n)]

@@ -11,7 +11,9 @@ Whole texts are always read. The bound on the training sample is ``SAMPLE_DOCS``
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -69,9 +71,11 @@ class Chains:
         return float(self.ratio[triples(word)].sum())
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
+        out, taken = [], sorted(taken)
+        starts, reach = [a for a, _, _ in taken], list(itertools.accumulate((b for _, _, b in taken), max))
         for m in WORD.finditer(text):
-            if any(a < m.end() and m.start() < b for a, _, b in taken):
+            before = bisect.bisect_left(starts, m.end())
+            if before and reach[before - 1] > m.start():
                 continue
             if self.score(m[0]) >= self.threshold:
                 out.append((m.start(), 3, m.end()))

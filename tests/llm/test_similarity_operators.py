@@ -392,3 +392,16 @@ def test_common_subsequence(pairs):
                 row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
         return row[-1]
     assert fingerprints._common(pairs).tolist() == [lcs(a, b) for a, b in pairs]
+
+
+def test_likeness_of_repetitive_texts_sees_all_of_them():
+    unit, rng = "abcdefghijklmnopqrstuvwxyz0123456789-+", random.Random(4)
+    head = unit * 70
+    ends = ["".join(rng.choice(unit) for _ in range(23_000)) for _ in range(2)]
+    a, b = fingerprints._of_texts([head + e for e in ends])
+    assert fingerprints.likeness([a, a], [a, b]).tolist()[0] == 1.0
+    assert fingerprints.likeness([a], [b]).tolist()[0] < 0.5
+    texts = ["".join(rng.choice(unit) for _ in range(rng.choice((30, 60)))) * rng.randint(50, 800) for _ in range(60)]
+    for f in fingerprints._of_texts(texts):
+        _, one, two = f.split(":")
+        assert 0 < len(one) <= fingerprints.LETTERS and 0 < len(two) <= fingerprints.LETTERS // 2

@@ -63,6 +63,11 @@ def test_encoding_equals_the_tokenizer(text):
     assert encoded([text])[0] == _TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_is_encoded_as_by_the_tokenizer(tokenizer):
+    texts = ["a1 " + "".join(chr(c) + "a1 "[c % 3] for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x110000, 64)]
+    assert encoded(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_long_words_and_neighbouring_texts(tokenizer):
     texts = ["a" * 5000 + "b", "'s", "", " lead", "tail ", "ab" * 400 + " xyz", "\n\nend"]
     assert encoded(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
@@ -273,8 +278,25 @@ def test_rejection(spark, model):
     assert [r["doc_id"] for r in kept.collect()] == [1] and "source" in kept.columns
 
 
+def test_added_spans_touch_no_base_span(chains):
+    words = [*secrets.random_strings(40, seed=7), "token=0123456789abcdef01234567", "understanding_documentation_service", "password: hunter2222"]
+    rng = random.Random(3)
+    text = " ".join(rng.choice(words) for _ in range(600))
+    taken = secrets.base_spans(text)
+    want = [(m.start(), 3, m.end()) for m in secrets.WORD.finditer(text)
+            if not any(a < m.end() and m.start() < b for a, _, b in taken) and chains.score(m[0]) >= chains.threshold]
+    assert chains.spans(text, taken) == want and len(want) > 100 and len(taken) > 50
+
+
 # chat
 
+def test_turns_with_one_number_are_ordered_by_text(spark):
+    rows = [(1, 0, "user", t) for t in ("<|", "<z", "\\", "a<|b", "a<z", "[INST]", "[Z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    made = chat.read_back(chat.format_conversations(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))).first()
+    assert [t["text"] for t in made["turns"]] == sorted(r[3] for r in rows)
+
+
 def test_control_strings_come_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>system<|text|>x<|end|>\n", "\\", "\\<\\|", "<<SYS>>", "", None, "<|>", "a\\|b", "[\\INST]", "line\nline"]
     rows = [(1, i, "assistant" if i % 2 else "user", t, 5) for i, t in enumerate(texts)] + [(2, 0, None, "x", 5), (None, 0, "user", "y", 5)]
