@@ -8,7 +8,7 @@ from ..operators import aggregates, clean, series
 from ..plans import models
 from ..session import materialize, scratch
 from ..sources import readers, sinks, tables as src
-from ..streaming import flows
+from ..streaming import flows, state
 from .cleaning import _NORM, _NORM_COLS, _NORM_D, _RAW_SQL, _normalized, _raws
 from .forecasting import _AHEAD, _ONE, _bundle, _one_frame, _one_records, _records
 from .prelude import edge_weight, hav
@@ -136,6 +136,84 @@ def st3_rolling_history(spark, d):
     return _flat_table(spark, f"{out}/records").select("station_id", "timestamp", "pm25", F.size("history").alias("n"), shown.alias("history"))
 
 
+# --- the same on Spark's watermark and state store -------------------------------------------------
+
+def _in_runs(rows, arrival, edges, flow, label):
+    """Several runs of one checkpoint, a run for what arrives between two edges; the output directory and what each batch did."""
+    spark = rows.sparkSession
+    path, out, cp, done = scratch(spark, label), scratch(spark, f"{label}-out"), scratch(spark, "cp"), []
+    at = [F.lit(e).cast("timestamp") for e in edges]
+    for low, high in zip([None, *at], [*at, None]):
+        part = F.lit(True)
+        part = part if low is None else part & (arrival >= low)
+        part = part if high is None else part & (arrival < high)
+        rows.filter(part).write.mode("append").parquet(path)
+        done += state.drain(flow(open_stream(spark, path, rows.schema)), cp, out)
+    return out, done
+
+
+def _delayed(minutes=110):
+    """Arrival up to ``minutes`` behind event time, by the row's id, so runs are out of order but within the watermark."""
+    return F.timestamp_add("MINUTE", F.col("event_id") % minutes, F.col("ts"))
+
+
+_RUNS = ("2024-01-09 10:20:00", "2024-01-20 17:45:00")
+
+
+@query("st2_watermark_collapse", f"""SELECT station_id, source, hour AS timestamp, count(*) AS n, {_COLLAPSE} FROM {_WIDE_SQL}
+WHERE hour <= {_CLOSED} GROUP BY 1, 2, 3""", "pm25|humidity")
+def st2_watermark_collapse(spark, d):
+    """Hours closed by the watermark, from runs whose rows overlap by nearly two hours."""
+    flow = lambda s: state.closed_hours(state.believable(s), ["pm25", "humidity"])
+    out, _ = _in_runs(_wide(spark, d), _delayed(), _RUNS, flow, "watermark")
+    return spark.read.parquet(out)
+
+
+@query("st3_keyed_history", f"""SELECT station_id, hour AS timestamp, pm25, CAST(count(*) OVER ({_W}) AS INT) AS n,
+  array_to_string(list_transform(list(pm25) OVER ({_W}), lambda x: CAST(round(x * 10000) AS BIGINT)), ',') AS history FROM pm""", "pm25")
+def st3_keyed_history(spark, d):
+    """Three runs of one checkpoint; each station's history continues from keyed state."""
+    rows = src.pm(spark, d).withColumnRenamed("hour", "timestamp")
+    out, _ = _in_runs(rows, F.col("timestamp"), _RUNS, state.histories, "keyed")
+    shown = F.array_join(F.transform("history", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return spark.read.parquet(out).select("station_id", "timestamp", "pm25", F.size("history").alias("n"), shown.alias("history"))
+
+
+@query("d3_stream_deliveries", "SELECT event_id, station_id, ts, CASE WHEN qa % 5 <> 0 THEN qa END AS qa, value FROM readings", "value")
+def d3_stream_deliveries(spark, d):
+    """Every third reading is delivered twice, the copy about an hour later and often in another run; a null in the key is equal to another."""
+    rows = src.readings(spark, d).select("event_id", "station_id", "ts", F.when(F.col("qa") % 5 != 0, F.col("qa")).alias("qa"), "value")
+    copies = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(70))).otherwise(F.array(F.lit(0)))
+    rows = materialize(rows.withColumn("delay", F.explode(copies)))
+    flow = lambda s: state.first_deliveries(s.drop("delay"), ["station_id", "event_id", "qa"])
+    out, _ = _in_runs(rows, F.timestamp_add("MINUTE", F.col("delay") + F.col("event_id") % 40, F.col("ts")), _RUNS, flow, "deliveries")
+    return spark.read.parquet(out)
+
+
+@query("j2_stream_weather", f"""SELECT station_id, hour AS timestamp, met_id, age_hours, wind_speed FROM (
+  SELECT pm.station_id, pm.hour, m.met_id, m.wind_speed, datediff('hour', m.hour, pm.hour) AS age_hours,
+    row_number() OVER (PARTITION BY pm.station_id, pm.hour ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn
+  FROM pm JOIN stations s USING (station_id) CROSS JOIN (SELECT DISTINCT met_id FROM met) k
+  ASOF JOIN (SELECT * FROM met WHERE wind_speed > 60) m ON m.met_id = k.met_id AND m.hour <= pm.hour)
+WHERE rn = 1 AND hour <= (SELECT greatest((SELECT max(hour) FROM pm), (SELECT max(hour) FROM met WHERE wind_speed > 60)) - INTERVAL 2 HOUR)""", "wind_speed")
+def j2_stream_weather(spark, d):
+    """Ticks and strong-wind reports, all that the batch query has, as two streams that arrive out of order; ticks behind the watermark come out."""
+    p = src.pm(spark, d).select("station_id", F.col("hour").alias("timestamp"))
+    m = src.met(spark, d).filter("wind_speed > 60")
+    edges = materialize(state.ranked_sources(src.stations(spark, d), m.groupBy("met_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon")), 3))
+    rows = p.withColumn("kind", F.lit("tick")).unionByName(
+        m.select("met_id", F.col("hour").alias("timestamp"), "wind_speed", F.lit("report").alias("kind")), allowMissingColumns=True)
+    jitter = F.pmod(F.xxhash64("station_id", "met_id", "timestamp"), F.lit(100))
+    rows = materialize(rows.withColumn("arrival", F.timestamp_add("MINUTE", jitter, F.col("timestamp"))))
+
+    def flow(s):
+        reports = s.filter("kind = 'report'").select("met_id", "timestamp", "wind_speed").join(edges, "met_id")
+        return state.as_of(s.filter("kind = 'tick'").select("station_id", "timestamp"), reports, ["met_id", "wind_speed"])
+    out, _ = _in_runs(rows, F.col("arrival"), _RUNS, flow, "weather")
+    age = F.timestamp_diff("HOUR", F.col("report_at"), F.col("timestamp"))
+    return spark.read.parquet(out).select("station_id", "timestamp", "met_id", age.alias("age_hours"), "wind_speed")
+
+
 def canonical(spark, d):
     """Single PM readings and weather reports in one measurement stream, several a station and hour, and one from the future."""
     r = src.events(spark, d).select("event_id", F.date_trunc("hour", "ts").alias("timestamp"), F.col("ts").alias("ingested_at"), "user_id", "event_type", "value")
