@@ -470,11 +470,13 @@ def a1_mean_by_time(spark, d):
     return aggregates.mean_by(src.readings(spark, d), ["station_id", "hour", "parameter"])
 
 
-@query("a2_long_to_wide", """SELECT station_id, hour, avg(value) FILTER (WHERE parameter = 'pm25') AS pm25,
-  avg(value) FILTER (WHERE parameter = 'temperature') AS temperature, avg(value) FILTER (WHERE parameter = 'humidity') AS humidity
-FROM readings GROUP BY 1, 2""", "pm25|temperature|humidity")
+_PARAMETERS = ["pm25", "temperature", "humidity", "wind_speed", "wind_dir"]
+
+
+@query("a2_long_to_wide", f"""SELECT station_id, hour, {', '.join(f"avg(value) FILTER (WHERE parameter = '{p}') AS {p}" for p in _PARAMETERS)}
+FROM readings GROUP BY 1, 2""", "|".join(_PARAMETERS))
 def a2_long_to_wide(spark, d):
-    return aggregates.widen(src.readings(spark, d), ["station_id", "hour"], "parameter", "value", ["pm25", "temperature", "humidity"])
+    return aggregates.widen(src.readings(spark, d), ["station_id", "hour"], "parameter", "value", _PARAMETERS)
 
 
 _HOURLY = "(SELECT station_id, hour, avg(value) AS value FROM readings GROUP BY 1, 2)"
@@ -519,14 +521,15 @@ def dt1_floor_hour(spark, d):
     return src.events(spark, d).select("event_id", scalar.utc_hour(text).alias("hour"))
 
 
-@query("dt2_timestamp_from_parts", """SELECT event_id, CASE WHEN dd > 28 AND mm = 2 THEN NULL ELSE make_timestamp(yy, mm, dd, hh, 0, 0) END AS ts FROM
+@query("dt2_timestamp_from_parts", """SELECT event_id, CASE WHEN mm = 2 AND dd > CASE WHEN yy % 4 = 0 AND (yy % 100 <> 0 OR yy % 400 = 0) THEN 29 ELSE 28 END
+  THEN NULL ELSE make_timestamp(yy, mm, dd, hh, 0, 0) END AS ts FROM
   (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 2026 ELSE year(ts) END AS yy, CASE WHEN event_id % 13 = 0 THEN 1 ELSE 2 END AS mm,
-   day(ts) AS dd, CASE WHEN event_id % 17 = 0 THEN 0 ELSE hour(ts) END AS hh FROM events WHERE day(ts) <> 29)""")
+   day(ts) AS dd, CASE WHEN event_id % 17 = 0 THEN 0 ELSE hour(ts) END AS hh FROM events)""")
 def dt2_timestamp_from_parts(spark, d):
+    """Every day of the month as a day of February or January: 29 is a date in a leap year only, 30 and 31 never are in February."""
     i = F.col("event_id")
     blank = lambda c, n: F.when(i % n == 0, "x").otherwise(c.cast("string"))
-    e = src.events(spark, d).filter(F.dayofmonth("ts") != 29)
-    return e.select("event_id", scalar.timestamp_from_parts(
+    return src.events(spark, d).select("event_id", scalar.timestamp_from_parts(
         blank(F.year("ts"), 11), blank(F.lit(2), 13), F.dayofmonth("ts").cast("string"),
         blank(F.date_format("ts", "HH:mm"), 17)).alias("ts"))
 

@@ -94,19 +94,19 @@ def j1_nearest_met(spark, d):
 
 
 @query("j2_nearest_met_as_of", f"""
-SELECT station_id, hour, met_id, age_hours, wind_speed FROM (
-  SELECT pm.station_id, pm.hour, m.met_id, m.wind_speed, datediff('hour', m.hour, pm.hour) AS age_hours,
+SELECT station_id, hour, met_id, age_hours, {', '.join(src.MET_VALUES)} FROM (
+  SELECT pm.station_id, pm.hour, m.* EXCLUDE hour, datediff('hour', m.hour, pm.hour) AS age_hours,
     row_number() OVER (PARTITION BY pm.station_id, pm.hour ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn
   FROM pm JOIN stations s USING (station_id) CROSS JOIN (SELECT DISTINCT met_id FROM met) k
-  ASOF JOIN (SELECT * FROM met WHERE wind_speed > 60) m ON m.met_id = k.met_id AND m.hour <= pm.hour) WHERE rn = 1""", "wind_speed")
+  ASOF JOIN met m ON m.met_id = k.met_id AND m.hour <= pm.hour) WHERE rn = 1""", "|".join(src.MET_VALUES))
 def j2_nearest_met_as_of(spark, d):
-    """Strong-wind reports are rare, so most hours look back to an older report."""
-    m = src.met(spark, d).filter("wind_speed > 60").withColumn("at", F.col("hour"))
+    """The latest report of each weather station, however old, and of these the nearest."""
+    m = src.met(spark, d).withColumn("at", F.col("hour"))
     p = src.pm(spark, d)
-    held = materialize(joins.met_as_of(m, ["wind_speed", "at"], p.select(F.max("hour")).scalar()))
-    out = joins.nearest_met(p, src.stations(spark, d), held, ["wind_speed", "at"])
+    held = materialize(joins.met_as_of(m, [*src.MET_VALUES, "at"], p.select(F.max("hour")).scalar()))
+    out = joins.nearest_met(p, src.stations(spark, d), held, [*src.MET_VALUES, "at"])
     age = F.timestamp_diff("HOUR", F.col("at"), F.col("hour"))
-    return out.filter("met_id IS NOT NULL").select("station_id", "hour", "met_id", age.alias("age_hours"), "wind_speed")
+    return out.filter("met_id IS NOT NULL").select("station_id", "hour", "met_id", age.alias("age_hours"), *src.MET_VALUES)
 
 
 @query("j3_neighbour_readings", """SELECT t.station_id, t.hour, t.pm25, e.src AS neighbor_id, p.pm25 AS neighbor_pm25
@@ -158,15 +158,15 @@ def j8_k_nearest(spark, d):
 
 @query("j9_prediction_with_alert", """
 SELECT station_id, p.ts AS prediction_at, p.v AS forecast, a.ts AS alert_at, a.v AS reading FROM
-  (SELECT station_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS v FROM readings WHERE parameter = 'pm25' AND value >= 190 GROUP BY 1) p
-  FULL OUTER JOIN (SELECT station_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS v FROM readings WHERE parameter = 'humidity' AND value >= 250 GROUP BY 1) a USING (station_id)""",
+  (SELECT station_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS v FROM readings WHERE parameter = 'pm25' GROUP BY 1) p
+  FULL OUTER JOIN (SELECT station_id, max(ts) AS ts, max_by(value, (ts, event_id)) AS v FROM readings WHERE parameter = 'humidity' GROUP BY 1) a USING (station_id)""",
        "forecast|reading")
 def j9_prediction_with_alert(spark, d):
     r = src.readings(spark, d).select("station_id", "ts", "event_id", "value", "parameter")
     latest = lambda x, at, v: clean.latest_per_key(x, ["station_id"], ["ts", "event_id"]).select(
         "station_id", F.col("ts").alias(at), F.col("value").alias(v))
-    return joins.latest_by_station(latest(r.filter("parameter = 'pm25' AND value >= 190"), "prediction_at", "forecast"),
-                                   latest(r.filter("parameter = 'humidity' AND value >= 250"), "alert_at", "reading"))
+    return joins.latest_by_station(latest(r.filter("parameter = 'pm25'"), "prediction_at", "forecast"),
+                                   latest(r.filter("parameter = 'humidity'"), "alert_at", "reading"))
 
 
 @query("a5_wind_diffusion", """SELECT station_id, hour, pm25, upwind_pm25, transport_potential, wind_alignment

@@ -190,28 +190,28 @@ def d3_stream_deliveries(spark, d):
     return spark.read.parquet(out)
 
 
-@query("j2_stream_weather", f"""SELECT station_id, hour AS timestamp, met_id, age_hours, wind_speed FROM (
-  SELECT pm.station_id, pm.hour, m.met_id, m.wind_speed, datediff('hour', m.hour, pm.hour) AS age_hours,
+@query("j2_stream_weather", f"""SELECT station_id, hour AS timestamp, met_id, age_hours, {', '.join(src.MET_VALUES)} FROM (
+  SELECT pm.station_id, pm.hour, m.* EXCLUDE hour, datediff('hour', m.hour, pm.hour) AS age_hours,
     row_number() OVER (PARTITION BY pm.station_id, pm.hour ORDER BY {hav('s.lat', 's.lon', 'm.lat', 'm.lon')}, m.met_id) AS rn
   FROM pm JOIN stations s USING (station_id) CROSS JOIN (SELECT DISTINCT met_id FROM met) k
-  ASOF JOIN (SELECT * FROM met WHERE wind_speed > 60) m ON m.met_id = k.met_id AND m.hour <= pm.hour)
-WHERE rn = 1 AND hour <= (SELECT greatest((SELECT max(hour) FROM pm), (SELECT max(hour) FROM met WHERE wind_speed > 60)) - INTERVAL 2 HOUR)""", "wind_speed")
+  ASOF JOIN met m ON m.met_id = k.met_id AND m.hour <= pm.hour)
+WHERE rn = 1 AND hour <= (SELECT greatest((SELECT max(hour) FROM pm), (SELECT max(hour) FROM met)) - INTERVAL 2 HOUR)""", "|".join(src.MET_VALUES))
 def j2_stream_weather(spark, d):
-    """Ticks and strong-wind reports, all that the batch query has, as two streams that arrive out of order; ticks behind the watermark come out."""
+    """Hours and weather reports as two streams that arrive out of order; an hour gets its weather when the watermark has passed it."""
     p = src.pm(spark, d).select("station_id", F.col("hour").alias("timestamp"))
-    m = src.met(spark, d).filter("wind_speed > 60")
+    m = src.met(spark, d)
     edges = materialize(state.ranked_sources(src.stations(spark, d), m.groupBy("met_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon")), 3))
     rows = p.withColumn("kind", F.lit("tick")).unionByName(
-        m.select("met_id", F.col("hour").alias("timestamp"), "wind_speed", F.lit("report").alias("kind")), allowMissingColumns=True)
+        m.select("met_id", F.col("hour").alias("timestamp"), *src.MET_VALUES, F.lit("report").alias("kind")), allowMissingColumns=True)
     jitter = F.pmod(F.xxhash64("station_id", "met_id", "timestamp"), F.lit(100))
     rows = materialize(rows.withColumn("arrival", F.timestamp_add("MINUTE", jitter, F.col("timestamp"))))
 
     def flow(s):
-        reports = s.filter("kind = 'report'").select("met_id", "timestamp", "wind_speed").join(edges, "met_id")
-        return state.as_of(s.filter("kind = 'tick'").select("station_id", "timestamp"), reports, ["met_id", "wind_speed"])
+        reports = s.filter("kind = 'report'").select("met_id", "timestamp", *src.MET_VALUES).join(edges, "met_id")
+        return state.as_of(s.filter("kind = 'tick'").select("station_id", "timestamp"), reports, ["met_id", *src.MET_VALUES])
     out, _ = _in_runs(rows, F.col("arrival"), _RUNS, flow, "weather")
     age = F.timestamp_diff("HOUR", F.col("report_at"), F.col("timestamp"))
-    return spark.read.parquet(out).select("station_id", "timestamp", "met_id", age.alias("age_hours"), "wind_speed")
+    return spark.read.parquet(out).select("station_id", "timestamp", "met_id", age.alias("age_hours"), *src.MET_VALUES)
 
 
 def canonical(spark, d):

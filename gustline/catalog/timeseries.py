@@ -163,6 +163,14 @@ def w11_sequences(spark, d):
     return _flat(frames.sequences(_seq_input(spark, d), ["pm25", "d"], "pm25", history=4, label_offset=2, block_rows=512))
 
 
+@query("w11_sequences_day", f"""SELECT station_id, ts AS timestamp, label, steps, total, first_x, last_x FROM
+  ({_SEQ.format(label=f'lead(pm25, 2) OVER ({W})').replace("FROM sparse", "FROM daily")}) WHERE rows_in = 24 AND known = 24 AND label IS NOT NULL""", "label|total|first_x|last_x")
+def w11_sequences_day(spark, d):
+    """The registered history of 24 steps, on the series without gaps."""
+    rows = src.daily(spark, d).withColumnsRenamed({"ts": "timestamp"}).withColumn("d", F.dayofmonth("timestamp").cast("double"))
+    return _flat(frames.sequences(rows, ["pm25", "d"], "pm25", history=24, label_offset=2, block_rows=512))
+
+
 @query("w12_sequences_unfiltered", f"""SELECT station_id, ts AS timestamp, label, steps, total, first_x, last_x FROM
   ({_SEQ.format(label='pm25')}) WHERE rows_in = 24""", "label|total|first_x|last_x")
 def w12_sequences_unfiltered(spark, d):
@@ -251,17 +259,21 @@ def f0b_training_table(spark, d):
     return training(spark, d).withColumnsRenamed(_PLAIN).select("station_id", "timestamp", *_TRAIN_COLS)
 
 
-@query("f0a_archive_hours", """SELECT station_id, hour, coalesce(pm25, l0 + (l1 - l0) * (epoch(hour) - epoch(t0)) / nullif(epoch(t1) - epoch(t0), 0), l0, l1) AS pm25 FROM
-  (SELECT s.station_id, s.hour, h.v AS pm25, last_value(h.v IGNORE NULLS) OVER a AS l0, first_value(h.v IGNORE NULLS) OVER b AS l1,
-    last_value(CASE WHEN h.v IS NOT NULL THEN s.hour END IGNORE NULLS) OVER a AS t0,
-    first_value(CASE WHEN h.v IS NOT NULL THEN s.hour END IGNORE NULLS) OVER b AS t1 FROM
+_PARAMETERS = ["pm25", "temperature", "humidity", "wind_speed", "wind_dir"]
+_OPEN = "PARTITION BY station_id ORDER BY hour ROWS BETWEEN"
+_BETWEEN = lambda p: f"""last_value({p} IGNORE NULLS) OVER a AS {p}_l0, first_value({p} IGNORE NULLS) OVER b AS {p}_l1,
+    last_value(CASE WHEN {p} IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS {p}_t0, first_value(CASE WHEN {p} IS NOT NULL THEN hour END IGNORE NULLS) OVER b AS {p}_t1"""
+_FILLED = lambda p: f"coalesce({p}, {p}_l0 + ({p}_l1 - {p}_l0) * (epoch(hour) - epoch({p}_t0)) / nullif(epoch({p}_t1) - epoch({p}_t0), 0), {p}_l0, {p}_l1) AS {p}"
+
+
+@query("f0a_archive_hours", f"""SELECT station_id, hour, {', '.join(map(_FILLED, _PARAMETERS))} FROM (SELECT *, {', '.join(map(_BETWEEN, _PARAMETERS))} FROM
+  (SELECT s.station_id, s.hour, h.* EXCLUDE (station_id, hour) FROM
     (SELECT station_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM readings GROUP BY 1) s
-    LEFT JOIN (SELECT station_id, hour, avg(value) AS v FROM readings WHERE parameter = 'pm25' GROUP BY 1, 2) h
-      ON s.station_id = h.station_id AND s.hour = h.hour
-   WINDOW a AS (PARTITION BY s.station_id ORDER BY s.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-     b AS (PARTITION BY s.station_id ORDER BY s.hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", "pm25")
+    LEFT JOIN (SELECT station_id, hour, {', '.join(f"avg(value) FILTER (WHERE parameter = '{p}') AS {p}" for p in _PARAMETERS)} FROM readings GROUP BY 1, 2) h
+      ON s.station_id = h.station_id AND s.hour = h.hour)
+  WINDOW a AS ({_OPEN} UNBOUNDED PRECEDING AND CURRENT ROW), b AS ({_OPEN} CURRENT ROW AND UNBOUNDED FOLLOWING))""", "|".join(_PARAMETERS))
 def f0a_archive_hours(spark, d):
-    return frames.archive_hours(src.readings(spark, d), ["pm25", "humidity"]).select("station_id", "hour", "pm25")
+    return frames.archive_hours(src.readings(spark, d), _PARAMETERS)
 
 
 @query("w18_prepare_training", f"""SELECT station_id, timestamp, pm25, hour_sin, hour_cos, dow_sin, dow_cos, {', '.join(recipes.LAGS)}
