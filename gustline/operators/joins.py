@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
+from ..session import materialize
 from .ranking import top_per_group
 
 BASE_CELL_M = 1000.0
@@ -104,20 +105,21 @@ def nearest_met(targets: DataFrame, stations: DataFrame, met: DataFrame, values:
     ``targets``: station_id, hour; ``met``: met_id, hour, lat, lon, values, one row per id and hour. A
     report counts at the place it names, so a weather station may move. The ``k`` nearest places of each
     station are found once and their reports joined on (place, hour). Hours at which no report came from
-    any of them are searched among all reports of those hours. No report at all leaves nulls.
+    any of them, if there are such hours, are searched among all reports of those hours. No report at all leaves nulls.
     """
     keys = ["station_id", hour]
     report = F.struct("met_id", *values).alias("_report")
     met = met.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_place", F.concat_ws("|", "lat", "lon"))
     places = met.select("_place", "lat", "lon").distinct()
     static = nearest_k(stations, places, k, "station_id", "_place")
-    close = met.join(static, "_place").groupBy(*keys).agg(F.min_by(report, F.struct("dist_m", "met_id")).alias("_report"))
-    missed = targets.select(*keys).distinct().join(close, keys, "left_anti").join(
-        stations.select("station_id", "lat", "lon"), "station_id")
-    then = met.join(missed.select(hour).distinct(), hour, "left_semi")
-    other = nearest_k(missed, then, 1, "station_id", "met_id", by=[hour]).join(
-        then.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
-    close = close.unionByName(other)
+    close = materialize(met.join(static, "_place").groupBy(*keys).agg(F.min_by(report, F.struct("dist_m", "met_id")).alias("_report")))
+    missed = materialize(targets.select(*keys).distinct().join(close, keys, "left_anti").join(
+        stations.select("station_id", "lat", "lon"), "station_id"))
+    if not missed.isEmpty():
+        then = met.join(missed.select(hour).distinct(), hour, "left_semi")
+        other = nearest_k(missed, then, 1, "station_id", "met_id", by=[hour]).join(
+            then.select("met_id", hour, *values), ["met_id", hour]).select(*keys, report)
+        close = close.unionByName(other)
     return targets.join(close, keys, "left").select("*", "_report.*").drop("_report")
 
 
