@@ -75,14 +75,18 @@ def chronological_split(df: DataFrame, ts: str, key: str, fractions: tuple[float
         .when(up_to(order, F.col("_ends.val")), "val").otherwise("test")).drop("_ends")
 
 
+CELLS = 4096
+
+
 def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float],
                       accuracy: int = 10_000) -> DataFrame:
     """Percentiles with linear interpolation, exact for groups of any size.
 
     One row per group, ``<c>__q`` holding an array aligned with ``probs``. ``percentile`` keeps every
     distinct value of a group in one task's memory. Here a bounded sketch brackets each percentile, a
-    second pass counts the rows below the bracket, and only rows inside it are sorted. If a bracket
-    should miss its rank, the counts show it and the whole range is taken for that percentile.
+    second pass counts the rows below the bracket, the bracket is cut into ``CELLS`` cells whose rows are
+    counted, and only the cells that hold the rank are sorted. If a bracket should miss its rank, the
+    counts show it and the whole range is taken for that percentile.
     """
     by, slack, col = list(by), 2.0 / accuracy, F.col
     data = df.select(*by, F.array(*[F.col("`" + c + "`").cast("double") for c in cols]).alias("_xs"))
@@ -126,8 +130,20 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], pro
         col("_t.b"), lambda s: (col("_x") >= s["lo"]) & (col("_x") <= s["hi"]))).alias("_b"))
     slot = [*by, "_i", col("_b.j").alias("_j")]
     tally = inside.groupBy(*slot, "_x").agg(F.count(F.lit(1)).alias("_rows"), F.first("_b").alias("_b"))
-    running = Window.partitionBy(*by, "_i", "_j").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tally.withColumn("_upto", col("_b.below") + F.sum("_rows").over(running))
+    slot = [*by, "_i", "_j"]
+    # a bracket is cut into even cells; only the cells that hold the two ranks are sorted
+    span, place = col("_b.hi") - col("_b.lo"), col("_x") - col("_b.lo")
+    even = (span > 0) & (span < F.lit(float("inf")))
+    tally = tally.withColumn("_cell", F.when(even, F.floor(F.try_divide(place, span) * CELLS).cast("int")).otherwise(0))
+    upto = Window.partitionBy(*slot).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = tally.groupBy(*slot, "_cell").agg(F.sum("_rows").alias("_rows"), F.first("_b").alias("_b"))
+    cells = cells.withColumn("_end", col("_b.below") + F.sum("_rows").over(upto)).withColumn("_before", col("_end") - col("_rows"))
+    cells = cells.filter((col("_before") <= col("_b.k") + 1) & (col("_end") > col("_b.k")))
+    key = ["_i", "_j", "_cell"]
+    near = cells.select(*[col(c).alias(f"_cell_{c}") for c in [*by, *key]], "_before")
+    same = [col(c).eqNullSafe(col(f"_cell_{c}")) for c in by] + [col(c) == col(f"_cell_{c}") for c in key]
+    running = Window.partitionBy(*by, *key).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tally.join(near, same).withColumn("_upto", col("_before") + F.sum("_rows").over(running))
     reached = lambda more: F.min(F.when(col("_upto") > col("_b.k") + more, col("_x")))
     found = ranked.groupBy(*by, "_i", "_j").agg(reached(0).alias("_x0"), reached(1).alias("_x1"), F.first("_b.frac").alias("_frac"))
     value = col("_x0") + F.when(col("_frac") > 0, (col("_x1") - col("_x0")) * col("_frac")).otherwise(0.0)
