@@ -306,7 +306,7 @@ def snk1_partitioned_upsert(spark, d):
     first = F.minute("ingested_at") < 30
     sinks.upsert_by_date(n.filter(first), path)
     sinks.upsert_by_date(n.filter(~first), path)
-    return spark.read.parquet(path).select("dedup_key", F.col("date").cast("string").alias("date"), *_NORM_COLS[4:])
+    return sinks.read_by_date(spark, path).select("dedup_key", "date", *_NORM_COLS[4:])
 
 
 @query("snk2_latest_state", """SELECT station_id, max(ts) AS timestamp, max_by(value, (ts, event_id)) AS value, max(event_id) FILTER (WHERE false) AS gap

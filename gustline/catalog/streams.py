@@ -324,7 +324,7 @@ def st8_audit_sink(spark, d):
     n = _normalized(spark, d).drop("error")
     path = scratch(spark, "audit")
     flows.drain(open_stream(spark, feed(n, "ingested_at", "measurements", 2), n.schema), scratch(spark, "cp"), flows.audit_to(path))
-    return spark.read.parquet(path).select("dedup_key", F.col("date").cast("string").alias("date"), *_NORM_COLS[4:])
+    return sinks.read_by_date(spark, path).select("dedup_key", "date", *_NORM_COLS[4:])
 
 
 @query("st9_bounded_replay", """SELECT station_id, hour AS timestamp, pm25, CAST(count(*) OVER w AS INT) AS n_history, last_value(pm25) OVER w AS previous

@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import clean
 from ..session import materialize
 
-KINDS = ("predictions", "alerts", "measurements", "history", "readings", "met", "emitted", "open", "clock", "models")
+KINDS = ("predictions", "alerts", "measurements", "history", "readings", "met", "emitted", "open", "clock", "models", "dates")
 # A version is read by the batch after it, and once more if that batch is repeated.
 KEPT_VERSIONS = 3
 
@@ -19,13 +19,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path``, or no rows of its schema if it was never written."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 def keyed(records: DataFrame) -> DataFrame:
     """Records with dedup key and partition date."""
     return records.withColumns({
@@ -33,24 +26,59 @@ def keyed(records: DataFrame) -> DataFrame:
         "date": scalar.partition_date(F.col("timestamp"))})
 
 
-def upsert_by_date(records: DataFrame, path: str, seq: str = "event_id") -> None:
+MANIFEST = T.StructType([T.StructField("date", T.StringType()), T.StructField("v", T.IntegerType())])
+
+
+def upsert_by_date(records: DataFrame, path: str, seq: str = "event_id", version: int | None = None) -> None:
     """Merge records into a table partitioned by date, one row per dedup key, last non-null per column.
 
-    What arrives now counts as later than what is stored. Only the dates that occur in ``records`` are
-    read and rewritten. The merged dates are staged under a new path first, because a partition cannot
-    be overwritten while it is being read.
+    What arrives now counts as later than what is stored. The dates that occur in ``records`` are read, merged and written as
+    ``rows/v=N/date=...``; then one manifest publishes all of them at once, the other dates staying at their versions. Readers
+    (``read_by_date``) see the snapshot before or after, never half of it. An upsert that is repeated under its ``version`` (a stream's batch id)
+    starts from the snapshot before it and replaces itself. One writer at a time.
     """
     spark = records.sparkSession
+    if version is None:
+        version = max(_versions(spark, f"{path}/dates"), default=-1) + 1
     new = materialize(keyed(records))  # read twice: for its dates and for the merge
     dates = [r[0] for r in new.select("date").distinct().collect()]  # bounded by the calendar
     if not dates:
         return
-    stored = read_or_empty(spark, path, new.schema).filter(F.col("date").isin(dates))
+    known = _manifest(spark, path, before=version)
+    stored = _dates(spark, path, {d: v for d, v in known.items() if d in set(dates)}, new.schema)
     both = stored.withColumn("_arrival", F.lit(0)).unionByName(new.withColumn("_arrival", F.lit(1)))
     merged = clean.collapse_same_hour(
         both, order=("_arrival", "ingested_at", seq), keys=("dedup_key", "date", "station_id", "source", "timestamp"))
-    staged = materialize(merged.select(*new.columns))
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    merged.select(*new.columns).write.mode("overwrite").partitionBy("date").parquet(f"{path}/rows/v={version:09d}")
+    publish = spark.createDataFrame([*(known | dict.fromkeys(dates, version)).items()], MANIFEST)
+    write_state(publish.coalesce(1), path, "dates", version)
+    kept = [v for v in _versions(spark, f"{path}/dates") if v <= version]
+    used = {v for at in kept for v in _manifest(spark, path, before=at + 1).values()}
+    for v in _versions(spark, f"{path}/rows"):
+        if v < version and v not in used:
+            _delete(spark, f"{path}/rows/v={v:09d}")
+
+
+def read_by_date(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The newest published snapshot of a table written by ``upsert_by_date``; a filter on ``date`` prunes it."""
+    return _dates(spark, path, _manifest(spark, path), schema)
+
+
+def _manifest(spark: SparkSession, path: str, before: int | None = None) -> dict[str, int]:
+    return {r["date"]: r["v"] for r in read_state(spark, path, "dates", MANIFEST, before).collect()}
+
+
+def _dates(spark: SparkSession, path: str, versions: dict[str, int], schema: T.StructType | None) -> DataFrame:
+    if not versions:
+        if schema is None:
+            raise FileNotFoundError(f"nothing was published under {path}")
+        return spark.createDataFrame([], schema)
+    read = spark.read.option("basePath", f"{path}/rows")
+    if schema is not None:
+        read = read.schema(T.StructType([*schema.fields, T.StructField("v", T.IntegerType())]))
+    folder = lambda d: "__HIVE_DEFAULT_PARTITION__" if d is None else d
+    out = read.parquet(*[f"{path}/rows/v={v:09d}/date={folder(d)}" for d, v in versions.items()]).drop("v")
+    return out.withColumn("date", F.col("date").cast("string")).select(*(out.columns if schema is None else schema.names))
 
 
 def upsert_latest(records: DataFrame, path: str, kind: str, version: int, order=("timestamp", "event_id")) -> str:
@@ -91,11 +119,15 @@ def write_state(df: DataFrame, path: str, kind: str, version: int, keep: int = K
     spark, out = df.sparkSession, f"{path}/{kind}/v={version:09d}"
     df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(out)
     for v in _versions(spark, f"{path}/{kind}")[keep:]:
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/v={v:09d}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        _delete(spark, f"{path}/{kind}/v={v:09d}")
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV parts with headers, written in parallel."""
     df.write.mode("overwrite").csv(path, header=True)

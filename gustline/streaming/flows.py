@@ -258,7 +258,7 @@ def live_state_to(path: str, kind: str, order=("timestamp", "event_id")) -> Call
 
 def audit_to(path: str, seq: str = "event_id") -> Callable[[DataFrame, int], None]:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        sinks.upsert_by_date(batch, path, seq)
+        sinks.upsert_by_date(batch, path, seq, batch_id)
     return sink
 
 

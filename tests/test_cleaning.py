@@ -73,12 +73,41 @@ def test_sink_upserts_per_key_in_its_date(spark):
     sinks.upsert_by_date(measurements(spark, ("a", None, 2.0, None)), path)
     other = measurements(spark, ("a", 4.0, None, None)).withColumn("timestamp", F.lit(datetime(2024, 5, 2, 1)))
     sinks.upsert_by_date(other, path)
-    got = spark.read.parquet(path)
+    got = sinks.read_by_date(spark, path)
     assert rows(got, "station_id", "pm25", "no2") == sorted([("a", 1.0, 2.0), ("a", 4.0, None), ("b", 9.0, None)], key=repr)
     assert {str(r[0]) for r in got.select("date").distinct().collect()} == {"2024-05-01", "2024-05-02"}
     assert got.filter("no2 = 2").first().dedup_key == "a|openaq|2024-05-01T10:00:00+00:00"
 
 
+def test_readers_see_the_snapshot_before_or_after_an_upsert(spark, monkeypatch):
+    path = scratch(spark, "sink")
+    two_days = lambda *r: measurements(spark, *r).unionByName(measurements(spark, *r).withColumn("timestamp", F.lit(datetime(2024, 5, 2, 1))))
+    seen = lambda: rows(sinks.read_by_date(spark, path), "date", "station_id", "pm25", "no2")
+    sinks.upsert_by_date(two_days(("a", 1.0, None, None)), path, version=0)
+    before = seen()
+    with monkeypatch.context() as m:  # both dates are written, the manifest is not
+        m.setattr(sinks, "write_state", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            sinks.upsert_by_date(two_days(("a", 5.0, 2.0, None)), path, version=1)
+    assert seen() == before == [("2024-05-01", "a", 1.0, None), ("2024-05-02", "a", 1.0, None)]
+    for _ in range(2):  # the batch is repeated, then once more
+        sinks.upsert_by_date(two_days(("a", 5.0, 2.0, None)), path, version=1)
+        assert seen() == [("2024-05-01", "a", 5.0, 2.0), ("2024-05-02", "a", 5.0, 2.0)]
+    for v in range(2, 8):
+        sinks.upsert_by_date(measurements(spark, ("b", float(v), None, None)), path, version=v)
+    assert ("2024-05-01", "b", 7.0, None) in seen() and ("2024-05-02", "a", 5.0, 2.0) in seen()
+    assert len(sinks._versions(spark, f"{path}/rows")) <= sinks.KEPT_VERSIONS + 1
+    nothing = sinks.read_by_date(spark, scratch(spark, "none"), sinks.keyed(measurements(spark, ("a", 1.0, None, None))).schema)
+    assert nothing.count() == 0
+
+
+def test_rows_without_a_time_are_kept(spark):
+    path = scratch(spark, "sink")
+    sinks.upsert_by_date(measurements(spark, ("a", 1.0, None, None)).withColumn("timestamp", F.lit(None).cast("timestamp")), path)
+    sinks.upsert_by_date(measurements(spark, ("b", 2.0, None, None)), path)
+    assert rows(sinks.read_by_date(spark, path), "date", "station_id") == [("2024-05-01", "b"), (None, "a")]
+
+
 def test_state_latest_wins_and_missing_is_empty(spark):
     path = scratch(spark, "state")
     df = measurements(spark, ("a", 1.0, None, None), ("a", 2.0, None, None), ("b", 3.0, None, None))
