@@ -260,6 +260,24 @@ def snk6_codec(spark, d):
     return rows.unionByName(count, allowMissingColumns=True)
 
 
+_OLD = "event_id long, station_id string, hour timestamp, qa int, parameter string"
+_NEW = "event_id long, station_id string, hour timestamp, qa long, value double"
+
+
+@query("snk6_schema_versions", """SELECT event_id, station_id, hour, CAST(qa AS BIGINT) AS qa, CASE WHEN event_id % 2 = 0 THEN -1e0 ELSE value END AS value, false AS rejected
+FROM readings WHERE event_id % 7 <> 0 UNION ALL BY NAME SELECT event_id, true AS rejected FROM readings WHERE event_id % 7 = 0""", "value")
+def snk6_schema_versions(spark, d):
+    """Messages under two schemas read as the newer one: a type widened, a field dropped, a field added with a default; every seventh names no known schema."""
+    r, even = src.readings(spark, d), F.col("event_id") % 2 == 0
+    old, new = T.StructType.fromDDL(_OLD), T.StructType.fromDDL(_NEW)
+    said = lambda rows, schema, v: readers.encode(rows.select(*schema.names)).withColumn("schema", F.lit(v)).withColumn("offset", F.get_json_object("value", "$.event_id").cast("long"))
+    messages = said(r.filter(even), old, 1).unionByName(said(r.filter(~even), new, 2))
+    messages = messages.withColumn("schema", F.when(F.col("offset") % 7 == 0, 9).otherwise(F.col("schema")))
+    good, bad = readers.decode_versions(messages, {1: old, 2: new}, new, "readings", {"value": -1.0})
+    rejected = bad.filter("error = 'unknown schema'").select(F.col("offset").alias("event_id"), F.lit(True).alias("rejected"))
+    return good.withColumn("rejected", F.lit(False)).unionByName(rejected, allowMissingColumns=True)
+
+
 @query("snk7_publish_wide", """SELECT 'mock-7570' AS station_id, 'mock' AS source, p.hour AS timestamp, p.pm25, g.no, g.no2, g.nox, g.o3
 FROM pm p JOIN gases g ON p.station_id = g.station_id AND p.hour = g.hour""", "pm25|no|no2|nox|o3")
 def snk7_publish_wide(spark, d):

@@ -168,3 +168,81 @@ def decode(messages: DataFrame, schema: T.StructType, topic: str) -> tuple[DataF
         F.lit(topic).alias("source_topic"), offset.alias("offset"), F.lit("message does not match the schema").alias("error"),
         F.base64(F.col("value").cast("binary")).alias("value_b64"))
     return parsed.filter(~broken).select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields]), bad
+
+
+# The promotions a reader may make of what an older writer wrote.
+WIDER = {"tinyint": ("smallint", "int", "bigint", "float", "double"), "smallint": ("int", "bigint", "float", "double"), "int": ("bigint", "float", "double"),
+         "bigint": ("float", "double"), "float": ("double",), "string": ("binary",), "binary": ("string",)}
+
+
+def incompatibilities(writer: T.DataType, reader: T.DataType, defaults: dict[str, object] | None = None, at: str = "") -> list[str]:
+    """Why ``reader`` cannot read what ``writer`` wrote (backward compatibility); empty if it can.
+
+    A field the writer did not have needs a default or must be nullable, a type may only be widened, a field that may be null must stay so; the writer's other
+    fields are dropped. ``defaults`` names nested fields by their path (``position.lat``). Arrays, maps and structs are compared inside.
+    """
+    here = at or "message"
+    if isinstance(reader, T.StructType) and isinstance(writer, T.StructType):
+        out, known = [], {f.name: f for f in writer.fields}
+        for f in reader.fields:
+            path = f"{at}.{f.name}" if at else f.name
+            if f.name not in known:
+                if not f.nullable and path not in (defaults or {}):
+                    out.append(f"{path}: added without a default")
+                continue
+            if known[f.name].nullable and not f.nullable and path not in (defaults or {}):
+                out.append(f"{path}: may no longer be null")
+            out += incompatibilities(known[f.name].dataType, f.dataType, defaults, path)
+        return out
+    if isinstance(reader, T.ArrayType) and isinstance(writer, T.ArrayType):
+        return incompatibilities(writer.elementType, reader.elementType, defaults, f"{here}[]")
+    if isinstance(reader, T.MapType) and isinstance(writer, T.MapType):
+        return incompatibilities(writer.keyType, reader.keyType, defaults, f"{here} key") + incompatibilities(writer.valueType, reader.valueType, defaults, f"{here} value")
+    old, new = writer.simpleString(), reader.simpleString()
+    return [] if old == new or new in WIDER.get(old, ()) else [f"{here}: {old} cannot be read as {new}"]
+
+
+def _resolved(value: Column, writer: T.DataType, reader: T.DataType, defaults: dict[str, object], at: str = "") -> Column:
+    """``value`` of the writer's type as the reader's: fields by name, missing ones by default, types widened."""
+    if isinstance(reader, T.StructType):
+        known, made = {f.name: f for f in writer.fields}, []
+        for f in reader.fields:
+            path = f"{at}.{f.name}" if at else f.name
+            default = F.lit(defaults.get(path)).cast(f.dataType) if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) else F.lit(None).cast(f.dataType)
+            if f.name not in known:
+                made.append(default.alias(f.name))
+                continue
+            c = _resolved(value[f.name], known[f.name].dataType, f.dataType, defaults, path)
+            made.append((c if f.nullable or path not in defaults else F.coalesce(c, default)).alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*made))
+    if isinstance(reader, T.ArrayType):
+        return F.transform(value, lambda x: _resolved(x, writer.elementType, reader.elementType, defaults, f"{at}[]"))
+    if isinstance(reader, T.MapType):
+        return F.transform_values(value, lambda _, x: _resolved(x, writer.valueType, reader.valueType, defaults, f"{at} value"))
+    return value.cast(reader)
+
+
+def decode_versions(messages: DataFrame, writers: dict[int, T.StructType], reader: T.StructType, topic: str,
+                    defaults: dict[str, object] | None = None, version: str = "schema") -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of JSON messages written under several schemas, named by the column ``version``, as records of ``reader``.
+
+    Every writer's schema is checked first; one that ``reader`` cannot read is refused with all reasons. A message that breaks the schema it names, or names
+    an unknown one, becomes a reject.
+    """
+    defaults = defaults or {}
+    reasons = [f"schema {v}, {r}" for v, w in writers.items() for r in incompatibilities(w, reader, defaults)]
+    if reasons:
+        raise ValueError("; ".join(reasons))
+    record, broken = F.lit(None).cast(reader), F.lit(True)
+    for v, w in writers.items():
+        checked = T.StructType([*w.fields, T.StructField("_bad", T.StringType())])
+        parsed = F.from_json(F.col("value"), checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        ours = F.col(version) == v
+        broken = F.when(ours, parsed.isNull() | parsed["_bad"].isNotNull()).otherwise(broken)
+        record = F.when(ours, _resolved(parsed, w, reader, defaults)).otherwise(record)
+    offset = F.col("offset").cast("long") if "offset" in messages.columns else F.lit(None).cast("long")
+    judged = messages.withColumns({"_broken": broken, "_record": record})
+    known = F.coalesce(F.col(version).isin(list(writers)), F.lit(False))
+    error = F.when(known, "message does not match the schema").otherwise("unknown schema")
+    bad = judged.filter("_broken").select(F.lit(topic).alias("source_topic"), offset.alias("offset"), error.alias("error"), F.base64(F.col("value").cast("binary")).alias("value_b64"))
+    return judged.filter("NOT _broken").select("_record.*"), bad

@@ -227,3 +227,24 @@ def test_old_versions_of_a_state_are_deleted(spark, tmp_path):
     kept = sorted(p.name for p in (tmp_path / "measurements").iterdir())
     assert kept == [f"v={v:09d}" for v in (9, 10, 11)]
     assert rows(sinks.read_state(spark, str(tmp_path), "measurements", batch.schema), "v") == [(11,)]
+
+
+def test_schemas_are_checked_and_resolved(spark):
+    from pyspark.sql import types as T
+    ddl = T.StructType.fromDDL
+    old = ddl("id int, name string, at struct<lat: float, gone: int>, tags array<int>, score float")
+    new = ddl("id bigint, at struct<lat: double, lon: double>, tags array<bigint>, score double, kind string")
+    defaults = {"kind": "plain", "at.lon": 0.5}
+    assert readers.incompatibilities(old, new, defaults) == []
+    assert readers.incompatibilities(new, old) == ["id: bigint cannot be read as int", "at.lat: double cannot be read as float", "tags[]: bigint cannot be read as int", "score: double cannot be read as float"]
+    must = T.StructType([T.StructField("id", T.LongType()), T.StructField("must", T.StringType(), False)])
+    assert readers.incompatibilities(old, must) == ["must: added without a default"] and readers.incompatibilities(old, must, {"must": "x"}) == []
+    with pytest.raises(ValueError, match="schema 1, id: bigint cannot be read as int"):
+        readers.decode_versions(spark.createDataFrame([], "value string, schema int"), {1: new}, old, "t")
+    rows_ = [('{"id": 1, "name": "a", "at": {"lat": 1.5, "gone": 3}, "tags": [1, 2], "score": 2.5}', 1, 10), ('{"id": 5000000000, "at": null, "tags": null, "score": 1.0, "kind": "k"}', 2, 11),
+             ('{"id": ', 1, 12), ('{"id": 1}', 7, 13), (None, 1, 14), ('{"id": 2}', None, 15)]
+    good, bad = readers.decode_versions(spark.createDataFrame(rows_, "value string, schema int, offset long"), {1: old, 2: new}, new, "t", defaults)
+    got = sorted((tuple(r) for r in good.collect()), key=lambda r: r[0])
+    assert good.schema.simpleString() == new.simpleString()
+    assert got == [(1, (1.5, 0.5), [1, 2], 2.5, "plain"), (5_000_000_000, None, None, 1.0, "k")]
+    assert sorted((r["offset"], r["error"]) for r in bad.collect()) == [(12, "message does not match the schema"), (13, "unknown schema"), (14, "message does not match the schema"), (15, "unknown schema")]
