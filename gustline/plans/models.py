@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
+import operator
 import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -271,20 +273,33 @@ def per_horizon(frame: DataFrame, family: str, horizon_recipes: Mapping[int, str
     return out, scored
 
 
+def same_rows(frame: DataFrame, cols: Mapping[str, Sequence[str]]) -> list[list[str]]:
+    """Recipes in groups that keep the same rows when incomplete ones are dropped.
+
+    Rows complete in the columns of all recipes are complete in those of each, so a recipe that keeps as many keeps the same. These share a design matrix, any
+    other recipe has its own. One pass counts for all.
+    """
+    complete = lambda cs: functools.reduce(operator.and_, [F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double")) for c in cs], F.lit(True))
+    every = list(dict.fromkeys(c for cs in cols.values() for c in cs))
+    kept = frame.agg(F.count_if(complete(every)), *[F.count_if(complete(cs)) for cs in cols.values()]).first()  # one row
+    shared = [name for name, n in zip(cols, kept[1:], strict=True) if n == kept[0]]
+    return ([shared] if shared else []) + [[name] for name in cols if name not in shared]
+
+
 def ablation(frame: DataFrame, names: Iterable[str], families: Iterable[str] = ("lr", "rf"), horizons: Iterable[int] = recipes.HORIZONS,
              learner: str = "boosted", overrides: Mapping[str, dict] = {}, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> DataFrame:
     """Metrics of every feature recipe: (feature_set, model, horizon, split, r2, mae, mse, rmse).
 
-    One design matrix a horizon holds the features of all recipes, so all are compared on the same rows: those complete in
-    every feature.
+    Every recipe keeps the rows that are complete in its own features, as if it were trained alone. Recipes that keep the same rows share one
+    design matrix a horizon.
     """
-    cols = {name: clean.select_features(table[name], frame.columns, []) for name in names}
-    every, out = list(dict.fromkeys(c for cs in cols.values() for c in cs)), None
-    for h in horizons:
+    cols, out = {name: clean.select_features(table[name], frame.columns, []) for name in names}, None
+    for h, group in itertools.product(horizons, same_rows(frame, cols)):
+        every = list(dict.fromkeys(c for name in group for c in cols[name]))
         raw = frames.design_matrix(frame, every, h, scale=False)
         scaled = materialize(apply_scaling(raw, scaling_of(raw.filter("split = 'train'"), every)))
-        for name, cs in cols.items():
-            matrix = assemble(scaled, cs)
+        for name in group:
+            matrix = assemble(scaled, cols[name])
             for f in families:
                 model = fit(f, matrix.filter("split = 'train'"), h, learner, **overrides.get(f, {}))
                 s = model.transform(matrix).select(F.lit(name).alias("feature_set"), F.lit(NAMES.get(f, f)).alias("model"), F.lit(h).alias("horizon"), "split", "y", "p")
@@ -297,16 +312,16 @@ def search_ridge(frame: DataFrame, horizons: Iterable[int] = recipes.HORIZONS, n
                  alphas: Iterable[float] = SEARCH_ALPHAS, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> DataFrame:
     """Validation r2 of every penalty and recipe: (horizon, recipe, alpha, trial, val_r2).
 
-    One pass a horizon: the cross products of all recipes' features answer every recipe and penalty. Recipes are compared
-    on the rows that are complete in every feature.
+    Every recipe keeps the rows that are complete in its own features. One pass a horizon for the recipes that keep the same rows: the cross
+    products of their features answer every recipe and penalty.
     """
-    cols = {name: clean.select_features(table[name], frame.columns, []) for name in names}
-    every, rows = list(dict.fromkeys(c for cs in cols.values() for c in cs)), []
-    for h in horizons:
+    cols, rows = {name: clean.select_features(table[name], frame.columns, []) for name in names}, []
+    for h, group in itertools.product(horizons, same_rows(frame, cols)):
+        every = list(dict.fromkeys(c for name in group for c in cols[name]))
         raw = frames.design_matrix(frame, every, h, scale=False)
         g = moments(apply_scaling(raw, scaling_of(raw.filter("split = 'train'"), every)), every)
-        for name, cs in cols.items():
-            at = [every.index(c) for c in cs]
+        for name in group:
+            at = [every.index(c) for c in cols[name]]
             for i, a in enumerate(sorted({*alphas, RIDGE_ALPHA[h]})):
                 r2 = r2_from_moments(g["val"], at, *ridge_from_moments(g["train"], at, a)) if {"train", "val"} <= g.keys() else None
                 rows.append((int(h), name, float(a), i, r2))

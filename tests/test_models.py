@@ -161,3 +161,14 @@ def test_stored_registry(spark):
     models.write_registry(models.registry_table(spark, {1: "lr", 3: "rf"}), path, 0)
     models.write_registry(models.set_active(models.read_registry(spark, path, {1: "ha", 2: "ha"}), "rf", [1]), path, 1)
     assert {r["horizon"]: r["model"] for r in models.read_registry(spark, path, {2: "lr"}).collect()} == {1: "rf", 2: "ha", 3: "rf"}
+
+
+def test_every_recipe_keeps_its_own_complete_rows(spark, frame):
+    own = [c for c in recipes.RECIPES["diffusion9"] if c not in recipes.RECIPES["base6"]][0]
+    holes = frame.withColumn(own, F.when(F.xxhash64("timestamp") % 3 != 0, F.col(own)))
+    cols = {n: list(recipes.RECIPES[n]) for n in ("base6", "diffusion9")}
+    assert models.same_rows(frame, cols) == [["base6", "diffusion9"]] and models.same_rows(holes, cols) == [["diffusion9"], ["base6"]]
+    found = lambda *names: sorted(tuple(r) for r in models.search_ridge(holes, [2], names, [5.0]).filter("alpha = 5.0").select("recipe", "alpha", F.round("val_r2", 9)).collect())
+    assert found("base6", "diffusion9") == sorted(found("base6") + found("diffusion9"))
+    shown = lambda *names: sorted(tuple(r) for r in models.ablation(holes, names, ["lr"], [2]).select("feature_set", "split", F.round("r2", 9), F.round("mae", 9)).collect())
+    assert shown("base6", "diffusion9") == sorted(shown("base6") + shown("diffusion9"))
