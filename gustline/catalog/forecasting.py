@@ -243,3 +243,40 @@ def f4_boosted_one_cut(spark, d):
 @query("f5_forest_one_cut", f"SELECT * FROM {_STUMP}", "y|p")
 def f5_forest_one_cut(spark, d):
     return _stump(spark, d, "forest", trees=1, depth=1, leaf=1, bootstrap=False)
+
+
+# One penalized tree with one cut of the hour of day. {r}, {a}, {l}: rate and penalties.
+_PULL = "greatest(abs({0}) - {a}, 0)"
+_LEAF = "m + {r} * sign({0}) * greatest(abs({0}) - {a}, 0) / ({1} + {l})"
+_CELLS_BY_HOUR = f"""(SELECT cut, any_value(m) AS m, sum(y - m) FILTER (WHERE x <= cut) AS sl, count(*) FILTER (WHERE x <= cut) AS nl,
+  sum(y - m) FILTER (WHERE x > cut) AS sh, count(*) FILTER (WHERE x > cut) AS nh
+  FROM (SELECT hour(hour) AS x, y, avg(y) OVER () AS m FROM {_YSPLIT} WHERE h = 1 AND split = 'train') CROSS JOIN (SELECT unnest(range(23)) AS cut) GROUP BY 1)"""
+_TRIALS = [{"rate": r, "l2": l2, "l1": l1} for r in (0.1, 0.5, 1.0) for l2 in (0.0, 15.0) for l1 in (0.0, 2.0)]
+_ONE_CUT = {"trees": 1, "depth": 1, "columns": 1.0, "least": 1}
+
+
+def _penalized(name, at, r, a, l):
+    """Rows of one horizon scored by the best cut of each ``at``; ``r``, ``a``, ``l`` are numbers or columns of ``name``."""
+    pull, leaf = (lambda s: _PULL.format(s, a=a)), (lambda s, n: _LEAF.format(s, n, r=r, a=a, l=l))
+    return f"""(SELECT s.station_id, s.hour AS timestamp, s.split, s.y, b.trial, CASE WHEN hour(s.hour) <= b.cut THEN b.low ELSE b.high END AS p FROM {_YSPLIT} s,
+  (SELECT trial, cut, {leaf('sl', 'nl')} AS low, {leaf('sh', 'nh')} AS high,
+     row_number() OVER (PARTITION BY trial ORDER BY {pull('sl')} ** 2 / (nl + {l}) + {pull('sh')} ** 2 / (nh + {l}) DESC, cut) AS best
+   FROM {_CELLS_BY_HOUR} CROSS JOIN {at} {name} WHERE nl > 0 AND nh > 0) b WHERE s.h = 1 AND b.best = 1)"""
+
+
+@query("f4_penalized_one_cut", f"SELECT station_id, timestamp, split, y, p FROM {_penalized('o', '(SELECT 0 AS trial)', '0.3e0', '20e0', '50e0')}", "y|p")
+def f4_penalized_one_cut(spark, d):
+    """One tree of one cut with a rate and both leaf penalties, which SQL can find."""
+    return _stump(spark, d, "penalized", rate=0.3, l1=20.0, l2=50.0, **_ONE_CUT)
+
+
+_TRIAL_ROWS = ", ".join(f"({i}, {t['rate']}e0, {t['l1']}e0, {t['l2']}e0)" for i, t in enumerate(_TRIALS))
+
+
+@query("f12_penalized_search_one_cut", f"""SELECT 1 AS horizon, 'hour' AS recipe, trial, 1 - sum((y-p)*(y-p)) / (var_pop(y) * count(y)) AS val_r2
+  FROM {_penalized('o', f'(SELECT * FROM (VALUES {_TRIAL_ROWS}) AS v(trial, rate, l1, l2))', 'rate', 'l1', 'l2')} WHERE split = 'val' GROUP BY trial""", "val_r2")
+def f12_penalized_search_one_cut(spark, d):
+    """Twelve rates and penalties, all grown in the same job."""
+    frame = _one_frame(spark, d).withColumn("hod", F.hour("timestamp").cast("double"))
+    found = models.search_trees(frame, 1, "hour", "penalized", [_ONE_CUT | t for t in _TRIALS], table={"hour": ["hod"]})
+    return found.select("horizon", "recipe", "trial", "val_r2")

@@ -1,4 +1,4 @@
-"""Forecasting models on MLlib: fit, score, evaluate, search, persist, select."""
+"""Forecasting models on MLlib and penalized boosted trees: fit, score, evaluate, search, persist, select."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from ..functions import alerts, scalar
 from ..operators import aggregates, clean
 from ..session import materialize
 from ..sources import sinks
-from . import frames, recipes
+from . import boosting, frames, recipes
 
 # Settings per horizon.
 RIDGE_ALPHA = {1: 0.0, 2: 5.0, 3: 15.0}
@@ -30,6 +30,11 @@ BOOSTED = {
     2: {"trees": 250, "rate": 0.04, "depth": 6},
     3: {"trees": 200, "rate": 0.03, "depth": 5},
 }
+PENALIZED = {
+    1: {"trees": 250, "rate": 0.04, "depth": 6, "l2": 0.0, "l1": 0.0},
+    2: {"trees": 250, "rate": 0.04, "depth": 6, "l2": 1.0, "l1": 0.0},
+    3: {"trees": 200, "rate": 0.03, "depth": 5, "l2": 2.0, "l1": 0.1},
+}
 FOREST = {
     1: {"trees": 40, "depth": 12, "leaf": 1},
     2: {"trees": 60, "depth": 8, "leaf": 4},
@@ -38,6 +43,7 @@ FOREST = {
 # Search spaces.
 SEARCH_ALPHAS = (0.0, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 25.0, 40.0, 60.0)
 SEARCH_BOOSTED = {"rate": (0.01, 0.02, 0.03, 0.04), "depth": (3, 4, 5, 6), "trees": (150, 200, 250, 300, 450)}
+SEARCH_PENALTIES = {"l2": (0.0, 1.0, 2.0, 5.0, 10.0, 15.0), "l1": (0.0, 0.1, 0.5, 1.0, 2.0)}
 BOOSTED_TRIALS, FOREST_TRIALS = 18, 12
 NAMES = {"ha": "Historical Average", "lr": "Linear Regression", "rf": "Gradient Boosting/RF"}
 
@@ -137,6 +143,8 @@ def fit(family: str, train: DataFrame, horizon: int, learner: str = "boosted", *
         return fit_ridge(train, overrides.get("alpha", RIDGE_ALPHA[horizon]))
     if family == "rf" and learner == "boosted":
         return fit_boosted(train, **(BOOSTED[horizon] | overrides))
+    if family == "rf" and learner == "penalized":
+        return boosting.fit(train, **({"columns": 0.8} | PENALIZED[horizon] | overrides))
     if family == "rf":
         return fit_forest(train, **(FOREST[horizon] | overrides))
     raise ValueError(f"Unsupported model family: {family}")
@@ -173,10 +181,12 @@ class Bundle:
     def save(self, path: str, spark: SparkSession) -> None:
         """Each horizon on its own: the model through MLlib, the rest as one JSON row. Other horizons stored there stay."""
         for h, m in self.models.items():
-            if not isinstance(m, Mean):
+            if isinstance(m, boosting.Boosted):
+                spark.createDataFrame(m.to_rows(), boosting.ROWS).write.mode("overwrite").parquet(f"{path}/h{h}")
+            elif not isinstance(m, Mean):
                 PipelineModel([m]).write().overwrite().save(f"{path}/h{h}")
             meta = {"model_type": self.model_type, "target": self.target, "lookback": self.lookback, "features": self.features[h],
-                    "scaling": self.scaling.get(h, {}), "mean": m.value if isinstance(m, Mean) else None, "log_target": self.log_target.get(h, False)}
+                    "scaling": self.scaling.get(h, {}), "mean": m.value if isinstance(m, Mean) else None, "binned": isinstance(m, boosting.Boosted), "log_target": self.log_target.get(h, False)}
             spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{path}/meta/horizon={h}")
 
     @classmethod
@@ -185,7 +195,13 @@ class Bundle:
         for row in spark.read.schema("meta string, horizon int").parquet(f"{path}/meta").orderBy("horizon").collect():  # one row a horizon
             h, meta = row["horizon"], json.loads(row["meta"])
             out = out or cls(meta["model_type"], target=meta["target"], lookback=meta["lookback"])
-            out.models[h] = Mean(meta["mean"]) if meta["mean"] is not None else PipelineModel.load(f"{path}/h{h}").stages[0]
+            if meta["mean"] is not None:
+                out.models[h] = Mean(meta["mean"])
+            elif meta.get("binned"):
+                nodes = spark.read.schema(boosting.ROWS).parquet(f"{path}/h{h}")
+                out.models[h] = boosting.Boosted.from_rows([tuple(r) for r in nodes.collect()])  # bounded by the setting
+            else:
+                out.models[h] = PipelineModel.load(f"{path}/h{h}").stages[0]
             out.features[h], out.log_target[h] = meta["features"], meta["log_target"]
             out.scaling[h] = {f: tuple(v) for f, v in meta["scaling"].items()}
         return out
@@ -346,26 +362,37 @@ def tree_trials(horizon: int, learner: str = "boosted", n: int | None = None, se
     if learner == "boosted":
         base, n = BOOSTED[horizon], n or BOOSTED_TRIALS
         space = {k: sorted({*v, base[k]}) for k, v in SEARCH_BOOSTED.items()}
+    elif learner == "penalized":
+        base, n = PENALIZED[horizon] | {"l1": 0.0}, n or BOOSTED_TRIALS
+        space = {k: sorted({*v, base[k]}) for k, v in (SEARCH_BOOSTED | SEARCH_PENALTIES).items()}
     else:
         base, n = FOREST[horizon], n or FOREST_TRIALS
         near = lambda v, low, *steps: sorted({max(low, v + s) for s in steps})
         space = {"depth": near(base["depth"], 2, -2, 0, 2, 4), "trees": near(base["trees"], 10, -20, 0, 20, 40),
                  "leaf": near(base["leaf"], 1, -2, 0, 2, 4)}
     grid = [dict(zip(space, v)) for v in itertools.product(*space.values())]
-    rest = [g for g in grid if g != base]
-    random.Random(seed).shuffle(rest)
-    return [base, *rest][:n]
+    random.Random(seed).shuffle(grid)
+    return [base, *[g for g in grid if g != base]][:n]
 
 
 def search_trees(frame: DataFrame, horizon: int, name: str, learner: str = "boosted", trials: Sequence[dict] | None = None,
-                 seed: int = 42) -> DataFrame:
-    """Validation r2 per tree setting: (horizon, recipe, setting, trial, val_r2)."""
-    cols = clean.select_features(recipes.RECIPES[name], frame.columns, [])
+                 seed: int = 42, table: Mapping[str, Sequence[str]] = recipes.RECIPES) -> DataFrame:
+    """Validation r2 per tree setting: (horizon, recipe, setting, trial, val_r2).
+
+    Penalized trees of all settings grow in the same jobs; the other learners fit one setting after the other.
+    """
+    cols = clean.select_features(table[name], frame.columns, [])
     matrix, _ = design(frame, cols, horizon)
     train_rows, val = matrix.filter("split = 'train'"), matrix.filter("split = 'val'")
+    trials = trials or tree_trials(horizon, learner, seed=seed)
+    if learner == "penalized":
+        fitted = iter(boosting.fit_many(train_rows, [boosting.Setting(**({"columns": 0.7} | t)) for t in trials], seed))
+    elif learner == "boosted":
+        fitted = (fit_boosted(train_rows, seed=seed, share=0.7, **t) for t in trials)
+    else:
+        fitted = (fit_forest(train_rows, seed=seed, **t) for t in trials)
     out = None
-    for i, t in enumerate(trials or tree_trials(horizon, learner, seed=seed)):
-        model = fit_boosted(train_rows, seed=seed, share=0.7, **t) if learner == "boosted" else fit_forest(train_rows, seed=seed, **t)
+    for i, (t, model) in enumerate(zip(trials, fitted)):
         s = model.transform(val).select(F.lit(json.dumps(t)).alias("setting"), F.lit(i).alias("trial"), "y", "p")
         out = s if out is None else out.unionByName(s)
     m = aggregates.regression_metrics(out, ["setting", "trial"])
