@@ -103,6 +103,8 @@ class Boosted:
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if not self.trees:
+            return df.withColumn("p", F.lit(self.base))
         model, width = self, len(self.edges)
 
         @F.arrow_udf("double")
@@ -136,11 +138,11 @@ ROWS = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("node
 
 
 def bounds(train: DataFrame, width: int) -> list[np.ndarray]:
-    """Upper bounds of the bins of each feature: values at even ranks of its distribution, without its largest."""
+    """Upper bounds of the bins of each feature: values at even ranks of its distribution. Beyond the last are only NaNs."""
     x, ranks = vector_to_array("x"), ", ".join(f"{(i + 1) / BINS!r}D" for i in range(BINS))
     known = train.select(*[F.nanvl(F.get(x, F.lit(j)), F.lit(None)).alias(f"c{j}") for j in range(width)])
     found = known.agg(*[F.expr(f"percentile_approx(c{j}, array({ranks}), {ACCURACY})") for j in range(width)]).first()  # one row
-    return [np.unique(np.array(v or [], dtype=float))[:-1] for v in found]
+    return [np.unique(np.array(v or [], dtype=float)) for v in found]
 
 
 def drawn(hashes: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
