@@ -165,6 +165,14 @@ def f7_forecast_one_feature(spark, d):
         "station_id", "timestamp", "current_pm25", "forecast_pm25", *[F.col("forecasts")[h].alias(h) for h in ("h1", "h2", "h3")])
 
 
+@query("f13_scoring_one_feature", f"SELECT station_id, timestamp, h1 AS forecast_pm25, current_pm25, 'lr' AS model_type FROM {_AHEAD}", "current_pm25|forecast_pm25")
+def f13_scoring_one_feature(spark, d):
+    """Every record of the table scored with a bundle that was stored and read again."""
+    frame, path = _one_frame(spark, d), scratch(spark, "models")
+    models.train(frame, ["lr"], features=_ONE)[0]["lr"].save(path, spark)
+    return models.forecast(_one_records(frame), models.Bundle.load(path, spark)).select("station_id", "timestamp", "forecast_pm25", "current_pm25", "model_type")
+
+
 def _one_records(frame):
     f = frame.withColumn("features", clean.feature_map(_ONE)).select("station_id", "timestamp", "features")
     return series.history(f, ["station_id"], "timestamp", F.col("features"), 24)
@@ -280,3 +288,16 @@ def f12_penalized_search_one_cut(spark, d):
     frame = _one_frame(spark, d).withColumn("hod", F.hour("timestamp").cast("double"))
     found = models.search_trees(frame, 1, "hour", "penalized", [_ONE_CUT | t for t in _TRIALS], table={"hour": ["hod"]})
     return found.select("horizon", "recipe", "trial", "val_r2")
+
+
+_LINE = f"""(SELECT s.split, s.y, k.i + k.s * hour(s.hour) AS p FROM {_YSPLIT} s, (SELECT regr_intercept(y, hour(hour)) AS i,
+  regr_slope(y, hour(hour)) AS s FROM {_YSPLIT} WHERE h = 1 AND split = 'train') k WHERE s.h = 1)"""
+
+
+@query("f10_ablation_both_families", f"""SELECT 'hour' AS feature_set, model, 1 AS horizon, split, {_METRICS} FROM
+  (SELECT 'Linear Regression' AS model, split, y, p FROM {_LINE} UNION ALL
+   SELECT 'Gradient Boosting/RF', split, y, p FROM {_penalized('o', '(SELECT 0 AS trial)', '0.3e0', '2e0', '15e0')}) GROUP BY model, split""", "r2|mae|mse|rmse")
+def f10_ablation_both_families(spark, d):
+    """The hour of day alone, in a linear model and in a penalized tree of one cut."""
+    frame = _one_frame(spark, d).withColumn("hod", F.hour("timestamp").cast("double"))
+    return models.ablation(frame, ["hour"], ["lr", "rf"], [1], "penalized", {"rf": _ONE_CUT | {"rate": 0.3, "l1": 2.0, "l2": 15.0}}, {"hour": ["hod"]})

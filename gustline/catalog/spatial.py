@@ -205,6 +205,27 @@ def e2_dynamic_edges(spark, d):
     return diffusion.dynamic_edges(edges, wind).withColumn("weight", F.col("weight") * 1e4)
 
 
+# the three nearest stations of each, whose edges grow with the stations and not with their square
+_NEAR = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY dist_m, src) AS rn FROM pairs) WHERE rn <= 3)"
+
+
+@query("e1_knn_adjacency", f"""SELECT w.hour, e.src, e.dst, exp(-e.dist_m/1000/10)*(0.5+0.5*greatest(-1, least(1,
+  (e.north*w.wind_u+e.east*w.wind_v)/sqrt(e.north*e.north+e.east*e.east)))) AS weight
+FROM slots w JOIN {_NEAR} e ON e.src = w.station_id""", "weight")
+def e1_knn_adjacency(spark, d):
+    return diffusion.adjacency(diffusion.neighbour_edges(src.stations(spark, d), 3), src.slots(spark, d))
+
+
+@query("e2_knn_dynamic_edges", f"""SELECT w.hour, e.src, e.dst, 1e4 * {edge_weight('dist_m', 'a')} AS weight FROM
+  (SELECT hour, avg(wind_u) AS wind_u, avg(wind_v) AS wind_v FROM targets GROUP BY 1) w CROSS JOIN {_NEAR} e
+  CROSS JOIN LATERAL (SELECT (e.north*w.wind_u+e.east*w.wind_v)/sqrt(e.north*e.north+e.east*e.east) AS a)""", "weight")
+def e2_knn_dynamic_edges(spark, d):
+    """One network of all stations, each with its three nearest."""
+    edges = diffusion.neighbour_edges(src.stations(spark, d), 3).withColumn("network", F.lit("all"))
+    wind = src.targets(spark, d).groupBy(F.lit("all").alias("network"), "hour").agg(F.avg("wind_u").alias("wind_u"), F.avg("wind_v").alias("wind_v"))
+    return diffusion.dynamic_edges(edges, wind).drop("network").withColumn("weight", F.col("weight") * 1e4)
+
+
 @query("e3_knn_edges", """SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist_m, dst) AS rn
 FROM pairs) WHERE rn <= 2""")
 def e3_knn_edges(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import aggregates, clean, joins, ranking, series
+from ..operators import aggregates, clean, diffusion, joins, ranking, series
 from ..plans import frames, recipes
 from ..session import materialize
 from ..sources import tables as src
@@ -177,22 +177,37 @@ def w12_sequences_unfiltered(spark, d):
     return _flat(frames.sequences(_seq_input(spark, d), ["pm25", "d"], "pm25", history=24, skip_nulls=False, block_rows=512))
 
 
-@query("w13_graph_sequences", """SELECT station_id, node_id, timestamp, wind_u, wind_v, label, steps, total, first_x, last_x FROM
+def _graph_sql(edges):
+    return f"""SELECT station_id, node_id, timestamp, wind_u, wind_v, label, steps, total, first_x, last_x FROM
   (SELECT *, lead(x, 2) OVER w AS label, count(*) OVER s AS steps, sum(x + wind_u) OVER s AS total,
     first_value(x) OVER s AS first_x, last_value(x) OVER s AS last_x FROM
     (SELECT t.station_id, t.station_id AS node_id, t.hour AS timestamp, t.pm25 AS x, wind_u, wind_v FROM targets t UNION ALL
-     SELECT t.station_id, e.src, t.hour, coalesce(p.pm25, 0), wind_u, wind_v FROM targets t JOIN pairs e ON e.dst = t.station_id
+     SELECT t.station_id, e.src, t.hour, coalesce(p.pm25, 0), wind_u, wind_v FROM targets t JOIN {edges} e ON e.dst = t.station_id
      LEFT JOIN pm p ON p.station_id = e.src AND p.hour = t.hour)
    WINDOW w AS (PARTITION BY station_id, node_id ORDER BY timestamp),
      s AS (PARTITION BY station_id, node_id ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
-WHERE steps = 24 AND label IS NOT NULL""", "wind_u|wind_v|label|total|first_x|last_x")
-def w13_graph_sequences(spark, d):
+WHERE steps = 24 AND label IS NOT NULL"""
+
+
+def _graph(spark, d, edges):
     t = materialize(src.targets(spark, d).withColumnRenamed("hour", "timestamp").select(
         "station_id", "timestamp", "pm25", "wind_u", "wind_v"))
-    nodes = frames.node_table(t, src.pm(spark, d).withColumnRenamed("hour", "timestamp"), src.pairs(spark, d), {"pm25": "pm25"})
+    nodes = frames.node_table(t, src.pm(spark, d).withColumnRenamed("hour", "timestamp"), edges, {"pm25": "pm25"})
     return _flat(frames.graph_sequences(nodes, ["pm25", "wind_u"], horizon=2))
 
 
+@query("w13_graph_sequences", _graph_sql("pairs"), "wind_u|wind_v|label|total|first_x|last_x")
+def w13_graph_sequences(spark, d):
+    return _graph(spark, d, src.pairs(spark, d))
+
+
+@query("w13_knn_graph_sequences", _graph_sql("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY dist_m, src) AS rn FROM pairs) WHERE rn <= 3)"),
+       "wind_u|wind_v|label|total|first_x|last_x")
+def w13_knn_graph_sequences(spark, d):
+    """Each station with its three nearest, so the samples grow with the stations."""
+    return _graph(spark, d, diffusion.neighbour_edges(src.stations(spark, d), 3))
+
+
 _BEFORE = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
@@ -294,6 +309,18 @@ def p12_neighbour_columns(spark, d):
     return frames.neighbour_columns(own, p, _IDS, {"pm25": "pm25"})
 
 
+_AROUND = {"pm25": "pm25", "wind_u": "wind_u", "wind_v": "wind_v", "temperature": "temperature"}
+_ROUND_COLS = [f"{p}_{i}" for i in _IDS for p in _AROUND.values()]
+
+
+@query("p12_neighbour_weather", f"""SELECT t.station_id, t.hour, {', '.join(f'coalesce(max(p.{c}) FILTER (WHERE p.station_id = {i!r}), 0) AS "{n}_{i}"' for i in _IDS for c, n in _AROUND.items())}
+FROM targets t LEFT JOIN targets p ON p.hour = t.hour GROUP BY 1, 2""", "|".join(_ROUND_COLS))
+def p12_neighbour_weather(spark, d):
+    """Readings, wind and temperature of the listed stations beside every station's hours."""
+    t = materialize(src.targets(spark, d))
+    return frames.neighbour_columns(t.select("station_id", "hour"), t, _IDS, _AROUND)
+
+
 def design_sql(features, h):
     logged = {n for c in scalar.LOG_SKEWED for n in (c, *[f"{c}_lag{k}" for k in scalar.LAGS], *[f"{c}_roll{r}_mean" for r in scalar.ROLLS])}
     x = lambda f: f'ln(1 + greatest("{f}", 0))' if f in logged else f'"{f}"'

@@ -307,7 +307,8 @@ def cuts_in(cells: pa.Table, live: Sequence[tuple], settings: Sequence[Setting],
         s, mine = settings[t], np.flatnonzero(col["t"] == t)
         at = np.searchsorted(nodes, col["node"][mine]), np.searchsorted(cols, col["f"][mine]), col["b"][mine]
         g, n = np.zeros((2, len(nodes), len(cols), BINS + 1))
-        g[at], n[at] = col["g"][mine] / scale, col["n"][mine]
+        np.add.at(g, at, col["g"][mine] / scale)  # a file of several row groups may have been read by several tasks
+        np.add.at(n, at, col["n"][mine])
         gl, nl = g.cumsum(axis=2), n.cumsum(axis=2)
         gs, ns = gl[..., -1:], nl[..., -1:]
         worth = lambda g, n: (p := np.maximum(np.abs(g) - s.l1, 0.0)) * p / (n + s.l2)

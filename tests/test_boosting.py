@@ -1,6 +1,7 @@
 """Penalized boosted trees against a plain version that grows the best leaf first, one row set at a time."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import types as T
@@ -93,6 +94,15 @@ def test_tasks_scores_and_place_of_comparison_do_not_matter(spark, data, monkeyp
         np.testing.assert_allclose(a.predict(x), b.predict(x), atol=1e-9)
 
 
+def test_cells_of_several_tasks_add_up():
+    s, live = [Setting(1, 1.0, 1, least=1)], [(0, None, 0, 0, [0], [0, 2], 1.0)]
+    cell = lambda f, b, g, n: {"t": 0, "node": 0, "f": f, "b": b, "g": g, "n": n}
+    once = [cell(0, 1, -8.0, 4.0), cell(0, 3, 8.0, 4.0), cell(2, 0, -1.0, 4.0), cell(2, 9, 1.0, 4.0)]
+    halves = [c | {"g": c["g"] / 2, "n": c["n"] / 2} for c in once for _ in range(2)]
+    want = {0: {0: (0, 1, 2.0, -2.0, 4.0, 0.0, 8.0)}}
+    assert boosting.cuts_in(pa.Table.from_pylist(once), live, s, 4.0) == want == boosting.cuts_in(pa.Table.from_pylist(halves), live, s, 4.0)
+
+
 def test_shares(data):
     h = np.arange(100_000, dtype=np.int64) * 7919
     one, two = boosting.drawn(h, 42, 0, 0.7), boosting.drawn(h, 42, 1, 0.7)
