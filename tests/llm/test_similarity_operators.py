@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +207,6 @@ def brute_lines(texts):
         return " ".join("".join(keep).split())
     occurrences = [(i, k, normal(x)) for i, t in texts if t is not None and i is not None for k, x in enumerate(t.split("\n")) if normal(x)]
     names = sorted({n for _, _, n in occurrences})
-    data, offsets = common.text_bytes(pa.array(names, pa.string()))
-    fp = lines.Lines(data, offsets).fp
     parent = {n: n for n in names}
 
     def root(x):
@@ -216,7 +215,7 @@ def brute_lines(texts):
         return x
     for i, a in enumerate(names):
         for j, b in enumerate(names[:i]):
-            if (int(fp[i]) ^ int(fp[j])).bit_count() <= lines.RADIUS and 1 - levenshtein(a, b) / max(len(a), len(b)) >= lines.SIMILARITY:
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9 and 1 - lines.edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
                 parent[root(a)] = root(b)
     first = {}
     for i, k, n in occurrences:
@@ -256,7 +255,7 @@ def test_line_dedup_equals_brute_force(spark, corpus):
     assert lines.dedup_digests(table(spark, [])).count() == 0
 
 
-def test_line_dedup_by_edit_similarity_alone(spark, monkeypatch):
+def test_line_dedup_by_edit_similarity_alone(spark):
     """One replaced word, short lines with one to four edits, and prose without a partner, against all pairs."""
     rng = random.Random(11)
     texts = []
@@ -273,8 +272,7 @@ def test_line_dedup_by_edit_similarity_alone(spark, monkeypatch):
             t[rng.randrange(len(t))] = rng.choice("abcdefgh")
         texts.append((500 + k, "".join(t)))
     texts += [(900, "and line 1"), (901, "and line 2"), (902, "abcd"), (903, "abcde")]
-    got = {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts), radius=None).collect()}
-    monkeypatch.setattr(lines, "RADIUS", 64)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts)).collect()}
     assert got == dict(brute_lines(texts))
     assert sum(got[100 + k] == "" for k in range(40)) > 35 and got[901] == got[903] == ""
 
@@ -285,13 +283,84 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == levenshtein(a, b)
 
 
-def test_pigeonhole_keys_find_every_close_pair():
+def some_lines(texts):
+    data, offsets = common.text_bytes(pa.array(["\n".join(texts)], pa.string()))
+    return lines.Lines(data, offsets)
+
+
+def shared_keys(a, b):
+    row, key = lines.block_keys(some_lines([a, b]), np.arange(2), 0.8)
+    return set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_changed_words_alter_only_their_own_blocks():
+    """Blocks that neither lose nor gain a word are the same in both lines, wherever the words stand."""
     rng = random.Random(2)
-    masks = [int(m) for m in lines._tables(lines.BLOCKS, lines.RADIUS)]
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a ^ sum(1 << k for k in rng.sample(range(64), lines.RADIUS))
-        assert any(a & m == b & m for m in masks)
+    for k in range(200):
+        w = [f"word{rng.randrange(10**6)}" for _ in range(rng.choice((40, 90, 300)))]
+        v = list(w)
+        for i in rng.sample(range(len(v)), rng.randint(1, 4)):
+            v[i] = f"other{rng.randrange(10**6)}"
+        rng.shuffle(v)
+        assert shared_keys(" ".join(w), " ".join(v))
+    assert not shared_keys(" ".join(w), " ".join(f"else{i}" for i in range(300)))
+    assert shared_keys("the " * 60 + "end", "the " * 60 + "stop") and not shared_keys("ab " * 4, "ab " * 11)
+
+
+def test_recall_of_edited_lines():
+    """Lines of 30 to 900 characters with a part of their words replaced."""
+    rng, found, similar = random.Random(4), 0, 0
+    for k in range(300):
+        w = prose(rng.randint(6, 140), 5000 + k, 800).split()
+        v = list(w)
+        for i in rng.sample(range(len(v)), max(1, len(v) * rng.choice((5, 10, 15)) // 100)):
+            v[i] = "zz" + v[i - 1]
+        a, b = " ".join(w), " ".join(v)
+        if lines.similar(a, b, 0.8):
+            similar += 1
+            found += bool(shared_keys(a, b))
+    assert similar > 200 and found >= 0.9 * similar
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["alpha beta gamma delta ", "one two three four five ", "x", "yy ", "0123456789abcdefghijk"]), max_size=12), st.lists(st.integers(0, 200), max_size=5))
+def test_anchored_distance_is_never_below_the_exact_one(parts, cuts):
+    a = "".join(f"{p}{i}" for i, p in enumerate(parts)) + "." * 20
+    b = a
+    for c in cuts:
+        b = b[: c % len(b)] + "#" * (c % 3) + b[c % len(b) + c % 7 :] + "." * 20
+    got = lines.anchored_distance(a, b, 10**9)
+    assert got >= levenshtein(a, b)
+    assert lines.anchored_distance(a, a, 10**9) == 0
+
+
+def test_long_similar_lines_are_decided_quickly():
+    a = prose(16000, 1, 3000).split()
+    b = [w if i % 40 else w + "q" for i, w in enumerate(a)]
+    started = time.perf_counter()
+    assert lines.similar(" ".join(a), " ".join(b), 0.8)
+    assert time.perf_counter() - started < 2
+    assert lines.anchored_distance(" ".join(a[:600]), " ".join(b[:600]), 10**9) == lines.edit_distance(" ".join(a[:600]), " ".join(b[:600]))
+
+
+def test_large_buckets_are_compared_in_pieces(spark, monkeypatch):
+    """Two hundred versions of a line in one bucket, pieces of eight, against all pairs."""
+    monkeypatch.setattr(lines, "MEMBERS", 8)
+    texts = [(k, f"item {k // 20} {k % 20:02d}") for k in range(200)] + [(300 + k, prose(30, 7, 50) + f" tail {k}") for k in range(40)]
+    pieces = list(lines._in_pieces(np.zeros(20, np.uint64), np.arange(20, dtype=np.uint64), np.ones(20, bool), np.array([0]), np.array([20])))
+    met = set()
+    for name in {int(b[0]) for b, _, _ in pieces if len(b)}:
+        rows = [(int(x), int(r)) for b, low, role in pieces for bb, x, r in zip(b, low, role, strict=True) if int(bb) == name]
+        met |= {(x, y) for x, r in rows for y, q in rows if x < y and (r == q == 1 or (r ^ q) & 6)}
+    assert met == {(x, y) for y in range(20) for x in range(y)}
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts)).collect()} == dict(brute_lines(texts))
+
+
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    line = "a line of words that two documents share"
+    rows = [(1, f"{line}\nof its own entirely"), (2, f"first here\n{line}"), (2, "nothing else\nwhollydifferent zebra quartz"), (2, f"first here\n{line}")]
+    got = sorted(r["text"] for r in lines.dedup(table(spark, rows)).collect())
+    assert got == sorted([rows[0][1], "first here", rows[2][1], "first here"])
 
 
 # top-k
