@@ -293,6 +293,15 @@ def shared_keys(a, b):
     return set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé\U00010348", max_size=150), st.text("abcé\U00010348", max_size=150)), min_size=1, max_size=8))
+def test_edit_distances_of_many_pairs(pairs):
+    assert lines.edit_distances(pairs).tolist() == [levenshtein(*p) for p in pairs]
+    assert all(lines.word_distance(a.split("c"), b.split("c"), 10**9) >= levenshtein(" ".join(a.split("c")), " ".join(b.split("c"))) for a, b in pairs)
+    many = [*pairs, *[(a + b, b + a) for a, b in pairs]] * 20
+    assert lines.similar_pairs(many, 0.8).tolist() == [lines.similar(*p, 0.8) for p in many]
+
+
 def test_changed_words_alter_only_their_own_blocks():
     """Blocks that neither lose nor gain a word are the same in both lines, wherever the words stand."""
     rng = random.Random(2)
