@@ -296,7 +296,10 @@ def shared_keys(a, b):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.text("abcé\U00010348", max_size=150), st.text("abcé\U00010348", max_size=150)), min_size=1, max_size=8))
 def test_edit_distances_of_many_pairs(pairs):
-    assert lines.edit_distances(pairs).tolist() == [levenshtein(*p) for p in pairs]
+    exact = [levenshtein(*p) for p in pairs]
+    assert lines.edit_distances(pairs).tolist() == exact
+    for limit in (0, 3, 30, 90):
+        assert lines.edit_distances(pairs, np.full(len(pairs), limit + 0.5)).clip(max=limit + 1).tolist() == [min(d, limit + 1) for d in exact]
     assert all(lines.word_distance(a.split("c"), b.split("c"), 10**9) >= levenshtein(" ".join(a.split("c")), " ".join(b.split("c"))) for a, b in pairs)
     many = [*pairs, *[(a + b, b + a) for a, b in pairs]] * 20
     assert lines.similar_pairs(many, 0.8).tolist() == [lines.similar(*p, 0.8) for p in many]
