@@ -45,7 +45,8 @@ def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, rows: int = BLOCK_R
     cells = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_n")).select(*keys, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     cells = cells.withColumn(name, F.floor(F.col("_off") / rows))
     cells = cells.withColumn(f"{name}_from", F.min("_off").over(Window.partitionBy(*keys, name))).drop("_off")
-    return df.join(cells, [*keys, cell]).drop(cell)
+    # As many cells as rows where hours are single rows; a stored table's size tells little of its rows, so no broadcast by it.
+    return df.join(cells.hint("merge"), [*keys, cell]).drop(cell)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (), block_rows: int = BLOCK_ROWS, name: str = "pos") -> DataFrame:
@@ -147,7 +148,7 @@ def with_known(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[st
             new[f"{c}__prev"] = F.last(known[c], True).over(to_here)
         if ahead:
             new[f"{c}__next"] = F.first(known[c], True).over(from_here)
-    out = df.withColumns(new).join(carry, blk)
+    out = df.withColumns(new).join(carry.hint("merge"), blk)
     merged = {}
     for c in cols:
         if back:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gustline.operators import aggregates, series
 from gustline.plans import frames
+from gustline.session import materialize
 
 N = 900
 SPAN = 86400 * 10
@@ -125,3 +126,14 @@ def test_a_busy_day_is_many_blocks(spark):
     pos = series.with_position(busy.unionByName(calm), ["k"], "ts", ["v"], block_rows=500).filter("k = 'busy'")
     assert [r["v"] for r in pos.orderBy("pos").select("v").collect()] == [float(i) for i in range(9000)]
     assert [r["pos"] for r in pos.orderBy("pos").select("pos").collect()] == list(range(9000))
+
+
+def test_hours_of_a_small_file_are_not_broadcast(spark):
+    """Many rows may be few bytes in a file: one constant column, one null, hours that follow each other."""
+    stored = materialize(spark.range(20_000).select(
+        F.lit("a").alias("k"), F.timestamp_add("HOUR", "id", F.timestamp_seconds(F.lit(0))).alias("ts"), F.when(F.col("id") % 1000 == 0, 1.0).alias("v")))
+    out = series.last_known_before(stored, ["k"], "ts", "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert all("LeftOuter" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)  # those of crowded hours, few by their count
+    assert out.agg(F.count("*"), F.count("last_value"), F.max("gap_hours")).first() == (20_000, 19_999, 1000.0)
