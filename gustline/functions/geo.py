@@ -15,6 +15,11 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return 2.0 * EARTH_RADIUS_M * F.asin(F.sqrt(chord))
 
 
+def arc_m(chord_m) -> Column:
+    """Great-circle distance of points whose straight distance is ``chord_m``."""
+    return 2.0 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), chord_m / (2.0 * EARTH_RADIUS_M)))
+
+
 def north_east_m(lat1, lon1, lat2, lon2) -> tuple[Column, Column]:
     """Displacement (north, east) in metres from point 1 to point 2, flat at the mean latitude."""
     north = EARTH_RADIUS_M * F.radians(lat2 - lat1)

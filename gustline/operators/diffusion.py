@@ -76,6 +76,7 @@ def knn_edges(stations: DataFrame, k: int = 3) -> DataFrame:
 
     Stations without coordinates have none.
     """
+    stations = materialize(stations.select("station_id", "lat", "lon"))
     near = joins.nearest_k(stations, stations, k, "station_id", "station_id", exclude_self=True)
     at = lambda key, n: stations.select(F.col("station_id").alias(key), F.col("lat").alias(f"la{n}"), F.col("lon").alias(f"lo{n}"))
     placed = near.withColumnsRenamed({"station_id": "src", "neighbor_id": "dst"}).join(at("src", 1), "src").join(at("dst", 2), "dst")
@@ -88,6 +89,7 @@ def neighbour_edges(stations: DataFrame, k: int = 3) -> DataFrame:
 
     Their number grows with the stations, not with the square. Co-located stations are no neighbours.
     """
+    stations = materialize(stations.select("station_id", "lat", "lon"))
     e = knn_edges(stations, k).filter("dist_m > 0")
     at = lambda key, n: stations.select(F.col("station_id").alias(key), F.col("lat").alias(f"la{n}"), F.col("lon").alias(f"lo{n}"))
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist_m").join(at("src", 1), "src").join(at("dst", 2), "dst")

@@ -19,6 +19,9 @@ BASE_CELL_M = 1000.0
 LEVELS = 15  # 1 km, 2 km, ... 16,384 km: the last spans the globe
 FINE_LEVELS = 10  # 500 m down to 1 m, only around kilometre cells that hold many points
 DENSE = 32  # a cell with so many times the points asked for is searched at the fine levels too
+BOUNDED = 12  # levels whose cubes are too small to hold both the earth's centre and a point on its surface
+QUERIES = 4096  # points that one task looks for at a time
+FEW = 16_384  # queries and points up to which Spark chooses joins and tasks by the size of their rows
 _CUBE = ["_x", "_y", "_z"]
 
 
@@ -63,13 +66,16 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     ``k`` points bounds the distance of the k-th neighbour by the cube's diagonal, and the 27 cubes of
     twice that size contain everything closer. So queries in dense places look at small cubes and
     remote ones at large cubes; crowded kilometres and those around them are cut down to a metre. Of points at one and the same place only the first ``k`` ids can be
-    answers, so copies of a place do not multiply.
+    answers, so copies of a place do not multiply. Points beyond that diagonal are dropped before any are ranked.
+
+    Queries and points are stored, because several steps read them. Each brings many more rows than its own, so beyond ``FEW`` of them
+    tasks follow the number of queries and no side is broadcast, small as their files may be.
     """
     by, need = list(by), k + int(exclude_self)
     usable = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     pts = points.filter(usable).select(*by, F.col(point_id).alias("_pid"),
                                        F.col(lat).alias("_pla"), F.col(lon).alias("_plo"))
-    pts = top_per_group(pts, [*by, "_pla", "_plo"], [F.col("_pid")], need)
+    pts = materialize(top_per_group(pts, [*by, "_pla", "_plo"], [F.col("_pid")], need))
     size = lambda level: F.lit(BASE_CELL_M) * F.pow(F.lit(2.0), level)
     cubes = lambda la, lo: [c.alias(n) for n, c in zip(_CUBE, geo.cell(F.col(la), F.col(lo), size(F.col("_level"))))]
     kilometre = pts.withColumn("_level", F.lit(0)).select("*", *cubes("_pla", "_plo"))
@@ -81,16 +87,28 @@ def nearest_k(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     levels = F.explode(F.sequence(F.lit(-FINE_LEVELS), F.lit(LEVELS - 1))).alias("_level")
     at = [*by, "_level", *_CUBE]
     dense = leveled.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= need).drop("_n")
-    qs = queries.filter(usable).select(*by, F.col(query_id).alias("_qid"),
-                                       F.col(lat).alias("_qla"), F.col(lon).alias("_qlo"))
+    qs = materialize(queries.filter(usable).select(*by, F.col(query_id).alias("_qid"),
+                                                   F.col(lat).alias("_qla"), F.col(lon).alias("_qlo")))
+    n_queries = qs.count()
+    ids = pts.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    known = ids.agg(F.sum("_n").alias("n"), F.max(F.when(F.col("_pid").isNull(), 2).otherwise(F.col("_n"))).alias("most")).first()
+    many = max(n_queries, known["n"] or 0) > FEW
+    single = not exclude_self or (known["most"] or 0) < 2  # an id at several places may leave fewer others in a cube than counted
+    shuffled = lambda df: df.hint("merge") if many else df
     own = qs.select("*", levels).select("*", *cubes("_qla", "_qlo"))
-    scale = own.join(dense.withColumn("_dense", F.lit(True)), at, "left").groupBy(*by, "_qid", "_qla", "_qlo").agg(
+    scale = own.join(shuffled(dense.withColumn("_dense", F.lit(True))), at, "left").groupBy(*by, "_qid", "_qla", "_qlo").agg(
         F.min(F.when(F.col("_dense"), F.col("_level"))).alias("_fit"))
-    probes = scale.withColumn("_level", F.coalesce(F.least(F.col("_fit") + 1, F.lit(LEVELS - 1)), F.lit(LEVELS - 1)))
-    probes = probes.select(*by, "_qid", "_qla", "_qlo", "_level", F.inline(
+    diagonal = size(F.col("_fit")) * F.lit(3.0 ** 0.5)
+    reach = geo.arc_m(diagonal) * F.lit(1 + 1e-9) + F.lit(1e-3)  # and the rounding of coordinates
+    probes = scale.withColumns({"_level": F.coalesce(F.least(F.col("_fit") + 1, F.lit(LEVELS - 1)), F.lit(LEVELS - 1)),
+                                "_reach": F.when((F.col("_fit") < BOUNDED) & F.lit(single), reach)})
+    probes = probes.select(*by, "_qid", "_qla", "_qlo", "_reach", "_level", F.inline(
         _around(geo.cell(F.col("_qla"), F.col("_qlo"), size(F.col("_level"))))))
-    found = probes.join(leveled, at).withColumn(
+    if many:
+        probes = probes.repartition(-(-n_queries // QUERIES) or 1, *at)
+    found = probes.join(shuffled(leveled), at).withColumn(
         "dist_m", geo.haversine_m(*[F.col(c) for c in ("_qla", "_qlo", "_pla", "_plo")]))
+    found = found.filter(F.col("_reach").isNull() | F.isnan("dist_m") | (F.col("dist_m") <= F.col("_reach"))).select(*by, "_qid", "_pid", "dist_m")
     if exclude_self:
         found = found.filter(F.col("_qid") != F.col("_pid"))
     best = top_per_group(found, [*by, "_qid"], [F.col("dist_m"), F.col("_pid")], k)

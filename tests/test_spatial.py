@@ -40,6 +40,38 @@ def test_k_nearest_equals_brute_force(spark, kind, k):
         assert sorted(got[f"s{i:03d}"]) == want
 
 
+@pytest.mark.parametrize("kind", ["globe", "city", "copies"])
+def test_many_queries_and_points_are_shuffled_and_equal_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(joins, "FEW", 10)
+    monkeypatch.setattr(joins, "QUERIES", 8)
+    at = points(kind)
+    df = spark.createDataFrame([(f"s{i:03d}", *p) for i, p in enumerate(at)], "id string, lat double, lon double")
+    near = joins.nearest_k(df, df.withColumnRenamed("id", "other"), 2, "id", "other")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "REPARTITION_BY_NUM" in plan
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.id, []).append((round(r.dist_m, 4), r.other))
+    for i, p in enumerate(at):
+        assert sorted(got[f"s{i:03d}"]) == sorted((round(haversine(p, q), 4), f"s{j:03d}") for j, q in enumerate(at))[:2]
+
+
+def test_points_beyond_the_cube_that_bounds_the_search_are_not_ranked(spark):
+    """Five queries at one end of a crowded street: the cubes around them hold hundreds of points."""
+    at = [(43.6 + 1e-7 * i, -79.4) for i in range(4000)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "other int, lat double, lon double")
+    qs = df.filter("other < 5").withColumnRenamed("other", "id")
+    near = joins.nearest_k(qs, df, 3, "id", "other")
+    assert "_reach" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(near, "id", "other") == sorted((i, j) for i in range(5) for j in sorted(range(4000), key=lambda j: (abs(i - j), j))[:3])
+
+
+def test_an_id_at_several_places_is_not_its_own_neighbour(spark):
+    df = spark.createDataFrame([("a", 43.6 + 1e-6 * i, -79.4) for i in range(6)] + [("b", 43.601, -79.4), ("c", 43.602, -79.4)], "id string, lat double, lon double")
+    near = joins.nearest_k(df, df, 2, "id", "id", exclude_self=True)
+    assert rows(near.filter("id = 'a'"), "neighbor_id") == rows(near.filter("id = 'a' AND neighbor_id <> 'a'"), "neighbor_id")
+
+
 def test_fewer_points_than_k_and_no_coordinates(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.1, 1.0), ("c", None, 1.0)], "station_id string, lat double, lon double")
     assert rows(diffusion.knn_edges(df, 5), "src", "dst") == [("a", "b"), ("b", "a")]
