@@ -56,6 +56,20 @@ def test_many_queries_and_points_are_shuffled_and_equal_brute_force(spark, kind,
         assert sorted(got[f"s{i:03d}"]) == sorted((round(haversine(p, q), 4), f"s{j:03d}") for j, q in enumerate(at))[:2]
 
 
+def test_edges_of_crowded_stations_are_shuffled(spark, monkeypatch):
+    """As in the dense query: stations a metre or less apart, more than one task may hold."""
+    monkeypatch.setattr(joins, "FEW", 10)
+    monkeypatch.setattr(joins, "QUERIES", 50)
+    at = [(43.5 + 1e-5 * (i % 13) + 1.3e-7 * i, -79.8 + 1e-5 * (i * 5 % 11) + 1.7e-7 * i) for i in range(200)]
+    df = spark.createDataFrame([(f"u-{i}", *p) for i, p in enumerate(at)], "station_id string, lat double, lon double")
+    edges = diffusion.neighbour_edges(df, 3)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("SortMergeJoin") >= 2
+    want = [(f"u-{j}", f"u-{i}") for i, p in enumerate(at)
+            for _, j in sorted((haversine(p, q), j) for j, q in enumerate(at) if j != i)[:3]]
+    assert rows(edges, "src", "dst") == sorted(want, key=repr)
+
+
 def test_points_beyond_the_cube_that_bounds_the_search_are_not_ranked(spark):
     """Five queries at one end of a crowded street: the cubes around them hold hundreds of points."""
     at = [(43.6 + 1e-7 * i, -79.4) for i in range(4000)]
