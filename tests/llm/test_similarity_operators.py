@@ -305,6 +305,29 @@ def test_edit_distances_of_many_pairs(pairs):
     assert lines.similar_pairs(many, 0.8).tolist() == [lines.similar(*p, 0.8) for p in many]
 
 
+def test_words_of_rows_are_compared_in_one_step_inside_the_limit(monkeypatch):
+    """Unlike lines are left before half of their columns, with one step a column, and never have all rows looked at; lines shifted by as much as the limit are found."""
+    rng, steps = random.Random(5), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        @staticmethod
+        def take(*args, **kw):
+            steps.append(len(args[1]))
+            return np.take(*args, **kw)
+    monkeypatch.setattr(lines, "np", Counted())
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    assert lines.edit_distances([(line(960), line(960)) for _ in range(40)], np.full(40, 192.5)).tolist() == [193] * 40
+    assert 0 < len(steps) < 480 and max(steps) <= 6
+    long = [line(900) for _ in range(30)]
+    shifted = [(a, a[3 * i :] + line(3 * i)) for i, a in enumerate(long)] + [(a, line(2 * i) + a) for i, a in enumerate(long)]
+    exact = np.array([lines.edit_distance(*p) for p in shifted])
+    for less in (0, 1):
+        assert lines.edit_distances(shifted, exact - less + 0.0).tolist() == exact.tolist()
+
+
 def test_changed_words_alter_only_their_own_blocks():
     """Blocks that neither lose nor gain a word are the same in both lines, wherever the words stand."""
     rng = random.Random(2)
