@@ -239,20 +239,26 @@ def train(frame: DataFrame, families: Iterable[str] = ("ha", "lr", "rf"), horizo
           overrides: Mapping[str, dict] = {}, log_target: bool = False) -> tuple[dict[str, Bundle], DataFrame]:
     """Fit families at horizons. Returns bundles and the scored rows (model, horizon, split, y, p).
 
-    With ``log_target`` the label is log1p of the target, and predictions are taken back and never negative. Families that share features share one design matrix per horizon.
+    With ``log_target`` the label is log1p of the target, and predictions are taken back and never negative. Families whose features keep the same rows share one design matrix per horizon.
     """
-    bundles = {f: Bundle(f) for f in families}
-    scored = []
+    bundles, horizons, scored = {f: Bundle(f) for f in families}, list(horizons), []
+    cols = {(h, f): clean.select_features(features, frame.columns, []) if features else recipes.features_for(f, h) for h in horizons for f in bundles}
+    several = any(len({tuple(cols[h, f]) for f in bundles}) > 1 for h in horizons)
+    groups = same_rows(frame, cols) if several else [list(cols)]
     for h in horizons:
-        made: dict[tuple[str, ...], tuple[DataFrame, dict]] = {}
+        made: dict[str, tuple[DataFrame, dict]] = {}
+        for group in groups:
+            alike = {f: cols[h, f] for at, f in group if at == h}
+            if alike:
+                every = list(dict.fromkeys(c for cs in alike.values() for c in cs))
+                raw = frames.design_matrix(frame, every, h, scale=False)
+                scaling = scaling_of(raw.filter("split = 'train'"), every)
+                made.update({f: (assemble(apply_scaling(raw, scaling), cs), {c: scaling[c] for c in cs}) for f, cs in alike.items()})
         for f in bundles:
-            cols = clean.select_features(features, frame.columns, []) if features else recipes.features_for(f, h)
-            if tuple(cols) not in made:
-                made[tuple(cols)] = design(frame, cols, h)
-            matrix, scaling = made[tuple(cols)]
+            matrix, scaling = made[f]
             label = scalar.log_clip(F.col("y")) if log_target else F.col("y")
             model = fit(f, matrix.filter("split = 'train'").withColumn("y", label), h, learner, **overrides.get(f, {}))
-            bundles[f].models[h], bundles[f].features[h], bundles[f].scaling[h] = model, cols, scaling
+            bundles[f].models[h], bundles[f].features[h], bundles[f].scaling[h] = model, cols[h, f], scaling
             bundles[f].log_target[h] = log_target
             predicted = model.transform(matrix)
             if log_target:
@@ -289,7 +295,7 @@ def per_horizon(frame: DataFrame, family: str, horizon_recipes: Mapping[int, str
     return out, scored
 
 
-def same_rows(frame: DataFrame, cols: Mapping[str, Sequence[str]]) -> list[list[str]]:
+def same_rows[K](frame: DataFrame, cols: Mapping[K, Sequence[str]]) -> list[list[K]]:
     """Recipes in groups that keep the same rows when incomplete ones are dropped.
 
     Rows complete in the columns of all recipes are complete in those of each, so a recipe that keeps as many keeps the same. These share a design matrix, any

@@ -172,3 +172,20 @@ def test_every_recipe_keeps_its_own_complete_rows(spark, frame):
     assert found("base6", "diffusion9") == sorted(found("base6") + found("diffusion9"))
     shown = lambda *names: sorted(tuple(r) for r in models.ablation(holes, names, ["lr"], [2]).select("feature_set", "split", F.round("r2", 9), F.round("mae", 9)).collect())
     assert shown("base6", "diffusion9") == sorted(shown("base6") + shown("diffusion9"))
+
+
+def test_families_that_keep_the_same_rows_share_a_design_matrix(spark, frame, monkeypatch):
+    """One matrix a horizon for both families, with each family's own features and scaling; holes give them their own again."""
+    made, whole = [], frames.design_matrix
+    monkeypatch.setattr(frames, "design_matrix", lambda frame, features, h, *a, **k: made.append(h) or whole(frame, features, h, *a, **k))
+    holes = frame.withColumn("no", F.when(F.col("station_id") == "a", F.col("no")).otherwise(F.lit(float("nan"))))
+    rows = lambda scored, name: sorted((r["horizon"], r["station_id"], r["timestamp"], r["split"], r["y"], round(r["p"], 9)) for r in scored.filter(F.col("model") == name).collect())
+    bundles, scored = models.train(frame, ["ha", "lr"], [1])
+    assert made == [1]
+    for f in ("ha", "lr"):
+        alone, by_itself = models.train(frame, [f], [1])
+        assert alone[f].features == bundles[f].features and alone[f].scaling == bundles[f].scaling
+        assert rows(scored, models.NAMES[f]) == rows(by_itself, models.NAMES[f])
+    made.clear()
+    kept = models.train(holes, ["ha", "lr"], [1])[1].groupBy("model").count().collect()
+    assert made == [1, 1] and {r["model"]: r["count"] for r in kept} == {models.NAMES["ha"]: 498, models.NAMES["lr"]: 249}
