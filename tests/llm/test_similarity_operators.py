@@ -391,6 +391,52 @@ def test_large_buckets_are_compared_in_pieces(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in lines.dedup(table(spark, texts)).collect()} == dict(brute_lines(texts))
 
 
+def test_crowded_buckets_are_connected_without_all_pairs(monkeypatch):
+    """Versions of three lines that only exact distances link: the edges are a forest, few similar pairs are compared, and connected is what all pairs connect."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(3):
+        words = [word() for _ in range(60)]
+        for _ in range(80):
+            changed = set(rng.sample(range(60), 9))
+            texts.append(" ".join(w[:2] + rng.choice("xyz") + w[3:] if i in changed else w for i, w in enumerate(words)))
+    compared = []
+    decide = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, least: compared.extend(pairs) or decide(pairs, least))
+
+    def connected(edges):
+        label = list(range(len(texts)))
+        for i, j in edges:
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        return label
+    for role in ([1] * 240, [lines.LEFT | 1 if i % 3 else lines.RIGHT for i in range(240)]):
+        compared.clear()
+        edges, rest = lines._in_bucket(texts, role, 0.8)
+        met = [(i, j) for j in range(240) for i in range(j) if (role[i] | role[j]) & 1 and (role[i] != role[j] or role[i] == 1)]
+        alike = [p for p, yes in zip(met, decide([(texts[i], texts[j]) for i, j in met], 0.8), strict=True) if yes]
+        left = [p for p, yes in zip(rest, decide([(texts[i], texts[j]) for i, j in rest], 0.8), strict=True) if yes]
+        seen = int(decide(list(compared), 0.8).sum())
+        assert len(edges) < 240 and len(alike) > 15 * len(edges)
+        assert seen < 3 * 240 and not left
+        assert connected(edges) == connected(alike) and len(set(connected(edges))) == 3
+    chain = [(i, i + 1) for i in range(20)]
+    assert lines._forest([*chain, *[(i, j) for i in range(20) for j in range(i)], (30, 31)]) == [*chain, (30, 31)]
+
+
+def test_length_levels_part_only_lines_that_cannot_be_similar(spark):
+    """Similar lengths are within reach wherever the levels part them; classes without a partner of like length are in no bucket."""
+    n = np.concatenate((np.arange(1, 3000), np.arange(3000, 400_000, 997)))
+    for least in (0.5, 0.8, 0.95):
+        long = np.floor(n / least + 1e-9).astype(np.int64)
+        assert (lines.length_levels(long).astype(int) - lines.length_levels(n) <= lines.level_reach(least)).all()
+    assert lines.level_reach(0.0) == 256
+    start = prose(12, 3, 400)
+    rows = table(spark, [(1, start), (2, start + " " + prose(90, 4, 400)), (3, "other " + prose(40, 5, 400)), (4, "another " + prose(40, 5, 400))])
+    got = lines.candidate_classes(rows.select(F.col("doc_id").alias("id"), "text"), 4, 0.8)
+    assert got.count() and got.select("low").distinct().count() == 2
+
+
 def test_rows_of_one_id_lose_only_their_own_lines(spark):
     line = "a line of words that two documents share"
     rows = [(1, f"{line}\nof its own entirely"), (2, f"first here\n{line}"), (2, "nothing else\nwhollydifferent zebra quartz"), (2, f"first here\n{line}")]
