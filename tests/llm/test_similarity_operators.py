@@ -424,6 +424,54 @@ def test_crowded_buckets_are_connected_without_all_pairs(monkeypatch):
     assert lines._forest([*chain, *[(i, j) for i in range(20) for j in range(i)], (30, 31)]) == [*chain, (30, 31)]
 
 
+def ruled_out(pairs):
+    """What ``beyond_limit`` says of pairs at the similarity of 0.8."""
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    texts = [t for p in pairs for t in p]
+    length = np.array([len(t) for t in texts])
+    code = np.array([ord(c) % 32 for t in texts for c in t], np.uint8)
+    a, b = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    return lines.beyond_limit(code, np.cumsum(length) - length, length, a, b, np.floor(0.2 * length[b] + 1e-9).astype(np.int64))
+
+
+def test_only_unlike_pairs_are_ruled_out_by_windows(monkeypatch):
+    """Lines edited by characters, words and moved parts at rates about the limit: no similar pair is ruled out; most others are."""
+    monkeypatch.setattr(lines, "FEW", 1)
+    rng, pairs = random.Random(8), []
+    for k in range(400):
+        a = prose(rng.randint(12, 120), 9000 + k, 300)
+        kind, rate = k % 4, rng.choice((0.05, 0.12, 0.18, 0.2, 0.22))
+        if kind == 0:
+            b = "".join(c if rng.random() > rate else rng.choice(("", "q", c + "é")) for c in a)
+        elif kind == 1:
+            at, n = rng.randrange(len(a)), int(rate * len(a))
+            b = a[:at] + a[at + n :] if k % 8 == 1 else a[:at] + "x" * n + a[at:]
+        elif kind == 2:
+            n = int(rate * len(a)) // 2
+            b = a[n:] + "".join(rng.choice("abc ") for _ in range(n))
+        else:
+            b = prose(rng.randint(12, 120), 19000 + k, 300)
+        pairs.append((a, b))
+    similar = np.array([1 - levenshtein(a, b) / max(len(a), len(b)) >= 0.8 for a, b in pairs])
+    out = ruled_out(pairs)
+    assert similar.sum() > 150 and not (out & similar).any()
+    assert out[3::4].mean() > 0.9
+
+
+def test_unlike_lines_of_a_bucket_are_not_compared_one_by_one(monkeypatch):
+    """Lines that share two words only, and a similar pair in two buckets: the exact distance is asked for next to no pair."""
+    texts = [prose(60, 400 + k, 3000) + " shared phrase" for k in range(120)]
+    twin = texts[7].replace("e", "u", 40)
+    compared = []
+    decide = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, least: compared.extend(pairs) or decide(pairs, least))
+    edges, rest = lines._in_buckets([([*texts, twin], [1] * 121), ([texts[7], twin], [1, 1]), ([texts[9], texts[8]], [1, 1])], 0.8)
+    assert len(compared) + len(rest) < 300
+    rows = [*texts, twin, texts[7], twin, texts[9], texts[8]]
+    found = edges + [p for p, yes in zip(rest, decide([(rows[i], rows[j]) for i, j in rest], 0.8) if rest else (), strict=True) if yes]
+    assert [{rows[i], rows[j]} for i, j in found] == [{texts[7], twin}]
+
+
 def test_length_levels_part_only_lines_that_cannot_be_similar(spark):
     """Similar lengths are within reach wherever the levels part them; classes without a partner of like length are in no bucket."""
     n = np.concatenate((np.arange(1, 3000), np.arange(3000, 400_000, 997)))
