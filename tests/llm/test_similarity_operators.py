@@ -472,6 +472,13 @@ def test_unlike_lines_of_a_bucket_are_not_compared_one_by_one(monkeypatch):
     assert [{rows[i], rows[j]} for i, j in found] == [{texts[7], twin}]
 
 
+def test_majorities_of_few_features():
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 9, 2000)
+    feature, at = rng.integers(0, 2**64, n.sum(), np.uint64), np.append(0, np.cumsum(n))
+    assert (lines._majorities(feature, at) == simhash.majority(feature, at)).all()
+
+
 def test_length_levels_part_only_lines_that_cannot_be_similar(spark):
     """Similar lengths are within reach wherever the levels part them; classes without a partner of like length are in no bucket."""
     n = np.concatenate((np.arange(1, 3000), np.arange(3000, 400_000, 997)))
