@@ -472,6 +472,12 @@ def test_unlike_lines_of_a_bucket_are_not_compared_one_by_one(monkeypatch):
     assert [{rows[i], rows[j]} for i, j in found] == [{texts[7], twin}]
 
 
+def test_edges_of_a_task_are_one_forest():
+    above = {}
+    assert lines._forest([(1, 2), (2, 3), (1, 3)], above) == [(1, 2), (2, 3)]
+    assert lines._forest([(3, 1), (3, 4), (5, 6)], above) == [(3, 4), (5, 6)]
+
+
 def test_majorities_of_few_features():
     rng = np.random.default_rng(1)
     n = rng.integers(1, 9, 2000)
