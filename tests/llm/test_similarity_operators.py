@@ -472,6 +472,63 @@ def test_unlike_lines_of_a_bucket_are_not_compared_one_by_one(monkeypatch):
     assert [{rows[i], rows[j]} for i, j in found] == [{texts[7], twin}]
 
 
+def test_short_and_unevenly_lettered_lines_are_ruled_out_exactly(monkeypatch):
+    """Pairs of lines shorter than a window, about the limit: those beyond it are ruled out and no others; few such pairs of a bucket are compared one by one."""
+    monkeypatch.setattr(lines, "FEW", 1)
+    monkeypatch.setattr(lines, "LAST", 1)
+    rng, pairs = random.Random(9), []
+    for _ in range(600):
+        a = "".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 63)))
+        b = "".join(c if rng.random() > 0.2 else rng.choice(("", "g", c + "h")) for c in a)
+        pairs.append((a, b or "x"))
+    far = ruled_out(pairs)
+    assert far.tolist() == [levenshtein(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    assert 100 < far.sum() < 500
+    texts = sorted({"shared phrase " + "".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(150)})
+    compared = []
+    decide = lines.similar_pairs
+    monkeypatch.setattr(lines, "similar_pairs", lambda pairs, least: compared.extend(pairs) or decide(pairs, least))
+    edges, rest = lines._in_buckets([(texts, [1] * len(texts))], 0.8)
+    assert edges == [] and len(compared) + len(rest) < 50
+    counts = lines.letter_counts(np.array([1, 2, 2, 31, 0], np.uint8), np.array([0, 3, 3]), np.array([3, 0, 2]))
+    assert counts.sum(axis=1).tolist() == [3, 0, 2] and counts[0, :3].tolist() == [0, 1, 2] and counts[2, 31] == 1
+
+
+def test_first_pieces_of_large_buckets_grow_with_their_rows(spark, monkeypatch):
+    """Pieces of a bucket hold each row once or twice; what they leave unconnected, and nothing else, is compared over the whole bucket."""
+    monkeypatch.setattr(lines, "MEMBERS", 8)
+    monkeypatch.setattr(lines, "OVERLAP", 2)
+    n, low = 100, np.arange(100, dtype=np.uint64)
+    pieces = [(b, l, r) for b, l, r, _ in lines._alone(np.array([7] * n, np.uint64), low, np.ones(n, bool), np.array([0]), np.array([n]), np.zeros(n, np.int64)) if len(b)]
+    assert sum(len(b) for b, _, r in pieces if r[0] < lines.WHOLE) <= 1.3 * n and [l.tolist() for _, l, r in pieces if r[0] >= lines.WHOLE] == [low.tolist()]
+    assert all(set(l.tolist()) & set(k.tolist()) for (_, l, _), (_, k, _) in zip(pieces[:-2], pieces[1:-1], strict=True))
+    root = np.array([i % 10 if i % 10 < 3 else 9 for i in range(n)])
+    met: dict[int, list] = {}
+    for b, l, r, x in lines._between(np.uint64(7), low, np.ones(n, bool), np.arange(n), root, 256):
+        assert (root[l.astype(int)] == x).all()
+        met.setdefault(int(b[0]), []).extend(zip(l.tolist(), r.tolist(), strict=True))
+    pairs = {(x, y) for rows in met.values() for x, r in rows for y, q in rows if x < y and (r == q == 1 or (r ^ q) & 6)}
+    assert {(x, y) for y in range(n) for x in range(y) if root[x] != root[y]} <= pairs
+    assert not any(root[x] == root[y] == 9 for x, y in pairs)
+    assert list(lines._between(np.uint64(7), low, np.ones(n, bool), np.arange(n), np.ones(n), 256)) == []
+    texts = ["one two three four", "five six seven eight", "one two three fouz"]
+    assert lines._in_buckets([(texts, [1, 1, 1])], 0.8, [5, 6, 5])[0] == [] and lines._in_buckets([(texts, [1, 1, 1])], 0.8)[0] == [(0, 2)]
+
+
+def test_pairs_across_pieces_of_a_large_bucket_are_found(spark):
+    """Lines that share one long word, so that hundreds are in one bucket, each pair of them unlike but for a few of different length."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts = [(k, " ".join(["extraordinarycommonword", *(word() for _ in range(rng.randint(16, 19)))])) for k in range(3600)]
+    twins = {2000 + k: texts[k][1] + " " + " ".join(word() for _ in range(len(texts[k][1].split()) // 6)) for k in range(0, 3600, 300)}
+    rows = table(spark, [*texts, *twins.items()])
+    docs = rows.select(F.col("doc_id").alias("id"), "text")
+    got = lines.candidate_classes(docs, len(texts) + len(twins), 0.8).filter(F.col("role") >= lines.WHOLE)
+    assert got.groupBy("bucket").count().agg(F.max("count")).first()[0] > lines.MEMBERS
+    gone = {r["doc_id"] for r in lines.dedup_digests(rows).filter("n_removed > 0").collect()}
+    assert gone == {k for k, t in twins.items() if lines.similar(texts[k - 2000][1], t, 0.8)} and len(gone) > 5
+
+
 def test_edges_of_a_task_are_one_forest():
     above = {}
     assert lines._forest([(1, 2), (2, 3), (1, 3)], above) == [(1, 2), (2, 3)]
